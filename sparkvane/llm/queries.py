@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkvane.llm import chat, urls, warc
+from sparkvane.llm import bpe, chat, topk, toxicity, urls, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,6 +17,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings").where(topk.usable("embedding")).select(F.col("vec_id").alias("id"), topk.quantise("embedding").alias("v"))
+    return topk.top_k(v.where("id % 20 = 0"), v, 20)
+
+
+OP1_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(table(spark, sf_dir, "documents")).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.ids_text(), 256).alias("ids_sha256"))
+    out = bpe.decode(encoded, keep=("doc_id", "n_tokens", "ids_sha256"))
+    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def fold(doc_id: str):
+    """crc32 of the id as text, modulo 5: 0 marks the held-out fifth."""
+    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(fold("doc_id") != 0))
+    out = toxicity.score(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
@@ -88,8 +121,9 @@ FROM d LEFT JOIN hit ON hit.page_id = d.page_id LEFT JOIN rep ON rep.host = d.ho
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_chat_format": op3_chat_format, "op5_warc": op5_warc, "op7_url_filter": op7_url_filter}
+    return {"op1_topk": op1_topk, "op2_bpe": op2_bpe, "op8_toxicity": op8_toxicity,
+            "op3_chat_format": op3_chat_format, "op5_warc": op5_warc, "op7_url_filter": op7_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": OP5_SQL, "op7_url_filter": OP7_SQL}
+    return {"op1_topk": OP1_SQL, "op5_warc": OP5_SQL, "op7_url_filter": OP7_SQL}
