@@ -16,6 +16,9 @@ U64 = np.uint64
 CHUNK = 4 << 20
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
+#: Letters, digits, apostrophes and all bytes of longer characters.
+IS_ALNUM = np.zeros(256, bool)
+IS_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), 39, *range(128, 256)]] = True
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _LOWER = _TABLE.copy()
 _LOWER[65:91] = _TABLE[97:123]
@@ -74,10 +77,10 @@ def pieces(offs: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
 class Words:
     """The words of rows i..j: byte spans, row boundaries, hashes."""
 
-    def __init__(self, buf: np.ndarray, offs: np.ndarray, lower: bool = False):
+    def __init__(self, buf: np.ndarray, offs: np.ndarray, lower: bool = False, table: np.ndarray = IS_WORD):
         self.b = b = buf[offs[0] : offs[-1]]
         o = offs - offs[0]
-        is_word = IS_WORD[b]
+        is_word = table[b]
         first = is_word.copy()
         last = is_word.copy()
         if len(b):

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkvane.llm import bpe, chat, topk, toxicity, urls, warc
+from sparkvane.llm import bpe, chat, decontam, topk, toxicity, urls, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -57,6 +57,29 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.unionByName(own)))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: whether it contains an item, and which."""
+    out = decontam.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    ids = F.array_sort(F.array_distinct(F.transform("__matches", lambda m: m["item_id"])))
+    return out.select("doc_id", (F.size("__matches") > 0).cast("int").alias("contaminated"), F.size(ids).cast("long").alias("n_items"), F.array_join(ids.cast("array<string>"), ",").alias("item_ids"))
+
+
+OP4_SQL = r"""
+WITH dw AS (SELECT doc_id, rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT *, row_number() OVER () AS rid FROM documents)),
+bw AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+bs AS (SELECT DISTINCT item_id, least(len(w), 5) AS k, unnest(list_transform(range(1, greatest(len(w) - 5 + 1, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM bw WHERE len(w) > 0),
+bn AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id),
+ks AS (SELECT DISTINCT k FROM bs),
+ds AS (SELECT DISTINCT rid, k, unnest(list_transform(range(1, greatest(len(w) - k + 1, 0) + 1), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM dw, ks),
+hit AS (SELECT rid, item_id FROM (SELECT rid, item_id, count(*) AS c FROM ds JOIN bs USING (k, s) GROUP BY ALL) JOIN bn USING (item_id) WHERE c >= 0.8 * n - 1e-9),
+m AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS item_ids FROM hit GROUP BY rid)
+SELECT doc_id, CASE WHEN n_items IS NULL THEN 0 ELSE 1 END AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(item_ids, '') AS item_ids
+FROM dw LEFT JOIN m USING (rid)
+"""
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.archive_pages(spark, table(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -121,9 +144,9 @@ FROM d LEFT JOIN hit ON hit.page_id = d.page_id LEFT JOIN rep ON rep.host = d.ho
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_topk": op1_topk, "op2_bpe": op2_bpe, "op8_toxicity": op8_toxicity,
+    return {"op1_topk": op1_topk, "op2_bpe": op2_bpe, "op4_decontamination": op4_decontamination, "op8_toxicity": op8_toxicity,
             "op3_chat_format": op3_chat_format, "op5_warc": op5_warc, "op7_url_filter": op7_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": OP1_SQL, "op5_warc": OP5_SQL, "op7_url_filter": OP7_SQL}
+    return {"op1_topk": OP1_SQL, "op4_decontamination": OP4_SQL, "op5_warc": OP5_SQL, "op7_url_filter": OP7_SQL}

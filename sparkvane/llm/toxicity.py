@@ -18,14 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkvane.llm._store import ship
-from sparkvane.llm._text import U64, Words, mix, pieces, utf8
+from sparkvane.llm._text import IS_ALNUM, U64, Words, mix, pieces, utf8
 
 BITS = 20
 MAX_ROWS = 20_000
 EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.15, 1.0, 2.0, 0.5
+ALPHA, BETA, L1, L2 = 0.8, 1.0, 8.0, 0.5
 _SALTS = (U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25), U64(0xC13FA9A902A6328F), U64(0x91E10DA5C79E7B1D))
 
 
@@ -58,7 +59,7 @@ def fit(texts: pa.Array, y: np.ndarray, bits: int = BITS, epochs: int = EPOCHS,
     buf, offs = utf8(texts)
     xs: list[np.ndarray] = []
     for i, j in pieces(offs):
-        s, r = features(Words(buf, offs[i : j + 1], lower=True), bits)
+        s, r = features(Words(buf, offs[i : j + 1], lower=True, table=IS_ALNUM), bits)
         key = np.unique((r << bits) | s)
         at = np.searchsorted(key >> bits, np.arange(j - i + 1))
         key &= (1 << bits) - 1
@@ -120,7 +121,7 @@ def score_texts(texts: pa.Array, m: Model) -> np.ndarray:
     live = dense != 0
     out = np.full(len(offs) - 1, m.bias)
     for i, j in pieces(offs):
-        s, r = features(Words(buf, offs[i : j + 1], lower=True), m.bits)
+        s, r = features(Words(buf, offs[i : j + 1], lower=True, table=IS_ALNUM), m.bits)
         hit = live[s]
         key = np.unique((r[hit] << m.bits) | s[hit])
         out[i:j] += np.bincount(key >> m.bits, dense[key & ((1 << m.bits) - 1)], minlength=j - i)
@@ -135,7 +136,7 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     sent = spark.sparkContext.broadcast(model)
     names = docs.columns
     src = docs.select("text", *(F.col(f"`{c}`") for c in names))
-    schema = docs.schema.add(column, "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value

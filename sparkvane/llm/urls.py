@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkvane.llm._store import cut
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: action, host, path
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -116,7 +118,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, s
     allowed. Empty pages: no rows."""
     d = parse(pages, suffixes)
     seen = d.join(labels.select(F.col("page_id"), F.col("bad").cast("long").alias("bad")).where("page_id is not null and bad is not null"), "page_id")
-    outcomes = seen.groupBy("host", "domain", "suffix").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+    outcomes = cut(seen.groupBy("host", "domain", "suffix").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")), "outcomes")
     rep = host_reputation(outcomes).select("host", F.col("rate").alias("host_rate"), F.col("lower").alias("host_lower"))
     # The salted host key splits a host that holds a third of all pages.
     salts = 16
