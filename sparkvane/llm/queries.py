@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkvane.llm import bpe, chat, decontam, topk, toxicity, urls, warc
+from sparkvane.llm import automaton, bpe, chat, decontam, sparse_sa, topk, toxicity, urls, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -143,10 +143,33 @@ FROM d LEFT JOIN hit ON hit.page_id = d.page_id LEFT JOIN rep ON rep.host = d.ho
 """
 
 
+def _kept(out: DataFrame) -> DataFrame:
+    return out.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept(sparse_sa.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), spacing="single"))
+
+
+def op10_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept(automaton.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), spacing="single"))
+
+
+REPEATS_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT rid, doc_id, unnest(range(1, len(w) - 48)) AS i, unnest(list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i:i + 49], ' ')))) AS h FROM d WHERE len(w) >= 50 AND doc_id IS NOT NULL),
+dup AS (SELECT rid, i FROM (SELECT rid, i, doc_id, min(doc_id) OVER (PARTITION BY h) AS f FROM win) WHERE doc_id > f),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 50)) AS pos FROM dup),
+word AS (SELECT rid, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS t FROM d),
+kept AS (SELECT rid, count(*) AS n, string_agg(t, ' ' ORDER BY pos) AS s FROM word ANTI JOIN gone USING (rid, pos) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_topk": op1_topk, "op2_bpe": op2_bpe, "op4_decontamination": op4_decontamination, "op8_toxicity": op8_toxicity,
-            "op3_chat_format": op3_chat_format, "op5_warc": op5_warc, "op7_url_filter": op7_url_filter}
+            "op3_chat_format": op3_chat_format, "op5_warc": op5_warc, "op9_suffix_array": op9_suffix_array, "op10_suffix_automaton": op10_suffix_automaton, "op7_url_filter": op7_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": OP1_SQL, "op4_decontamination": OP4_SQL, "op5_warc": OP5_SQL, "op7_url_filter": OP7_SQL}
+    return {"op1_topk": OP1_SQL, "op4_decontamination": OP4_SQL, "op5_warc": OP5_SQL, "op9_suffix_array": REPEATS_SQL, "op10_suffix_automaton": REPEATS_SQL, "op7_url_filter": OP7_SQL}
