@@ -51,3 +51,10 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def free(docs: DataFrame, *names: str) -> DataFrame:
+    """docs without columns that would clash with an operator's own (their names
+    start with two underscores; an input column of such a name is left out)."""
+    own = {n.lower() for n in names}
+    return docs.drop(*[c for c in docs.columns if c.lower() in own])

@@ -128,9 +128,10 @@ class Words:
 
 def unique_by_row(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values of each row in ascending order, and the rows' offsets."""
+    h = h.copy()
+    for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        h[i:j].sort()
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
     h, row = h[keep], row[keep]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkvane.llm._store import cut, ship
+from sparkvane.llm._store import cut, free, ship
 from sparkvane.llm._text import Words, list_array, pieces, signed, unique_by_row, utf8
 
 K, THRESHOLD = 5, 0.8
@@ -130,6 +130,7 @@ def search(docs: DataFrame, benchmark: DataFrame, k: int = K, threshold: float =
     Every document row stays once, whatever its other columns are."""
     spark = docs.sparkSession
     ship(spark)
+    docs = free(docs, "__matches", "__row", "__key")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+")))).first()[0] or 0
     if total > bound:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkvane.llm._store import cut, ship
+from sparkvane.llm._store import cut, free, ship
 from sparkvane.llm._text import U64, Words, mix, pieces, signed, utf8
 
 LENGTH, GRAM = 50, 8
@@ -208,6 +208,7 @@ def remove(docs: DataFrame, kernel: Kernel, length: int = LENGTH, gram: int = GR
     ship(docs.sparkSession)
     if not 0 < gram <= length:
         raise ValueError("gram must lie between 1 and length")
+    docs = free(docs, "__h", "__id", "__hh", "__spans_in", "__n_words", "__n_removed", "__spans")
     keyed = docs.withColumn("__h", F.xxhash64("text"))
     src = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     spans = repeated_spans(src, kernel, length, gram, heavy).select(F.col("doc_id").alias("__id"), F.col("h").alias("__hh"), "spans")

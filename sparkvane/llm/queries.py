@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkvane.llm import automaton, bpe, chat, decontam, sparse_sa, topk, toxicity, urls, warc
+from sparkvane.llm import automaton, bpe, chat, decontam, jaccard, sparse_sa, topk, toxicity, urls, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -97,6 +97,26 @@ FROM q
 """
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"), k=4, percent=85)
+    return out.select("doc_id", F.col("__n_shingles").alias("n_shingles"), F.col("__component").alias("component_id"), F.col("__links").alias("n_links"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, unnest(list_transform(range(1, greatest(len(w) - 4 + 1, 1) + 1), lambda i: md5(array_to_string(w[i:i + 3], ' ')))) AS h FROM d WHERE len(w) > 0),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.rid <> b.rid GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT rid AS src, rid AS at FROM d UNION SELECT r.src, l.b FROM r JOIN l ON l.a = r.at),
+k AS (SELECT src, min(d.doc_id) AS component_id FROM r JOIN d ON d.rid = r.at GROUP BY src),
+c AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links
+FROM d JOIN k ON k.src = d.rid LEFT JOIN n ON n.rid = d.rid LEFT JOIN c ON c.a = d.rid
+"""
+
+
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled outcomes of pages: a label's doc_id names the page; low
     quality or toxic counts as bad."""
@@ -166,10 +186,16 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_topk": op1_topk, "op2_bpe": op2_bpe, "op4_decontamination": op4_decontamination, "op8_toxicity": op8_toxicity,
-            "op3_chat_format": op3_chat_format, "op5_warc": op5_warc, "op9_suffix_array": op9_suffix_array, "op10_suffix_automaton": op10_suffix_automaton, "op7_url_filter": op7_url_filter}
+            "op3_chat_format": op3_chat_format, "pipeline": pipeline, "op5_warc": op5_warc, "op6_jaccard_join": op6_jaccard_join, "op9_suffix_array": op9_suffix_array, "op10_suffix_automaton": op10_suffix_automaton, "op7_url_filter": op7_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": OP1_SQL, "op4_decontamination": OP4_SQL, "op5_warc": OP5_SQL, "op9_suffix_array": REPEATS_SQL, "op10_suffix_automaton": REPEATS_SQL, "op7_url_filter": OP7_SQL}
+    return {"op1_topk": OP1_SQL, "op4_decontamination": OP4_SQL, "op5_warc": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op9_suffix_array": REPEATS_SQL, "op10_suffix_automaton": REPEATS_SQL, "op7_url_filter": OP7_SQL}

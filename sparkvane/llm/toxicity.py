@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkvane.llm._store import ship
+from sparkvane.llm._store import free, ship
 from sparkvane.llm._text import IS_ALNUM, U64, Words, mix, pieces, utf8
 
 BITS = 20
@@ -134,6 +134,7 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(model)
+    docs = free(docs, column)
     names = docs.columns
     src = docs.select("text", *(F.col(f"`{c}`") for c in names))
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
