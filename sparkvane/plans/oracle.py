@@ -200,7 +200,7 @@ BODIES: dict[str, str] = {
     "hpq_encode": "SELECT vec_id, chunk, code, use_outlier FROM hcode",
     "kmeans_step": centers("km1"),
     "kmeans_fit": centers("km2"),
-    "coarse_assign": f"SELECT vec_id, center AS coarse_id, round(d, 6) AS dist FROM (SELECT e.vec_id, c.center, {d2('e.v', 'c.pvt')} AS d, row_number() OVER (PARTITION BY e.vec_id ORDER BY round({d2('e.v', 'c.pvt')}, 9), c.center) AS rn FROM emb e, coarse c) WHERE rn = 1",
+    "coarse_assign": f"SELECT vec_id, center AS coarse_id, round(round(d, 9), 6) AS dist FROM (SELECT e.vec_id, c.center, {d2('e.v', 'c.pvt')} AS d, row_number() OVER (PARTITION BY e.vec_id ORDER BY round({d2('e.v', 'c.pvt')}, 9), c.center) AS rn FROM emb e, coarse c) WHERE rn = 1",
     "rvq_search": "SELECT qid, cluster_id FROM found",
     "rvq_build": "SELECT vec_id, cluster_id, round(score, 6) AS score FROM assigned",
     "cluster_sizes": "SELECT cluster_id, n FROM sizes",
