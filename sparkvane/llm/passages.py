@@ -171,12 +171,13 @@ def _compare(light: DataFrame, kernel: Kernel, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, kernel: Kernel, length: int = LENGTH, gram: int = GRAM, heavy: int = HEAVY) -> DataFrame:
     """doc_id, h, spans: word spans [s, e) to remove, of documents (doc_id, h, text)."""
     runs = cut(_runs(docs.select("doc_id", "h", "text"), length, gram), "runs")
-    both = runs.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
+    # Joined tables are written first: a join of plain tables lets Spark split the rows of a very common anchor.
+    both = cut(runs.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"), "anchors")
     live = cut(runs.join(both, "anchor"), "live")
     cls = live.groupBy("anchor", "sh").agg(F.min(F.struct("doc_id", "h", "start", "n", "off")).alias("o"))
     cls = cut(cls.select("anchor", "sh", "o.*").withColumnRenamed("doc_id", "owner"), "classes")
-    split = cls.groupBy("anchor").agg(F.count("*").alias("k"), F.min("owner").alias("lo"), F.max("owner").alias("hi")).where("k > 1 and lo < hi")
-    need = cls.join(split.select("anchor", (F.col("k") > heavy).alias("heavy")), "anchor").withColumnRenamed("owner", "doc_id")
+    split = cut(cls.groupBy("anchor").agg(F.count("*").alias("k"), F.min("owner").alias("lo"), F.max("owner").alias("hi")).where("k > 1 and lo < hi").select("anchor", (F.col("k") > heavy).alias("heavy")), "split")
+    need = cls.join(split, "anchor").withColumnRenamed("owner", "doc_id")
     words = cut(_extract(need, docs, length), "words")
     marks = _compare(words.where("words is not null"), kernel, length)
     w = words.where("windows is not null").select("anchor", "sh", "owner", "off", F.posexplode("windows").alias("a", "w"))
@@ -185,7 +186,8 @@ def repeated_spans(docs: DataFrame, kernel: Kernel, length: int = LENGTH, gram:
     again = w.join(first, ["anchor", "j", "w"]).where("owner > first").select("anchor", "sh", "a", (F.col("a") + 1).alias("b"))
     marks = marks.unionByName(again).groupBy("anchor", "sh").agg(F.collect_list(F.struct("a", "b")).alias("marks"))
     all_of = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
-    hits = live.join(cls.select("anchor", "sh", "owner"), ["anchor", "sh"]).join(marks, ["anchor", "sh"], "left")
+    judged = cut(cls.select("anchor", "sh", "owner").join(marks, ["anchor", "sh"], "left"), "judged")
+    hits = live.join(judged, ["anchor", "sh"])
     hits = hits.select("doc_id", "h", "start", F.when(F.col("doc_id") > F.col("owner"), all_of).otherwise(F.col("marks")).alias("m")).where("m is not null")
     hits = hits.select("doc_id", "h", F.transform("m", lambda x: F.struct((F.col("start") + x["a"]).alias("s"), (F.col("start") + x["b"] + F.lit(length - 1)).alias("e"))).alias("m"))
     return hits.groupBy("doc_id", "h").agg(F.flatten(F.collect_list("m")).alias("spans"))
