@@ -130,7 +130,7 @@ def search(docs: DataFrame, benchmark: DataFrame, k: int = K, threshold: float =
     Every document row stays once, whatever its other columns are."""
     spark = docs.sparkSession
     ship(spark)
-    docs = free(docs, "__matches", "__row", "__key")
+    docs = free(docs, "__matches", "__row", "__m")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+")))).first()[0] or 0
     if total > bound:
@@ -163,8 +163,7 @@ def search(docs: DataFrame, benchmark: DataFrame, k: int = K, threshold: float =
 def _search_joined(docs: DataFrame, items: DataFrame, k: int, threshold: float) -> DataFrame:
     """The same for a benchmark of any size: sketch values and documents' hashes
     meet by hash, candidates are verified by counting shared shingles by hash."""
-    key = F.xxhash64(*[F.col(f"`{c}`").cast("string") if t in ("variant",) else F.col(f"`{c}`") for c, t in docs.dtypes])
-    d = cut(docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__key", key), "decontam")
+    d = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "decontam")
     item_h = cut(_hash_rows(items.select(F.col("item_id").alias("row"), "text"), k), "items")
     size = F.size("hashes")
     sketch = item_h.select(F.col("row").alias("item_id"), "words", size.alias("size"), F.explode(F.slice("hashes", F.lit(1), size - F.greatest(F.lit(1), F.ceil(F.lit(threshold) * size - 1e-9).cast("int")) + 1)).alias("h"))
@@ -175,9 +174,9 @@ def _search_joined(docs: DataFrame, items: DataFrame, k: int, threshold: float)
     full = item_h.select(F.col("row").alias("item_id"), "words", F.explode("hashes").alias("h"))
     hits = pairs.join(full, ["item_id", "words"]).join(doc_h, ["row", "words", "h"]).groupBy("row", "item_id", "size").agg(F.count("*").alias("shared"))
     hits = hits.where(F.col("shared") >= F.greatest(F.lit(1), F.ceil(F.lit(threshold) * F.col("size") - 1e-9)))
-    m = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("item_id", F.col("shared").cast("long").alias("shared"), F.col("size").cast("long").alias("size")))).alias("m"))
+    m = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("item_id", F.col("shared").cast("long").alias("shared"), F.col("size").cast("long").alias("size")))).alias("__m"))
     out = d.join(m, d["__row"] == m["row"], "left")
-    return out.select(*[d[f"`{c}`"] for c in docs.columns], F.coalesce("m", F.array().cast(T.ArrayType(MATCH))).alias("__matches"))
+    return out.select(*[d[f"`{c}`"] for c in docs.columns], F.coalesce("__m", F.array().cast(T.ArrayType(MATCH))).alias("__matches"))
 
 
 def _hash_rows(rows: DataFrame, k: int, lengths: tuple[int, ...] | None = None) -> DataFrame:

@@ -213,10 +213,10 @@ def remove(docs: DataFrame, kernel: Kernel, length: int = LENGTH, gram: int = GR
     docs = free(docs, "__h", "__id", "__hh", "__spans_in", "__n_words", "__n_removed", "__spans")
     keyed = docs.withColumn("__h", F.xxhash64("text"))
     src = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    spans = repeated_spans(src, kernel, length, gram, heavy).select(F.col("doc_id").alias("__id"), F.col("h").alias("__hh"), "spans")
+    spans = repeated_spans(src, kernel, length, gram, heavy).select(F.col("doc_id").alias("__id"), F.col("h").alias("__hh"), F.col("spans").alias("__spans_in"))
     d = keyed.join(spans, (keyed["doc_id"] == spans["__id"]) & (keyed["__h"] == spans["__hh"]), "left")
     names = docs.columns
-    d = d.select(*[keyed[f"`{c}`"] for c in names], F.col("spans").alias("__spans_in"))
+    d = d.select(*[keyed[f"`{c}`"] for c in names], "__spans_in")
     at = names.index("text")
     span = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
     out_t = T.StructType([*docs.schema.fields, T.StructField("__n_words", T.LongType()), T.StructField("__n_removed", T.LongType()),
