@@ -155,14 +155,32 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, h long, n long, cls long")
 
 
+def gather(sig: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pre-aggregation of a batch: each signature keeps its smallest class; every
+    other class of it is tied to that one by a signature of the pair's own. A
+    signature that a third of all classes share leaves one row a batch."""
+    order = np.lexsort((cls, sig))
+    sig, cls = sig[order], cls[order]
+    new = np.ones(len(sig), bool)
+    new[1:] = sig[1:] != sig[:-1]
+    low = cls[np.flatnonzero(new)][np.cumsum(new) - 1]
+    more = np.flatnonzero(cls != low)
+    if len(more):
+        pair = np.unique(np.stack([cls[more], low[more]]), axis=1)
+        tie = mix(mix(pair[0].view(U64) + U64(0x632BE59BD9B4E019)) ^ pair[1].view(U64))
+        return np.concatenate([sig[new], tie, tie]), np.concatenate([cls[new], pair[0], pair[1]])
+    return sig[new], cls[new]
+
+
 def _signature_rows(docs: DataFrame, k: int, percent: int, largest: int) -> DataFrame:
-    """(sig, cls): signatures of every class, copies met again in the same task left out."""
+    """(sig, cls): signatures of every class, gathered batch by batch; copies met again in the same task are left out."""
     low = bounds(largest)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
             buf, offs = utf8(b.column(2))
+            sigs, owners = [], []
             for i, j in pieces(offs):
                 h, at = unique_by_row(*Words(buf, offs[i : j + 1], lower=True).grams(k))
                 cls = signed(set_hashes(h, at))
@@ -171,7 +189,10 @@ def _signature_rows(docs: DataFrame, k: int, percent: int, largest: int) -> Data
                     seen.clear()
                 new = np.array([not (c in seen or seen.add(c)) for c in cls.tolist()], bool)
                 keep = new[row]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(sig[keep]), pa.int64()), pa.array(cls[row[keep]], pa.int64())], names=["sig", "cls"])
+                sigs.append(sig[keep])
+                owners.append(cls[row[keep]])
+            sig, cls = gather(np.concatenate(sigs), np.concatenate(owners)) if sigs else (np.zeros(0, U64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(sig), pa.int64()), pa.array(cls, pa.int64())], names=["sig", "cls"])
 
     return docs.mapInArrow(run, "sig long, cls long")
 
@@ -310,7 +331,8 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     linked = comp.unionByName(comp.select(F.col("comp").alias("node"), "comp").distinct()).join(least, "comp").select(F.col("node").alias("cls"), "low")
     counts = links.groupBy("cls").agg(F.sum("links").alias("links"))
     by_class = classes.select("cls", "weight", "doc_id").join(linked, "cls", "left").join(counts, "cls", "left")
-    by_class = by_class.select("cls", F.coalesce("low", "doc_id").alias("__component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("__links"))
+    # Written first: a join of plain tables lets Spark split the rows of a class of very many copies.
+    by_class = cut(by_class.select("cls", F.coalesce("low", "doc_id").alias("__component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("__links")), "by-class")
     rows = part.join(by_class, "cls").select(F.col("doc_id").alias("__id"), F.col("h").alias("__hh"), "__component", "__links", F.col("n").alias("__n")).dropDuplicates(["__id", "__hh"])
     rest = sets.where("n = 0 or doc_id is null").select(F.col("doc_id").alias("__id"), F.col("h").alias("__hh"), F.col("doc_id").alias("__component"), F.lit(0).cast("long").alias("__links"), F.col("n").alias("__n")).dropDuplicates(["__id", "__hh"])
     rows = rows.unionByName(rest)
