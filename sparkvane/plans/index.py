@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark import StorageLevel
@@ -15,7 +16,7 @@ K, R, L, N, TOP, WIDTH, TILE = 16, 16, 32, 16, 10, 4, 4
 COARSE, FINE = 4, 4
 ENTRY_IDS = (100, 200, 300)
 
-_graphs: dict[tuple[str, str], DataFrame] = {}
+_built: dict[tuple[str, str, str], DataFrame] = {}
 
 
 class Index:
@@ -29,6 +30,13 @@ class Index:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def built(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table of the offline index: built once a session, kept on disk."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _built:
+            _built[key] = make().persist(StorageLevel.DISK_ONLY)
+        return _built[key]
+
     @cached_property
     def base(self) -> DataFrame:
         return vectors.base(self.spark, self.sf_dir)
@@ -51,11 +59,11 @@ class Index:
 
     @cached_property
     def codes(self) -> DataFrame:
-        return pq.encode(self.subs, self.book)
+        return self.built("codes", lambda: pq.encode(self.subs, self.book))
 
     @cached_property
     def wide_codes(self) -> DataFrame:
-        return pq.wide_codes(self.codes)
+        return self.built("wide_codes", lambda: pq.wide_codes(self.codes))
 
     @cached_property
     def lut(self) -> DataFrame:
@@ -92,7 +100,7 @@ class Index:
 
     @cached_property
     def res_codes(self) -> DataFrame:
-        return pq.encode(self.res_subs, self.res_book)
+        return self.built("res_codes", lambda: pq.encode(self.res_subs, self.res_book))
 
     @cached_property
     def errors(self) -> DataFrame:
@@ -132,7 +140,7 @@ class Index:
 
     @cached_property
     def hybrid_codes(self) -> DataFrame:
-        return pq.hybrid_encode(self.subs, self.book, self.outlier_book)
+        return self.built("hybrid_codes", lambda: pq.hybrid_encode(self.subs, self.book, self.outlier_book))
 
     @cached_property
     def coarse(self) -> DataFrame:
@@ -147,7 +155,7 @@ class Index:
 
     @cached_property
     def assigned(self) -> DataFrame:
-        return rvq.build(self.base, self.coarse, self.fine)
+        return self.built("assigned", lambda: rvq.build(self.base, self.coarse, self.fine))
 
     @cached_property
     def sizes(self) -> DataFrame:
@@ -159,11 +167,8 @@ class Index:
 
     @cached_property
     def graph(self) -> DataFrame:
-        """src, slot, dst. An index, built once a session and kept on disk."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir)
-        if key not in _graphs:
-            _graphs[key] = vectors.knn_graph(self.base, R).persist(StorageLevel.DISK_ONLY)
-        return _graphs[key]
+        """src, slot, dst."""
+        return self.built("graph", lambda: vectors.knn_graph(self.base, R))
 
     @cached_property
     def entries(self) -> DataFrame:
