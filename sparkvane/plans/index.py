@@ -182,6 +182,15 @@ class Index:
     def params(self) -> traverse.Params:
         return traverse.Params(TOP, L, WIDTH)
 
+    @cached_property
+    def ann_codes(self) -> DataFrame:
+        """Codes of the full codebook: 256 centers, ids 0..255."""
+        return self.built("ann_codes", lambda: pq.wide_codes(pq.encode(self.subs, pq.first_centers(self.subs, 0, 256))))
+
+    @cached_property
+    def ann_lut(self) -> DataFrame:
+        return pq.wide_lut(pq.lut(self.queries, pq.first_centers(self.subs, 0, 256)))
+
     @cached_property
     def seeded(self) -> DataFrame:
         return traverse.seed(self.entries, self.scorer, L).persist(StorageLevel.MEMORY_AND_DISK)

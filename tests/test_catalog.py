@@ -35,6 +35,15 @@ def test_contract():
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_search_recall(spark):
+    from sparkvane.operators import evaluate
+    from sparkvane.plans import catalog
+
+    got = evaluate.recall(catalog.Q["ann_search"](spark, DATA), catalog.Q["topk_exact"](spark, DATA), 10)
+    assert got.first()["recall"] >= 0.9
+
+
 def test_stream_runs_the_batch_search(spark, tmp_path):
     from sparkvane.operators import vectors
     from sparkvane.streaming.search import search_stream
