@@ -52,3 +52,24 @@ def test_settings():
         RuntimeConfig.parse("nonsense=1")
     assert number_list("8, 4,8") == [4, 8] and tile_policy("64:8,128:16") == {64: 8, 128: 16}
     assert cached_nodes(100, ratio=0.5) == 50 and cached_nodes(100, gib=1, node_bytes=1 << 29) == 2
+
+
+def test_page_packed_files():
+    from sparkvane.sources import pages
+
+    lay = pages.StoreLayout(0, 128, 17)
+    assert (lay.per_page, lay.pages, lay.address(8)) == (8, 3, (1, 0, 8192))
+    assert pages.StoreLayout(1, 100, 1).per_page == 40
+    with pytest.raises(ValueError):
+        _ = pages.StoreLayout(0, 2048, 1).per_page
+    m = ((17 * np.arange(5)[:, None] + np.arange(1200)) % 251).astype(np.uint8)
+    data = pages.store_bytes(m)
+    assert len(data) == 3 * 4096 and data[4096 + 3600 : 8192] == b"\0" * 496
+    assert all((pages.store_vector(data, i) == m[i]).all() for i in range(5))
+    with pytest.raises(ValueError):
+        pages.store_vector(data[:-1], 0)
+    adj = [[1, 2, 3], [0, 2], [1]]
+    assert pages.topology_rows(pages.topology_bytes(adj)) == adj and [pages.node_offset(i) for i in (0, 2)] == [4096, 4608]
+    assert list(pages.trace_batches(pages.trace_bytes([[1, 2], [], [7]]))) == [[1, 2], [], [7]]
+    with pytest.raises(ValueError):
+        list(pages.trace_batches(b"\0" * 8))
