@@ -26,6 +26,8 @@ from sparkvane.llm._text import IS_ALNUM, U64, Words, mix, pieces, utf8
 BITS = 20
 MAX_ROWS = 20_000
 EPOCHS = 3
+#: Weight of a toxic row's gradient: toxic rows are few.
+POSITIVE = 2.0
 ALPHA, BETA, L1, L2 = 0.8, 1.0, 8.0, 0.5
 _SALTS = (U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25), U64(0xC13FA9A902A6328F), U64(0x91E10DA5C79E7B1D))
 
@@ -54,7 +56,7 @@ def features(w: Words, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(slots).astype(np.int64), np.concatenate(rows)
 
 
-def fit(texts: pa.Array, y: np.ndarray, bits: int = BITS, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> Model:
+def fit(texts: pa.Array, y: np.ndarray, bits: int = BITS, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2, positive: float = POSITIVE) -> Model:
     """FTRL-proximal, one row at a time in the given order."""
     buf, offs = utf8(texts)
     xs: list[np.ndarray] = []
@@ -74,6 +76,7 @@ def fit(texts: pa.Array, y: np.ndarray, bits: int = BITS, epochs: int = EPOCHS,
             zi, ni = z[x], n[x]
             wi = np.where(np.abs(zi) <= lam[x], 0.0, (np.sign(zi) * lam[x] - zi) / ((beta + np.sqrt(ni)) / alpha + l2))
             g = 1 / (1 + np.exp(-np.clip(wi.sum(), -35, 35))) - t
+            g *= positive if t else 1.0
             if g:
                 z[x] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / alpha * wi
                 n[x] = ni + g * g
