@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-CHUNK = 4 << 20
+#: Bytes of text that one vectorised step takes: its arrays are some 100 times as large in bytes at most.
+CHUNK = 1 << 20
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 #: Letters, digits, apostrophes and all bytes of longer characters.
@@ -36,7 +37,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             p[0] = 1
             _powers[i] = np.multiply.accumulate(p)
     out = _powers[0][:n], _powers[1][:n]
-    if n > 4 * CHUNK:  # one huge text: do not keep its tables
+    if n > 2 * CHUNK:  # one huge text: do not keep its tables
         _powers[0], _powers[1] = _powers[0][:CHUNK].copy(), _powers[1][:CHUNK].copy()
     return out
 

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from sparkvane.llm._store import ship
 
 LEAF_BYTES = 32
-CACHE = 400_000
+CACHE = 60_000
 DECODE_LEAF = 4096
 #: Texts of these characters only (no exotic space, numeral or mark) split alike
 #: under the faster engine of the standard library.
@@ -55,17 +55,26 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class _Memo(dict):
-    """Bounded memo: cleared when full, so it only ever saves work."""
+    """Bounded memo of two generations: when the young one is full it becomes the
+    old one, from which what is still used moves back."""
 
     def __init__(self, make, most: int = CACHE):
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        out = self[key] = self.make(key)
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        self[key] = out
         return out
 
+    def empty(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 class Bpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
@@ -210,6 +219,8 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
                 ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(out), pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(x.slice(i, j - i) for x in _rest(b, n)), ids], names=[*b.schema.names[:n], "ids"])
                 i = j
+        bpe.words.empty()  # the worker may go on with other operators
+        bpe.pairs.empty()
 
     return src.mapInArrow(run, schema)
 
