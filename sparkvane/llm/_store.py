@@ -9,8 +9,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an Arrow batch that goes to a Python worker. A task may hold four such
+#: batches outside the heap (two workers in a chain, each with input and output).
+ARROW_BYTES = "8m"
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the package from its source folder."""
+    """Let Python workers on this machine import the package from its source
+    folder, and keep Arrow batches small for this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
