@@ -4,8 +4,9 @@ Method: labelled page outcomes are shrunk through a chain of beta-binomial
 priors. Every level (public suffix, registered domain, host) has a prior
 Beta(m * s, (1 - m) * s): the mean m is the posterior mean of the level above
 and the strength s comes from the level's own counts by the method of moments.
-A url is blocked when the lower bound of its host's posterior bad rate lies
-above `max_bad_rate`. Explicit rules come first: the longest that fits wins.
+A host without outcomes has the prior that its domain gives to hosts, else the one
+that its suffix gives to domains, else the one of all suffixes. A url is blocked when the lower bound of its host's posterior
+bad rate lies above `max_bad_rate`. Explicit rules come first: the longest that fits wins.
 """
 
 from __future__ import annotations
@@ -89,22 +90,36 @@ def _strength(groups: DataFrame, mean: str) -> Column:
     return F.when((spread > 0) & (rho > 0), F.greatest(F.lit(LEAST_STRENGTH), F.least(F.lit(MOST_STRENGTH), 1 / rho - 1))).otherwise(F.lit(MOST_STRENGTH))
 
 
-def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """host, domain, suffix, n, bad -> with posterior mean `rate`, `strength` and
-    `lower` bound. `outcomes` has one row for each labelled host; three small
-    aggregates over it, no row of pages is touched again."""
+def _bound(mean: Column, strength: Column, n: Column, bad: Column) -> tuple[Column, Column]:
+    """Posterior mean and lower bound after `bad` of `n` outcomes."""
+    a, b = bad + mean * strength, n - bad + (1 - mean) * strength
+    rate = a / (a + b)
+    return rate, rate - Z * F.sqrt(rate * (1 - rate) / (a + b + 1))
+
+
+def host_reputation(outcomes: DataFrame) -> list[tuple[list[str], DataFrame]]:
+    """host, domain, suffix, n, bad -> keys and table of each level, the host
+    first: (suffix, domain, host), (suffix, domain), (suffix) and () with posterior
+    mean `rate` and `lower` bound of a labelled host, else of a host without
+    outcomes: the prior that its domain gives to hosts, else its suffix to domains,
+    else all outcomes to suffixes. `outcomes` has one row for each labelled host;
+    small aggregates over it, no row of pages is touched again."""
     total = outcomes.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("m0"))
     suf = outcomes.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).join(F.broadcast(total))
-    suf = suf.join(F.broadcast(suf.agg(_strength(suf, "m0").alias("s1"))))
+    s1 = suf.agg(_strength(suf, "m0").alias("s1"))
+    suf = suf.join(F.broadcast(s1))
     suf = suf.select("suffix", ((F.col("bad") + F.col("m0") * F.col("s1")) / (F.col("n") + F.col("s1"))).alias("m1"))
     dom = outcomes.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).join(suf, "suffix")
-    dom = dom.join(F.broadcast(dom.agg(_strength(dom, "m1").alias("s2"))))
+    s2 = dom.agg(_strength(dom, "m1").alias("s2"))
+    dom = dom.join(F.broadcast(s2))
     dom = dom.select("suffix", "domain", ((F.col("bad") + F.col("m1") * F.col("s2")) / (F.col("n") + F.col("s2"))).alias("m2"))
     hst = outcomes.join(dom, ["suffix", "domain"])
-    hst = hst.join(F.broadcast(hst.agg(_strength(hst, "m2").alias("s3"))))
-    a, b = F.col("bad") + F.col("m2") * F.col("s3"), F.col("n") - F.col("bad") + (1 - F.col("m2")) * F.col("s3")
-    rate = a / (a + b)
-    return hst.select("host", "n", "bad", rate.alias("rate"), (rate - Z * F.sqrt(rate * (1 - rate) / (a + b + 1))).alias("lower"))
+    s3 = hst.agg(_strength(hst, "m2").alias("s3"))
+    out = []
+    for keys, level, mean, s, n, bad in ((["suffix", "domain", "host"], hst, "m2", s3, F.col("n"), F.col("bad")), (["suffix", "domain"], dom, "m2", s3, 0.0, 0.0), (["suffix"], suf, "m1", s2, 0.0, 0.0), ([], total, "m0", s1, 0.0, 0.0)):
+        rate, lower = _bound(F.col(mean), F.col(s.columns[0]), F.lit(n), F.lit(bad))
+        out.append((keys, level.join(F.broadcast(s)).select(*keys, rate.alias("rate"), lower.alias("lower"))))
+    return out
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
@@ -112,19 +127,27 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, s
     """page_id, host, path, rule, verdict, host_rate, host_lower for every page.
 
     labels: page_id, bad (0/1); null labels and labels of unknown pages count
-    for nothing, repeated rows count each. A host without labelled pages has no
-    bound of its own and is allowed. Null and malformed urls have the empty host,
-    which is judged as any other. No labels at all: every page without a rule is
+    for nothing, repeated rows count each. A host without labelled pages has the
+    prior of its domain, else of its suffix, else the global one, with the same
+    bound. Null and malformed urls have the empty host, which is judged as any other. No labels at all: every page without a rule is
     allowed. Empty pages: no rows."""
     d = parse(pages, suffixes)
     seen = d.join(labels.select(F.col("page_id"), F.col("bad").cast("long").alias("bad")).where("page_id is not null and bad is not null"), "page_id")
     outcomes = cut(seen.groupBy("host", "domain", "suffix").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")), "outcomes")
-    rep = host_reputation(outcomes).select("host", F.col("rate").alias("host_rate"), F.col("lower").alias("host_lower"))
-    # The salted host key splits a host that holds a third of all pages.
+    # The salted keys split a host, domain or suffix that holds a third of all pages.
     salts = 16
     d = d.withColumn("__salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)))
-    rep = rep.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    d = d.join(rep, ["host", "__salt"], "left")
+    rates, lowers = [], []
+    for i, (keys, rep) in enumerate(host_reputation(outcomes)):
+        rep = rep.withColumnsRenamed({"rate": f"__rate{i}", "lower": f"__lower{i}"})
+        if keys:
+            rep = rep.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+            d = d.join(rep, [*keys, "__salt"], "left")
+        else:
+            d = d.join(F.broadcast(rep))  # one row always
+        rates.append(F.col(f"__rate{i}"))
+        lowers.append(F.col(f"__lower{i}"))
+    d = d.withColumns({"host_rate": F.coalesce(*rates), "host_lower": F.coalesce(*lowers)})
     text, action = best_rule(F.col("host"), F.col("path"), rules)
     learned = F.when(F.col("host_lower") > F.lit(max_bad_rate), F.lit("block")).otherwise(F.lit("allow"))
     return d.select("page_id", "host", "path", text.alias("rule"), F.coalesce(action, learned).alias("verdict"), "host_rate", "host_lower")

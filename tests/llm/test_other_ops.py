@@ -59,6 +59,33 @@ def test_url_parts_rules_and_reputation(spark):
     assert urls.judge(pages.where("false"), labels).count() == 0
 
 
+def test_unlabelled_hosts_take_their_domains_prior(spark):
+    labelled = [(f"h{h}.{d}", b) for h in range(4) for d, b in (("spam.com", 1), ("fine.com", 0), ("good.org", 0), ("vile.bad", 1), ("worse.bad", 1)) for _ in range(30)]
+    rows = list(enumerate(h for h, _ in labelled)) + [(1000, "new.spam.com"), (1001, "new.fine.com"), (1002, "x.other.bad"), (1003, "x.other.org"), (1004, "x.else.where"), (1005, "x.other.com"), (1006, "h0.spam.com")]
+    pages = spark.createDataFrame([(i, f"http://{h}/") for i, h in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(labelled)], "page_id long, bad int")
+    got = {r["page_id"]: r for r in urls.judge(pages, labels).collect()}
+    assert len(got) == len(rows)
+
+    def strength(groups):
+        spread = sum((n - 1) * m * (1 - m) for n, _, m in groups)
+        rho = (sum(n * (b / n - m) ** 2 for n, b, m in groups) - sum(m * (1 - m) for _, _, m in groups)) / spread
+        return max(1.0, min(1000.0, 1 / rho - 1)) if rho > 0 else 1000.0
+
+    m0 = (360 + 1) / (600 + 2)
+    suf = {"com": (240, 120), "org": (120, 0), "bad": (240, 240)}
+    s1 = strength([(n, b, m0) for n, b in suf.values()])
+    m1 = {k: (b + m0 * s1) / (n + s1) for k, (n, b) in suf.items()}
+    dom = {"spam.com": 120, "fine.com": 0, "good.org": 0, "vile.bad": 120, "worse.bad": 120}
+    s2 = strength([(120, b, m1[k.split(".")[1]]) for k, b in dom.items()])
+    m2 = {k: (b + m1[k.split(".")[1]] * s2) / (120 + s2) for k, b in dom.items()}
+    s3 = strength([(30, b // 4, m2[k]) for k, b in dom.items() for _ in range(4)])
+    for i, m, s in ((1000, m2["spam.com"], s3), (1001, m2["fine.com"], s3), (1002, m1["bad"], s2), (1003, m1["org"], s2), (1004, m0, s1), (1005, m1["com"], s2)):
+        assert got[i]["host_rate"] == pytest.approx(m) and got[i]["host_lower"] == pytest.approx(m - urls.Z * (m * (1 - m) / (s + 1)) ** 0.5)
+    assert [got[i]["verdict"] for i in range(1000, 1007)] == ["block", "allow", "block", "allow", "allow", "allow", "block"]
+    assert got[1006]["host_rate"] == got[0]["host_rate"] > got[1000]["host_rate"]
+
+
 def test_topk_matches_brute_force(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(300, 8)) / 3
