@@ -162,19 +162,23 @@ def search(docs: DataFrame, benchmark: DataFrame, k: int = K, threshold: float =
 
 def _search_joined(docs: DataFrame, items: DataFrame, k: int, threshold: float) -> DataFrame:
     """The same for a benchmark of any size: sketch values and documents' hashes
-    meet by hash, candidates are verified by counting shared shingles by hash."""
+    meet by hash, candidates are verified by counting shared shingles by hash. Every
+    benchmark row is judged by a number of its own, rows of one item_id too."""
     d = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "decontam")
-    item_h = cut(_hash_rows(items.select(F.col("item_id").alias("row"), "text"), k), "items")
+    items = cut(items.withColumn("item", F.monotonically_increasing_id()), "benchmark")
+    item_h = cut(_hash_rows(items.select(F.col("item").alias("row"), "text"), k), "items")
     size = F.size("hashes")
-    sketch = item_h.select(F.col("row").alias("item_id"), "words", size.alias("size"), F.explode(F.slice("hashes", F.lit(1), size - F.greatest(F.lit(1), F.ceil(F.lit(threshold) * size - 1e-9).cast("int")) + 1)).alias("h"))
+    sketch = item_h.select(F.col("row").alias("item"), "words", size.alias("size"), F.explode(F.slice("hashes", F.lit(1), size - F.greatest(F.lit(1), F.ceil(F.lit(threshold) * size - 1e-9).cast("int")) + 1)).alias("h"))
     lengths = [r[0] for r in item_h.select("words").distinct().collect()]  # at most k values
     doc_h = _hash_rows(d.select(F.col("__row").alias("row"), "text"), k, tuple(sorted(lengths)))
     doc_h = cut(doc_h.select("row", "words", F.explode("hashes").alias("h")), "doc-hashes")
-    pairs = doc_h.join(sketch, ["words", "h"]).select("row", "item_id", "words", "size").distinct()
-    full = item_h.select(F.col("row").alias("item_id"), "words", F.explode("hashes").alias("h"))
-    hits = pairs.join(full, ["item_id", "words"]).join(doc_h, ["row", "words", "h"]).groupBy("row", "item_id", "size").agg(F.count("*").alias("shared"))
+    pairs = doc_h.join(sketch, ["words", "h"]).select("row", "item", "words", "size").distinct()
+    full = item_h.select(F.col("row").alias("item"), "words", F.explode("hashes").alias("h"))
+    hits = pairs.join(full, ["item", "words"]).join(doc_h, ["row", "words", "h"]).groupBy("row", "item", "size").agg(F.count("*").alias("shared"))
     hits = hits.where(F.col("shared") >= F.greatest(F.lit(1), F.ceil(F.lit(threshold) * F.col("size") - 1e-9)))
-    m = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("item_id", F.col("shared").cast("long").alias("shared"), F.col("size").cast("long").alias("size")))).alias("__m"))
+    hits = hits.join(items.select("item", "item_id"), "item")
+    m = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("item_id", (-F.col("shared")).alias("order"), F.col("shared").cast("long").alias("shared"), F.col("size").cast("long").alias("size")))).alias("__m"))
+    m = m.withColumn("__m", F.transform("__m", lambda x: x.dropFields("order")))
     out = d.join(m, d["__row"] == m["row"], "left")
     return out.select(*[d[f"`{c}`"] for c in docs.columns], F.coalesce("__m", F.array().cast(T.ArrayType(MATCH))).alias("__matches"))
 

@@ -195,6 +195,21 @@ def test_decontamination_matches_brute_force(spark):
     assert decontam.clean(docs_of(spark, rows), bench.where("false")).count() == len(rows)
 
 
+def test_decontamination_judges_repeated_items_row_by_row(spark):
+    w = [f"w{i}" for i in range(200)]
+    item = " ".join(w[:24])  # 20 shingles
+    bench = [(1, item)] * 2 + [(2, " ".join(w[100:124])), (2, " ".join(w[100:108] + w[130:190])), (3, item)]
+    rows = [(n, " ".join(["x"] * 6 + w[:n + 4] + ["y"] * 6), "en", "s", 0) for n in (8, 12, 15, 16, 20)]  # n of 20 shared
+    rows += [(30, " ".join(w[100:118]), "en", "s", 0), (31, " ".join(w[100:124]), "en", "s", 0)]
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    full = lambda n: [(1, n, 20), (1, n, 20), (3, n, 20)]
+    want = {8: [], 12: [], 15: [], 16: full(16), 20: full(20), 30: [], 31: [(2, 20, 20)]}
+    for bound in (10**6, 1):
+        out = decontam.search(docs_of(spark, rows), b, bound=bound).collect()
+        assert {r["doc_id"]: [tuple(m) for m in r["__matches"]] for r in out} == want
+        assert {r["doc_id"] for r in decontam.clean(docs_of(spark, rows), b, bound=bound).collect()} == {8, 12, 15, 30}
+
+
 def test_bpe_equals_the_public_library(spark):
     import tiktoken
 
