@@ -307,8 +307,15 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     none: the set is empty and links with nothing. Rows of null doc_id take no
     part (component null, no links). Repeated rows are documents of their own and
     link with each other."""
+    return _join(docs, k, percent)
+
+
+def _join(docs: DataFrame, k: int, percent: int, root: bool = False) -> DataFrame:
+    """With root, also __root: a class that names the component. Components of
+    different texts can have one smallest doc_id, where rows share it."""
     ship(docs.sparkSession)
-    docs = free(docs, "__h", "__hh", "__id", "__n", "__n_shingles", "__component", "__links")
+    docs = free(docs, "__h", "__hh", "__id", "__n", "__n_shingles", "__component", "__links", "__root")
+    named = ["__root"] if root else []
     keyed = docs.withColumn("__h", F.xxhash64("text"))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     sets = cut(_sets(src, k), "sets")
@@ -328,16 +335,16 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     comp = components(links.where("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b")))
     least = comp.join(classes.select(F.col("cls").alias("node"), "doc_id"), "node").select("comp", "doc_id")
     least = least.unionByName(classes.join(comp.select("comp").distinct(), classes["cls"] == F.col("comp")).select("comp", "doc_id")).groupBy("comp").agg(F.min("doc_id").alias("low"))
-    linked = comp.unionByName(comp.select(F.col("comp").alias("node"), "comp").distinct()).join(least, "comp").select(F.col("node").alias("cls"), "low")
+    linked = comp.unionByName(comp.select(F.col("comp").alias("node"), "comp").distinct()).join(least, "comp").select(F.col("node").alias("cls"), "low", F.col("comp").alias("root"))
     counts = links.groupBy("cls").agg(F.sum("links").alias("links"))
     by_class = classes.select("cls", "weight", "doc_id").join(linked, "cls", "left").join(counts, "cls", "left")
     # Written first: a join of plain tables lets Spark split the rows of a class of very many copies.
-    by_class = cut(by_class.select("cls", F.coalesce("low", "doc_id").alias("__component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("__links")), "by-class")
-    rows = part.join(by_class, "cls").select(F.col("doc_id").alias("__id"), F.col("h").alias("__hh"), "__component", "__links", F.col("n").alias("__n")).dropDuplicates(["__id", "__hh"])
-    rest = sets.where("n = 0 or doc_id is null").select(F.col("doc_id").alias("__id"), F.col("h").alias("__hh"), F.col("doc_id").alias("__component"), F.lit(0).cast("long").alias("__links"), F.col("n").alias("__n")).dropDuplicates(["__id", "__hh"])
+    by_class = cut(by_class.select("cls", F.coalesce("low", "doc_id").alias("__component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("__links"), *[F.coalesce("root", "cls").alias(c) for c in named]), "by-class")
+    rows = part.join(by_class, "cls").select(F.col("doc_id").alias("__id"), F.col("h").alias("__hh"), "__component", "__links", F.col("n").alias("__n"), *named).dropDuplicates(["__id", "__hh"])
+    rest = sets.where("n = 0 or doc_id is null").select(F.col("doc_id").alias("__id"), F.col("h").alias("__hh"), F.col("doc_id").alias("__component"), F.lit(0).cast("long").alias("__links"), F.col("n").alias("__n"), *[F.lit(None).cast("long").alias(c) for c in named]).dropDuplicates(["__id", "__hh"])
     rows = rows.unionByName(rest)
     out = keyed.join(rows, keyed["doc_id"].eqNullSafe(rows["__id"]) & keyed["__h"].eqNullSafe(rows["__hh"]), "left")
-    return out.select(*[keyed[f"`{c}`"] for c in docs.columns], F.col("__n").alias("__n_shingles"), "__component", "__links")
+    return out.select(*[keyed[f"`{c}`"] for c in docs.columns], F.col("__n").alias("__n_shingles"), "__component", "__links", *named)
 
 
 def _hashes(found: DataFrame, k: int) -> DataFrame:
@@ -353,10 +360,10 @@ def _hashes(found: DataFrame, k: int) -> DataFrame:
 
 def representatives(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """One document of each group: the row of smallest doc_id (one of them, where
-    repeated rows share it). Documents that link with nothing stay, rows of null
-    doc_id too."""
-    docs = free(docs, "__h", "__hh", "__id", "__n", "__n_shingles", "__component", "__links")
-    j = join(docs, k, percent)
+    rows of the group share it). Documents that link with nothing stay, rows of null
+    doc_id too, and rows of one doc_id in different groups each."""
+    docs = free(docs, "__h", "__hh", "__id", "__n", "__n_shingles", "__component", "__links", "__root")
+    j = _join(docs, k, percent, root=True)
     j = j.where("doc_id is null or doc_id = __component")
-    known = j.where("doc_id is not null and __n_shingles > 0").dropDuplicates(["doc_id"])
+    known = j.where("doc_id is not null and __n_shingles > 0").dropDuplicates(["__root"])
     return known.unionByName(j.where("doc_id is null or __n_shingles = 0")).select(*[f"`{c}`" for c in docs.columns])

@@ -140,6 +140,15 @@ def test_jaccard_join_matches_brute_force(spark, k, pct):
     assert jaccard.join(docs_of(spark, rows).where("false"), k, pct).count() == 0
 
 
+def test_representatives_keep_unrelated_texts_of_one_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = lambda t: t + " more"
+    rows = [(1, a), (1, b), (1, near(b)), (1, b), (2, near(a)), (3, near(b)), (4, c), (4, c), (5, None), (5, "")]
+    keep = jaccard.representatives(docs_of(spark, [(i, t, "en", "s", 0) for i, t in rows])).collect()
+    assert sorted(r["doc_id"] for r in keep) == [1, 1, 4, 5, 5]
+    assert {(r["text"] or " ")[0] for r in keep if r["doc_id"] == 1} == {"a", "b"}
+
+
 def test_every_linked_pair_shares_a_signature():
     rng = np.random.default_rng(4)
     for pct in (50, 80, 85, 95):
