@@ -11,13 +11,13 @@ stop tested before an iteration counts.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkvane.functions.expr import near, ranked
@@ -84,9 +84,9 @@ def unvisited(frontier: DataFrame, visited: DataFrame) -> DataFrame:
     return frontier.join(visited, ["qid", "vec_id"], "left_anti")
 
 
-def round_once(pool: DataFrame, visited: DataFrame, graph: DataFrame, score: Scorer, p: Params) -> tuple[DataFrame, DataFrame, DataFrame]:
+def round_once(pool: DataFrame, visited: DataFrame, graph: DataFrame, score: Scorer, p: Params, chosen: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pool, visited, chosen) after one round of all queries."""
-    chosen = select(pool, p.top_l, p.width)
+    chosen = select(pool, p.top_l, p.width) if chosen is None else chosen
     fresh = unvisited(expand(chosen, graph), visited)
     marked = pool.join(chosen.withColumn("now", F.lit(True)), ["qid", "vec_id"], "left").withColumn("expanded", F.col("expanded") | F.coalesce("now", F.lit(False)))
     new = score(fresh).withColumn("expanded", F.lit(False))
@@ -102,17 +102,17 @@ def rounds(entries: DataFrame, graph: DataFrame, score: Scorer, p: Params, n: in
     return pool.select("qid", "rank", "vec_id", "dist", "expanded")
 
 
+def _keeper(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
+    safe = spark.sparkContext.getCheckpointDir() is not None or spark.conf.get("spark.checkpoint.dir", None) is not None
+    return lambda df: df.checkpoint() if safe else df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def traverse(entries: DataFrame, graph: DataFrame, score: Scorer, p: Params, trace: bool = False) -> tuple[DataFrame, DataFrame]:
     """(pool, stats) when no query has an unexpanded candidate left. Lineage is
     cut each round: checkpoint() where a checkpoint folder is set, else persist.
 
     With trace, stats holds one row per (qid, step, vec_id) expanded."""
-    spark = entries.sparkSession
-    safe = spark.sparkContext.getCheckpointDir() is not None or spark.conf.get("spark.checkpoint.dir", None) is not None
-
-    def keep(df: DataFrame) -> DataFrame:
-        return df.checkpoint() if safe else df.persist(StorageLevel.MEMORY_AND_DISK)
-
+    keep = _keeper(entries.sparkSession)
     pool, visited = keep(seed(entries, score, p.limit)), keep(entries.select("qid", "vec_id").distinct())
     steps, done, step = [], 0, 0
     while done < p.max_expansions:
@@ -161,16 +161,42 @@ def search_one(lut: np.ndarray, start: list[int], adj: dict, codes: np.ndarray,
     return pool, len(seen), n, rounds_
 
 
+def search_rounds(luts: DataFrame, entries: DataFrame, graph: DataFrame, codes: DataFrame, centers: int, p: Params, prefix: int = 0) -> DataFrame:
+    """The rows of search_kernel() for a graph of any size, by rounds of joins as
+    in traverse(); expansions are counted, and a stop at `prefix` tested, per query."""
+    keep = _keeper(luts.sparkSession)
+    score = Scorer(codes, luts, centers)
+    start = entries.select("qid", "vec_id").distinct().join(luts.select("qid"), "qid", "left_semi")
+    visited = keep(start.join(codes.select("vec_id"), "vec_id", "left_semi").select("qid", "vec_id"))
+    pool = keep(seed(visited, score, p.limit))
+    none = F.lit(0).cast("long")
+    used = keep(visited.select("qid").distinct().select("qid", none.alias("n_expanded"), none.alias("iterations")))
+    while True:
+        left = used.select("qid", "n_expanded", F.least(F.lit(p.width), p.max_expansions - F.col("n_expanded")).alias("left"))
+        if prefix:
+            left = left.join(pool.groupBy("qid").agg(F.count("*").alias("have")), "qid").where((F.col("have") < p.top_l) | (F.col("n_expanded") < prefix))
+        turn = ranked(pool.where((F.col("rank") <= p.top_l) & ~F.col("expanded")), ["qid"], rank="turn")
+        chosen = keep(turn.join(left.select("qid", "left"), "qid").where(F.col("turn") <= F.col("left")).select("qid", "vec_id"))
+        if chosen.isEmpty():
+            break
+        pool, visited, _ = round_once(pool, visited, graph, score, p, chosen)
+        now = chosen.groupBy("qid").agg(F.count("*").alias("now"))
+        used = used.join(now, "qid", "left").select("qid", (F.col("n_expanded") + F.coalesce("now", none)).alias("n_expanded"), (F.col("iterations") + F.col("now").isNotNull().cast("long")).alias("iterations"))
+        pool, visited, used = keep(pool), keep(visited), keep(used)
+    seen = visited.groupBy("qid").agg(F.count("*").alias("visited"))
+    return pool.join(seen, "qid").join(used, "qid").select("qid", F.col("rank").cast("long").alias("rank"), "vec_id", "dist", "expanded", "visited", "n_expanded", "iterations")
+
+
 def search_kernel(luts: DataFrame, entries: DataFrame, graph: DataFrame, codes: DataFrame, centers: int, p: Params, prefix: int = 0, limit_bytes: int = GRAPH_BYTES) -> DataFrame:
     """qid, rank, vec_id, dist, expanded, visited, n_expanded, iterations per pool
     row, from the query-at-a-time kernel. The graph (src, dst) and codes go to every task, so their
-    size is checked first; beyond the limit use traverse()."""
+    size is checked first; beyond the limit search_rounds() gives the same rows."""
     spark = luts.sparkSession
     ship(spark)
     edges, points = graph.count(), codes.count()
     chunks = len(codes.first()["code"]) if points else 1
     if edges * 16 + points * (8 + chunks * 2) > limit_bytes:
-        raise ValueError("graph too large to broadcast; use traverse()")
+        return search_rounds(luts, entries, graph, codes, centers, p, prefix)
     g = graph.select("src", "dst").toArrow()
     c = codes.select("vec_id", "code").toArrow()
     ids = c.column("vec_id").to_numpy()

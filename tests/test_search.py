@@ -36,6 +36,18 @@ def test_traversal_set_form_and_kernel_agree_with_the_known_result(spark):
     assert {r["qid"] for r in stats.collect()} == {0, 1}
 
 
+@pytest.mark.parametrize("p,prefix", [((3, 8, 2, 4096), 0), ((3, 8, 3, 7), 0), ((3, 6, 2, 4096, 12), 4)])
+def test_search_beyond_the_size_limit_equals_the_kernel(spark, p, prefix):
+    rng = np.random.default_rng(3)
+    graph = spark.createDataFrame([(i, int(j)) for i in range(40) for j in rng.integers(0, 45, 4)], "src long, dst long")
+    codes = spark.createDataFrame([(i, rng.integers(0, 16, 2).tolist()) for i in range(42)], "vec_id long, code array<int>")
+    luts = spark.createDataFrame([(q, rng.integers(0, 9, 32).astype(float).tolist()) for q in range(5)], "qid long, lut array<double>")
+    entries = spark.createDataFrame([(q, v) for q in range(6) for v in (0, q, 44)], "qid long, vec_id long")
+    got, want = (traverse.search_kernel(luts, entries, graph, codes, 16, traverse.Params(*p), prefix, b) for b in (0, 1 << 20))
+    assert got.columns == want.columns
+    assert rows(got, *want.columns) == rows(want, *want.columns) != []
+
+
 def test_full_width_traversal_equals_brute_force(spark):
     graph, codes, luts, entries = tables(spark, {0: 0.0, 1: 8.0, 2: 4.0})
     p = traverse.Params(6, 6, 2, 100)
