@@ -125,7 +125,7 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = urls.judge(table(spark, sf_dir, "pages"), outcomes(spark, sf_dir))
+    out = urls.judge(table(spark, sf_dir, "pages"), outcomes(spark, sf_dir), suffixes=urls.PUBLIC_SUFFIXES)
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 

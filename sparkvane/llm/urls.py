@@ -23,6 +23,18 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 MAX_BAD_RATE = 0.5
 Z = 1.645
+#: Public suffixes of two labels that are common; no more than a part of the public
+#: suffix list, which is not at hand here. Others are taken to be the last label.
+_UNDER = {
+    "uk": "ac co gov ltd me net nhs org plc police sch", "au": "asn com edu gov id net org", "nz": "ac co geek gen govt iwi kiwi maori net org school",
+    "jp": "ac ad co ed go gr lg ne or", "kr": "ac co go ne or pe re", "br": "adv art blog com edu eng gov ind jus leg mil net org", "in": "ac co edu firm gen gov ind net nic org res",
+    "za": "ac co gov net org web", "cn": "ac com edu gov mil net org", "tw": "com edu gov idv net org", "hk": "com edu gov idv net org", "sg": "com edu gov net org per",
+    "my": "com edu gov mil name net org", "th": "ac co go in mi net or", "id": "ac co desa go mil my net or sch web", "ph": "com edu gov net ngo org", "vn": "com edu gov name net org",
+    "tr": "av bel com edu gen gov k12 name net org web", "il": "ac co gov k12 muni net org", "mx": "com edu gob net org", "ar": "com edu gob gov int mil net org tur", "co": "com edu gov mil net nom org",
+    "pe": "com edu gob net nom org", "ve": "co com edu gob info net org web", "ua": "com edu gov in net org", "pl": "com edu gov net org", "ke": "ac co go me ne or sc", "ng": "com edu gov name net org",
+    "eg": "com edu gov net org sci", "sa": "com edu gov med net org sch", "pk": "com edu gov net org", "bd": "ac com edu gov net org",
+}
+PUBLIC_SUFFIXES = tuple(f"{a}.{b}" for b, own in _UNDER.items() for a in own.split())
 LEAST_STRENGTH, MOST_STRENGTH = 1.0, 1000.0
 
 
@@ -48,8 +60,9 @@ def suffix_of(host: Column, suffixes: Sequence[str] = ()) -> Column:
     """The public suffix: the longest of `suffixes` (two labels or more) that
     ends the host, else its last label."""
     out = F.element_at(F.split(host, r"\."), -1)
-    for s in sorted(suffixes, key=len):
-        out = F.when((host == s) | host.endswith("." + s), F.lit(s)).otherwise(out)
+    for n in sorted({s.count(".") + 1 for s in suffixes}):
+        tail = F.substring_index(host, ".", -n)
+        out = F.when(tail.isin([s for s in suffixes if s.count(".") + 1 == n]), tail).otherwise(out)
     return out
 
 

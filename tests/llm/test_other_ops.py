@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkvane.llm import topk, urls, warc
+from sparkvane.llm import queries, topk, urls, warc
 from sparkvane.llm._store import new_path
 
 PAGES = "page_id long, url string, html string"
@@ -86,6 +86,17 @@ def test_unlabelled_hosts_take_their_domains_prior(spark):
     assert got[1006]["host_rate"] == got[0]["host_rate"] > got[1000]["host_rate"]
 
 
+def test_sites_under_a_suffix_of_two_labels_have_priors_of_their_own(spark, tmp_path):
+    labelled = [(f"h{h}.{d}.co.uk", b) for h in range(4) for d, b in (("spam", 0), ("fine", 1), ("good", 1)) for _ in range(30)]
+    rows = list(enumerate(h for h, _ in labelled)) + [(1000, "new.spam.co.uk"), (1001, "new.fine.co.uk"), (1002, "spam.co.uk"), (1003, "co.uk"), (1004, "new.notco.uk")]
+    spark.createDataFrame([(i, f"http://{h}/", "") for i, h in rows], PAGES).write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(i, q, 0) for i, (_, q) in enumerate(labelled)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r["page_id"]: r["verdict"] for r in queries.op7_url_filter(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(1000, 1005)] == ["block", "allow", "block", "allow", "allow"]
+    parts = {r["host"]: (r["domain"], r["suffix"]) for r in urls.parse(spark.read.parquet(str(tmp_path / "pages.parquet")), urls.PUBLIC_SUFFIXES).collect()}
+    assert parts["h0.spam.co.uk"] == ("spam.co.uk", "co.uk") and parts["co.uk"] == ("co.uk", "co.uk") and parts["new.notco.uk"] == ("notco.uk", "uk")
+
+
 def test_topk_matches_brute_force(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(300, 8)) / 3
