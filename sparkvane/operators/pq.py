@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkvane.functions.expr import l2, near, ranked
+from sparkvane.functions.expr import l2, near, ranked, top
+from sparkvane.operators.vectors import packed
+from sparkvane.session import ship
 
 CHUNKS, DIMS = 8, 8
+ROWS = 256
+
+
+def best_center(sub: Column, book: Column) -> Column:
+    """struct(d, center) of the nearest center, ties to the lower center."""
+    return F.array_min(F.transform(book, lambda b: F.struct(near(l2(sub, b["pivot"])).alias("d"), b["center"].alias("center"))))
 
 
 def subvectors(df: DataFrame, id_col: str = "vec_id", vec: str = "v", chunks: int = CHUNKS, dims: int = DIMS) -> DataFrame:
@@ -21,29 +34,88 @@ def first_centers(subs: DataFrame, lo: int, hi: int, id_col: str = "vec_id") ->
     return subs.where(F.col(id_col).between(lo, hi - 1)).select("chunk", (F.col(id_col) - lo).cast("long").alias("center"), F.col("sub").alias("pivot"))
 
 
-def by_chunk(book: DataFrame, name: str = "book") -> DataFrame:
-    """One row per chunk with all its centers: at most 256, so it is safe to broadcast."""
-    return book.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("center", "pivot"))).alias(name))
-
-
-def best_center(sub: Column, book: Column) -> Column:
-    """struct(d, center) of the nearest center, ties to the lower center."""
-    return F.array_min(F.transform(book, lambda b: F.struct(near(l2(sub, b["pivot"])).alias("d"), b["center"].alias("center"))))
-
-
-def encode(subs: DataFrame, book: DataFrame, id_col: str = "vec_id") -> DataFrame:
-    """id, chunk, center, err, sub: argmin per chunk; no shuffle of the vectors."""
-    d = subs.join(F.broadcast(by_chunk(book)), "chunk").withColumn("b", best_center(F.col("sub"), F.col("book")))
-    return d.select(id_col, "chunk", F.col("b.center").alias("center"), F.col("b.d").alias("err"), "sub")
-
-
-def decode(codes: DataFrame, book: DataFrame, id_col: str = "vec_id") -> DataFrame:
-    """id, chunk, sub, approx."""
-    return codes.join(F.broadcast(book), ["chunk", "center"]).select(id_col, "chunk", "sub", F.col("pivot").alias("approx"))
-
-
-def residuals(decoded: DataFrame, id_col: str = "vec_id") -> DataFrame:
-    return decoded.select(id_col, "chunk", F.zip_with("sub", "approx", lambda a, b: a - b).alias("sub"))
+@dataclass(frozen=True)
+class Book:
+    """A codebook as arrays: center ids ascending, pivots (chunk, center, dim). It is
+    bounded (at most 256 centers a chunk) and goes to every task."""
+
+    centers: np.ndarray
+    pivots: np.ndarray
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the nearest centers of x (row, chunk, dim), ties to the lower
+        center, and the squared errors, rounded as all distances that order rows."""
+        at, err = np.empty(x.shape[:2], np.int64), np.empty(x.shape[:2])
+        for lo in range(0, len(x), ROWS):
+            part = x[lo : lo + ROWS]
+            for c in range(x.shape[1]):
+                d = np.round(((part[:, c, None, :] - self.pivots[c][None]) ** 2).sum(axis=2), 9)
+                i = d.argmin(axis=1)
+                at[lo : lo + ROWS, c], err[lo : lo + ROWS, c] = i, d[np.arange(len(part)), i]
+        return at, err
+
+    def decode(self, at: np.ndarray) -> np.ndarray:
+        return self.pivots[np.arange(at.shape[1])[None, :], at]
+
+
+def load(book: DataFrame, most: int = 1 << 18) -> Book:
+    """book (chunk, center, pivot), the same centers in every chunk, as arrays."""
+    t = book.select("chunk", "center", "pivot").limit(most + 1).toArrow().sort_by([("chunk", "ascending"), ("center", "ascending")])
+    if not 0 < len(t) <= most:
+        raise ValueError(f"a codebook has 1 to {most} pivots")
+    centers = np.unique(t.column("center").to_numpy())
+    pivots = np.array(t.column("pivot").to_pylist(), np.float64)
+    return Book(centers, pivots.reshape(-1, len(centers), pivots.shape[1]))
+
+
+def _rows(col: pa.ListArray, chunks: int) -> np.ndarray:
+    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), chunks, -1)
+
+
+def _lists(x: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    x = x.reshape(len(x), -1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel(), kind))
+
+
+def encode(vectors: DataFrame, book: Book, residual: Book | None = None, outlier: Book | None = None, id_col: str = "vec_id", vec: str = "v") -> DataFrame:
+    """One row per vector, made in the task that reads it: id, code (centers by
+    chunk), err (squared error by chunk). With a residual book also approx, res_code
+    and bound (norm of what the residual code leaves); with an outlier book also
+    out_code and use_outlier (where its error is strictly smaller). No shuffle."""
+    ship(vectors.sparkSession)
+    chunks = len(book.pivots)
+    fields = [(id_col, "long", pa.int64()), ("code", "array<int>", pa.list_(pa.int32())), ("err", "array<double>", pa.list_(pa.float64()))]
+    if residual is not None:
+        fields += [("approx", "array<double>", pa.list_(pa.float64())), ("res_code", "array<int>", pa.list_(pa.int32())), ("bound", "double", pa.float64())]
+    if outlier is not None:
+        fields += [("out_code", "array<int>", pa.list_(pa.int32())), ("use_outlier", "array<boolean>", pa.list_(pa.bool_()))]
+    schema = pa.schema([(n, t) for n, _, t in fields])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            x = _rows(b.column(1), chunks)
+            at, err = book.nearest(x)
+            out = [b.column(0).cast(pa.int64()), _lists(book.centers[at], pa.int32()), _lists(err, pa.float64())]
+            if residual is not None:
+                approx = book.decode(at)
+                rest = x - approx
+                r_at, _ = residual.nearest(rest)
+                left = ((rest - residual.decode(r_at)) ** 2).sum(axis=2).sum(axis=1)
+                out += [_lists(approx, pa.float64()), _lists(residual.centers[r_at], pa.int32()), pa.array(np.sqrt(left))]
+            if outlier is not None:
+                o_at, o_err = outlier.nearest(x)
+                out += [_lists(outlier.centers[o_at], pa.int32()), _lists(o_err < err, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(out, schema=schema)
+
+    return vectors.select(id_col, vec).mapInArrow(run, ", ".join(f"{n} {t}" for n, t, _ in fields))
+
+
+def by_chunk(coded: DataFrame, id_col: str = "vec_id", **columns: str) -> DataFrame:
+    """id, chunk and one column for each of `columns` (name: array column by chunk)."""
+    zipped = F.arrays_zip(*[F.col(c).alias(n) for n, c in columns.items()])
+    return coded.select(id_col, F.posexplode(zipped).alias("chunk", "p")).select(id_col, F.col("chunk").cast("long").alias("chunk"), *[F.col(f"p.{n}").alias(n) for n in columns])
 
 
 def lut(queries: DataFrame, book: DataFrame, chunks: int = CHUNKS, dims: int = DIMS) -> DataFrame:
@@ -57,23 +129,41 @@ def wide_lut(table: DataFrame, name: str = "lut") -> DataFrame:
     return table.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "center", "d"))), lambda x: x["d"]).alias(name))
 
 
-def wide_codes(codes: DataFrame, name: str = "code", id_col: str = "vec_id") -> DataFrame:
-    return codes.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "center"))), lambda x: x["center"].cast("int")).alias(name))
-
-
 def table_sum(lut: Column, code: Column, centers: int) -> Column:
     """Sum over chunks of the table entry of each code: asymmetric distance."""
     at = F.transform(code, lambda c, i: F.element_at(lut, i * centers + c + 1))
     return F.aggregate(at, F.lit(0.0), lambda s, x: s + x)
 
 
-def adc(codes: DataFrame, luts: DataFrame, centers: int, limit_bytes: int = 64 << 20, table_bytes: int = 8) -> DataFrame:
-    """qid, vec_id, dist for every query and every code. Query tables go to the
-    code partitions by broadcast when they are under the limit, else by blocks of
-    queries that Spark joins without a hint."""
-    n, width = luts.count(), CHUNKS * centers * table_bytes
-    side = F.broadcast(luts) if n * width <= limit_bytes else luts
-    return codes.join(side, how="cross").select("qid", "vec_id", table_sum(F.col("lut"), F.col("code"), centers).alias("dist"))
+def adc_topk(codes: DataFrame, luts: DataFrame, centers: int, k: int, block: int = 8192) -> DataFrame:
+    """qid, rank, vec_id, dist: the k smallest asymmetric distances of each query over
+    all codes. Blocks of query tables meet blocks of codes; a meeting keeps k rows a
+    query, so no row of a pair leaves its task. codes: vec_id, code (positions);
+    luts: qid, lut (chunk by chunk)."""
+    ship(codes.sparkSession)
+    q = packed(luts.select("qid", "lut"), 128).withColumn("qb", F.monotonically_increasing_id())
+    v = packed(codes.select("vec_id", "code"), block, np.int32)
+    pairs = v.join(q.select("qb", F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("vecs").alias("tables")), how="cross")
+    schema = pa.schema([("qid", pa.int64()), ("vec_id", pa.int64()), ("dist", pa.float64())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(len(b)):
+                ids, vecs, qids, tables = (b.column(i)[r].as_py() for i in (0, 1, 2, 3))
+                ids, qids = np.frombuffer(ids, np.int64), np.frombuffer(qids, np.int64)
+                code = np.frombuffer(vecs, np.int32).reshape(len(ids), -1)
+                lut = np.frombuffer(tables).reshape(len(qids), -1, centers)
+                out = []
+                for i in range(len(qids)):
+                    d = lut[i, np.arange(code.shape[1])[None, :], code].sum(axis=1)
+                    near_d = np.round(d, 9)
+                    few = np.flatnonzero(near_d <= np.partition(near_d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
+                    few = few[np.lexsort((ids[few], near_d[few]))[:k]]
+                    out.append((np.full(len(few), qids[i]), ids[few], d[few]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=schema)
+
+    found = pairs.select("ids", "vecs", "qids", "tables").mapInArrow(run, "qid long, vec_id long, dist double")
+    return top(found, ["qid"], k).select("qid", "rank", "vec_id", "dist")
 
 
 def cross_terms(base: DataFrame, residual: DataFrame) -> DataFrame:
@@ -84,14 +174,6 @@ def cross_terms(base: DataFrame, residual: DataFrame) -> DataFrame:
     return b.join(r, "chunk").select("chunk", "base_center", "res_center", (2 * dot).alias("x"))
 
 
-def hybrid_encode(subs: DataFrame, book: DataFrame, outlier: DataFrame) -> DataFrame:
-    """vec_id, chunk, code, use_outlier: the outlier center only where its error is strictly smaller."""
-    d = subs.join(F.broadcast(by_chunk(book)), "chunk").join(F.broadcast(by_chunk(outlier, "out_book")), "chunk")
-    d = d.withColumn("b", best_center(F.col("sub"), F.col("book"))).withColumn("o", best_center(F.col("sub"), F.col("out_book")))
-    use = F.col("o.d") < F.col("b.d")
-    return d.select("vec_id", "chunk", F.when(use, F.col("o.center")).otherwise(F.col("b.center")).alias("code"), use.alias("use_outlier"))
-
-
 def outlier_rows(codes: DataFrame, least: int, fraction: float, most: int = 256_000) -> DataFrame:
     """chunk, vec_id, err of the rows of largest error per chunk: n = min(rows, most, max(least, floor(rows * fraction)))."""
     n = codes.groupBy("chunk").agg(F.count("*").alias("rows"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkvane.functions.expr import l2, near
-from sparkvane.operators.pq import best_center, lloyd
+from sparkvane.operators.pq import best_center
 
 POSTINGS = 256
 COARSE_PROBES = 32
@@ -53,14 +53,15 @@ def cluster_sizes(assigned: DataFrame, clusters: int) -> DataFrame:
 
 def search(queries: DataFrame, coarse: DataFrame, fine: DataFrame, sizes: DataFrame) -> DataFrame:
     """qid, cluster_id: nearest coarse center, then the nearest fine center whose
-    cluster is not empty (fine 0 where all are)."""
+    cluster is not empty (fine 0 where all are). The fine centers that a coarse one
+    has members in come by an equi join, one row a coarse center."""
     n_fine = fine.count()
-    full = sizes.where("n > 0").agg(F.collect_set("cluster_id").alias("full"))
-    d = queries.join(F.broadcast(packed(coarse, "cb")), how="cross").join(F.broadcast(packed(fine, "fb")), how="cross").join(F.broadcast(full), how="cross")
-    d = d.withColumn("c", best_center(F.col("qv"), F.col("cb"))["center"])
-    d = d.withColumn("r", minus("qv", pivot_of(F.col("cb"), F.col("c"))))
-    live = F.filter("fb", lambda f: F.array_contains(F.col("full"), F.col("c") * n_fine + f["center"]))
-    return d.select("qid", (F.col("c") * n_fine + F.coalesce(best_center(F.col("r"), live)["center"], F.lit(0))).cast("long").alias("cluster_id"))
+    full = sizes.where("n > 0").select(F.floor(F.col("cluster_id") / n_fine).cast("long").alias("c"), (F.col("cluster_id") % n_fine).alias("center"))
+    full = full.join(F.broadcast(fine), "center").groupBy("c").agg(F.collect_list(F.struct("center", "pivot")).alias("live"))
+    d = queries.join(F.broadcast(packed(coarse, "cb")), how="cross")
+    d = d.withColumn("c", best_center(F.col("qv"), F.col("cb"))["center"].cast("long"))
+    d = d.withColumn("r", minus("qv", pivot_of(F.col("cb"), F.col("c")))).drop("cb").join(full, "c", "left")
+    return d.select("qid", (F.col("c") * n_fine + F.coalesce(best_center(F.col("r"), F.col("live"))["center"], F.lit(0))).cast("long").alias("cluster_id"))
 
 
 def postings(assigned: DataFrame, most: int = POSTINGS) -> DataFrame:
@@ -73,22 +74,3 @@ def entry_points(found: DataFrame, lists: DataFrame, count: int, fallback: int =
     """qid, pos, vec_id: first postings of the query's cluster, or the fallback id."""
     d = found.join(lists.where(F.col("pos") <= count), "cluster_id", "left")
     return d.select("qid", F.coalesce("pos", F.lit(1)).cast("long").alias("pos"), F.coalesce("vec_id", F.lit(fallback)).cast("long").alias("vec_id"))
-
-
-def train(points: DataFrame, coarse_k: int, fine_k: int, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Coarse and fine codebooks by alternation: coarse on x - fine, fine on
-    x - coarse; first-rows initialisation, one Lloyd round each time."""
-    coarse = points.where(F.col("vec_id") < coarse_k).select(F.col("vec_id").alias("center"), F.col("v").alias("pivot"))
-    fine = None
-    for _ in range(rounds):
-        target = points
-        if fine is not None:
-            d = points.join(F.broadcast(packed(coarse, "cb")), how="cross").join(F.broadcast(packed(fine, "fb")), how="cross")
-            d = d.withColumn("r", minus("v", pivot_of(F.col("cb"), best_center(F.col("v"), F.col("cb"))["center"])))
-            target = d.select("vec_id", minus("v", pivot_of(F.col("fb"), best_center(F.col("r"), F.col("fb"))["center"])).alias("v"))
-        coarse = lloyd(target, coarse).select("center", "pivot")
-        d = points.join(F.broadcast(packed(coarse, "cb")), how="cross")
-        res = d.select("vec_id", minus("v", pivot_of(F.col("cb"), best_center(F.col("v"), F.col("cb"))["center"])).alias("v"))
-        start = fine if fine is not None else res.where(F.col("vec_id") < fine_k).select(F.col("vec_id").alias("center"), F.col("v").alias("pivot"))
-        fine = lloyd(res, start).select("center", "pivot")
-    return coarse, fine

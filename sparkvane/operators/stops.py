@@ -1,34 +1,41 @@
-"""Learned stops: features, labels, datasets and the text model format."""
+"""Learned stops: features of checkpoints, labels, datasets, fitting."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkvane.functions.expr import near
-from sparkvane.operators import traverse
+from sparkvane.operators.models import RERANK, StopModel
+from sparkvane.operators.rerank import windows
 
 PROBE = 8
-TRAVERSAL_W = {"prefix_frac": 1.0, "expanded_frac": -2.0, "best_unexpanded": -1.5, "open_frac": 0.5, "dk": 2.0, "gap_prefix": -1.0}
 
 
-def rerank_features(pool: DataFrame, stages: list[int], k: int) -> DataFrame:
-    """qid, stage, prefix, kth, delta_kth, spread, live, best_gap at each stage
-    prefix. pool: qid, vec_id, rank, lb, exact. The probe looks at the next ranks."""
-    out = None
-    w = Window.partitionBy("qid").orderBy(near(F.col("exact")), "vec_id")
-    for n, p in enumerate(stages):
-        best = pool.where(F.col("rank") <= p).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-        now = best.groupBy("qid").agg(F.max(F.when(F.col("r") == k, F.col("exact"))).alias("kth"), F.min("exact").alias("best"))
-        ahead = pool.where((F.col("rank") > p) & (F.col("rank") <= p + PROBE)).select("qid", "lb")
-        a = now.join(ahead, "qid", "left").groupBy("qid", "kth", "best").agg(
-            F.count_if(near(F.col("lb")) <= near(F.col("kth"))).alias("live"), F.min(F.when(near(F.col("lb")) <= near(F.col("kth")), F.col("lb"))).alias("low"))
-        a = a.select("qid", F.lit(n).cast("long").alias("stage"), F.lit(p).cast("long").alias("prefix"), "kth", (F.col("kth") - F.col("best")).alias("spread"), "live", F.coalesce(F.col("low") - F.col("kth"), F.lit(0.0)).alias("best_gap"))
-        out = a if out is None else out.unionByName(a)
-    lag = F.lag("kth").over(Window.partitionBy("qid").orderBy("stage"))
-    return out.withColumn("delta_kth", F.coalesce(lag - F.col("kth"), F.lit(0.0)))
+def rerank_features(pool: DataFrame, stages: list[int], k: int, budget: int, tile: int) -> DataFrame:
+    """qid, stage, prefix and the 13 rerank features (models.RERANK) at each stage
+    prefix, for queries that have a kth exact distance there. pool: qid, vec_id, rank,
+    lb, exact. Windows run from stage to stage; the probe looks at the next ranks up
+    to the next stage, or one tile after the last."""
+    d = windows(pool, stages, k, budget)
+    nexts = F.array(*[F.lit(x) for x in [*stages[1:], min(budget, stages[-1] + tile)]])
+    zero = F.lit(0.0)
+
+    def features(t, i):
+        before = lambda n: F.get("tiles", i - n)["kth"]
+        probe = F.slice("rows", t["hi"] + 1, F.greatest(F.lit(0), F.least(F.lit(PROBE), F.get(nexts, i) - t["hi"])))
+        live = F.filter(probe, lambda r: near(r["lb"]) <= near(t["kth"]))
+        size = F.size(t["rows"])
+        done = F.aggregate(F.slice("tiles", F.lit(1), i + 1), F.lit(0).cast("long"), lambda s, x: s + x["exact_n"])
+        vals = [F.lit(math.log2(max(1, budget))), t["hi"] / budget, t["kth"], F.coalesce(before(1) - t["kth"], zero), F.coalesce(before(2) - before(1), zero),
+                (t["entered"] > 0).cast("double"), t["entered"] / k, t["kth"] - t["best"], F.coalesce(F.try_divide(F.size(live).cast("double"), F.size(probe).cast("double")), zero),
+                F.coalesce(F.array_min(F.transform(live, lambda r: r["lb"])) - t["kth"], zero), t["exact_n"] / size, (size - t["exact_n"]) / size, done / t["hi"]]
+        return F.struct(i.cast("long").alias("stage"), t["hi"].cast("long").alias("prefix"), *[v.alias(n) for v, n in zip(vals, RERANK, strict=True)])
+
+    d = d.select("qid", F.explode(F.transform("tiles", features)).alias("f")).where("f.kth is not null")
+    return d.select("qid", "f.*")
 
 
 def rerank_ladder(first: int, last: int) -> list[int]:
@@ -52,83 +59,7 @@ def rerank_labels(features: DataFrame, pool: DataFrame, k: int) -> DataFrame:
     return features.join(need, "qid").withColumn("label", (F.col("prefix") < F.col("deepest")).cast("long")).drop("deepest")
 
 
-def traversal_features(pool: DataFrame, stages: list[int], k: int, top_l: int) -> DataFrame:
-    """qid, stage, prefix and features of a pool(qid, rank, vec_id, dist, expanded)."""
-    out = None
-    for n, p in enumerate(stages):
-        d = pool.groupBy("qid").agg(
-            F.count_if("expanded").alias("x"), F.coalesce(F.min(F.when(~F.col("expanded"), F.col("rank") - 1)), F.lit(top_l)).alias("u"),
-            F.count_if(~F.col("expanded") & (F.col("rank") > p) & (F.col("rank") <= min(p + 64, top_l))).alias("o"),
-            F.max(F.when(F.col("rank") == k, F.col("dist"))).alias("dk"), F.max(F.when(F.col("rank") == p, F.col("dist"))).alias("dp"))
-        d = d.select("qid", F.lit(n).cast("long").alias("stage"), F.lit(p).cast("long").alias("prefix"), F.lit(p / top_l).alias("prefix_frac"), (F.col("x") / top_l).alias("expanded_frac"),
-                     (F.col("u") / top_l).alias("best_unexpanded"), (F.col("o") / max(1, min(p + 64, top_l) - p)).alias("open_frac"), F.coalesce("dk", F.lit(0.0)).alias("dk"), F.coalesce(F.col("dp") - F.col("dk"), F.lit(0.0)).alias("gap_prefix"))
-        out = d if out is None else out.unionByName(d)
-    return out
-
-
-def traversal_dataset(index, prefixes: list[int]) -> DataFrame:
-    """qid, stage, features and label: 1 exactly if the ordered top-k at a prefix
-    stop differs from that of the full run."""
-    def lists(df: DataFrame, name: str) -> DataFrame:
-        return df.where(F.col("rank") <= index.params.top_k).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x["vec_id"]).alias(name))
-
-    full = lists(index.searched, "full")
-    out = None
-    for n, p in enumerate(prefixes):
-        run = traverse.search_kernel(index.wide_lut, index.entries, index.graph, index.wide_codes, 16, index.params, prefix=p)
-        f = traversal_features(run, [p], index.params.top_k, index.params.top_l).withColumn("stage", F.lit(n).cast("long"))
-        d = f.join(lists(run, "now"), "qid").join(full, "qid").withColumn("label", (F.col("now") != F.col("full")).cast("long")).drop("now", "full")
-        out = d if out is None else out.unionByName(d)
-    return out
-
-
-@dataclass
-class StopModel:
-    """key=value text: stage_prefixes, feature_means, feature_inv_stds, weights, bias, threshold_logit."""
-
-    stage_prefixes: list[int]
-    feature_means: list[float]
-    feature_inv_stds: list[float]
-    weights: list[float]
-    bias: float = 0.0
-    threshold_logit: float = 0.0
-    thresholds: dict[int, float] = field(default_factory=dict)
-
-    @classmethod
-    def parse(cls, text: str) -> StopModel:
-        vals: dict[str, str] = {}
-        for line in text.splitlines():
-            line = line.partition("#")[0].strip()
-            if line:
-                k, eq, v = line.partition("=")
-                if not eq:
-                    raise ValueError(f"not key=value: {line!r}")
-                vals[k.strip()] = v.strip()
-        nums = lambda k, kind: [kind(x) for x in vals.get(k, "").split(",") if x.strip()]
-        m = cls(nums("stage_prefixes", int), nums("feature_means", float), nums("feature_inv_stds", float), nums("weights", float), float(vals.get("bias", 0)), float(vals.get("threshold_logit", 0)))
-        for pair in vals.get("thresholds", "").split(","):
-            if ":" in pair:
-                l, t = pair.split(":")
-                m.thresholds[int(l)] = float(t)
-        if not len(m.feature_means) == len(m.feature_inv_stds) == len(m.weights):
-            raise ValueError("means, inv_stds and weights differ in length")
-        return m
-
-    def text(self) -> str:
-        row = lambda v: ",".join(map(str, v))
-        return (f"stage_prefixes={row(self.stage_prefixes)}\nfeature_means={row(self.feature_means)}\nfeature_inv_stds={row(self.feature_inv_stds)}\nweights={row(self.weights)}\n"
-                f"bias={self.bias}\nthreshold_logit={self.threshold_logit}\nthresholds={','.join(f'{k}:{v}' for k, v in self.thresholds.items())}\n")
-
-    def folded(self) -> tuple[list[float], float]:
-        """Weights and bias with the standardisation folded in."""
-        w = [a * b for a, b in zip(self.weights, self.feature_inv_stds, strict=True)]
-        return w, self.bias - sum(a * m for a, m in zip(w, self.feature_means, strict=True))
-
-    def threshold(self, top_l: int) -> float:
-        return self.thresholds.get(top_l, self.threshold_logit)
-
-
-def fit(dataset: DataFrame, features: list[str], prefixes: list[int]) -> StopModel:
+def fit(dataset: DataFrame, features: list[str], prefixes: list[int], reg: float = 0.01) -> StopModel:
     """Logistic regression over a stop dataset, as a text model."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
@@ -137,7 +68,5 @@ def fit(dataset: DataFrame, features: list[str], prefixes: list[int]) -> StopMod
     means, stds = [stats[f"m_{f}"] or 0.0 for f in features], [stats[f"s_{f}"] or 0.0 for f in features]
     inv = [1 / s if s > 0 else 0.0 for s in stds]
     d = dataset.select(*[((F.col(f) - m) * s).alias(f) for f, m, s in zip(features, means, inv, strict=True)], F.col("label").cast("double").alias("label"))
-    m = LogisticRegression(regParam=0.01).fit(VectorAssembler(inputCols=features, outputCol="features").transform(d))
+    m = LogisticRegression(regParam=reg).fit(VectorAssembler(inputCols=features, outputCol="features").transform(d))
     return StopModel(prefixes, means, inv, list(map(float, m.coefficients)), float(m.intercept))
-
-

@@ -13,14 +13,17 @@ from __future__ import annotations
 import heapq
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkvane.functions.expr import near, ranked
+from sparkvane.functions.expr import ranked
+from sparkvane.operators.models import TRAVERSAL, Decision, TraversalWatch
 from sparkvane.operators.pq import table_sum
 from sparkvane.session import ship
 
@@ -107,121 +110,198 @@ def _keeper(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
     return lambda df: df.checkpoint() if safe else df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def traverse(entries: DataFrame, graph: DataFrame, score: Scorer, p: Params, trace: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(pool, stats) when no query has an unexpanded candidate left. Lineage is
-    cut each round: checkpoint() where a checkpoint folder is set, else persist.
+@dataclass(frozen=True)
+class Prefix:
+    """A stop at a prefix below top_l (0: none). on='expanded': a full pool and so
+    many expanded nodes; on='candidates': no unexpanded candidate among the first so
+    many, once the pool holds them."""
+
+    size: int = 0
+    on: str = "expanded"
+
+    def __post_init__(self):
+        if self.size < 0 or self.on not in ("expanded", "candidates"):
+            raise ValueError("a prefix stop needs a size of at least 0, on 'expanded' or 'candidates'")
 
-    With trace, stats holds one row per (qid, step, vec_id) expanded."""
-    keep = _keeper(entries.sparkSession)
-    pool, visited = keep(seed(entries, score, p.limit)), keep(entries.select("qid", "vec_id").distinct())
-    steps, done, step = [], 0, 0
-    while done < p.max_expansions:
-        chosen = select(pool, p.top_l, min(p.width, p.max_expansions - done))
+
+def _advance(start: DataFrame, graph: DataFrame, score: Scorer, p: Params, prefix: Prefix = Prefix(), trace: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """(pool, visited, used, steps) after all rounds of all queries. `used` counts
+    expansions and iterations of each query; a query expands no more than
+    max_expansions nodes, whatever the others do. Lineage is cut each round:
+    checkpoint() where a checkpoint folder is set, else persist."""
+    keep = _keeper(start.sparkSession)
+    visited, pool = keep(start), keep(seed(start, score, p.limit))
+    none = F.lit(0).cast("long")
+    used = keep(start.select("qid").distinct().select("qid", none.alias("n_expanded"), none.alias("iterations")))
+    steps: list[DataFrame] = []
+    stop_at = prefix.size if 0 < prefix.size < p.top_l else 0
+    while True:
+        left = used.select("qid", "n_expanded", F.least(F.lit(p.width), p.max_expansions - F.col("n_expanded")).alias("left"))
+        if stop_at:
+            have = pool.groupBy("qid").agg(F.count("*").alias("have"), F.count_if((F.col("rank") <= stop_at) & ~F.col("expanded")).alias("open"))
+            on = (F.col("have") < p.top_l) | (F.col("n_expanded") < stop_at) if prefix.on == "expanded" else (F.col("have") < stop_at) | (F.col("open") > 0)
+            left = left.join(have, "qid").where(on)
+        turn = ranked(pool.where((F.col("rank") <= p.top_l) & ~F.col("expanded")), ["qid"], rank="turn")
+        chosen = keep(turn.join(left.select("qid", "left"), "qid").where(F.col("turn") <= F.col("left")).select("qid", "vec_id"))
         if chosen.isEmpty():
-            break
+            return pool, visited, used, steps
         if trace:
-            steps.append(chosen.withColumn("step", F.lit(step).cast("long")))
-        pool, visited, _ = round_once(pool, visited, graph, score, p)
-        pool, visited, step, done = keep(pool), keep(visited), step + 1, done + p.width
-    stats = visited.groupBy("qid").agg(F.count("*").alias("visited")).withColumn("rounds", F.lit(step).cast("long"))
+            steps.append(chosen.withColumn("step", F.lit(len(steps)).cast("long")))
+        pool, visited, _ = round_once(pool, visited, graph, score, p, chosen)
+        now = chosen.groupBy("qid").agg(F.count("*").alias("now"))
+        used = used.join(now, "qid", "left").select("qid", (F.col("n_expanded") + F.coalesce("now", none)).alias("n_expanded"), (F.col("iterations") + F.col("now").isNotNull().cast("long")).alias("iterations"))
+        pool, visited, used = keep(pool), keep(visited), keep(used)
+
+
+def traverse(entries: DataFrame, graph: DataFrame, score: Scorer, p: Params, trace: bool = False, prefix: Prefix = Prefix()) -> tuple[DataFrame, DataFrame]:
+    """(pool, stats) when no query may expand another candidate. stats: qid, visited,
+    n_expanded, iterations; with trace one row per (qid, step, vec_id) expanded."""
+    pool, visited, used, steps = _advance(entries.select("qid", "vec_id").distinct(), graph, score, p, prefix, trace)
+    stats = visited.groupBy("qid").agg(F.count("*").alias("visited")).join(used, "qid")
     if trace:
-        stats = steps[0]
-        for s in steps[1:]:
-            stats = stats.unionByName(s)
+        stats = reduce(DataFrame.unionByName, steps) if steps else entries.select("qid", "vec_id", F.lit(0).cast("long").alias("step")).where("false")
     return pool.select("qid", "rank", "vec_id", "dist", "expanded"), stats
 
 
-def search_one(lut: np.ndarray, start: list[int], adj: dict, codes: np.ndarray, at: dict, p: Params, prefix: int = 0):
-    """One query to its end: (pool of (dist, id, expanded), visited, expanded, rounds)."""
+@dataclass
+class Csr:
+    """Graph and codes as arrays, nodes numbered by ascending id; neighbours of node
+    i are nbr[at[i]:at[i + 1]]. Neighbours without codes are left out."""
+
+    ids: np.ndarray
+    codes: np.ndarray
+    at: np.ndarray
+    nbr: np.ndarray
+
+    @classmethod
+    def of(cls, ids: np.ndarray, codes: np.ndarray, src: np.ndarray, dst: np.ndarray) -> Csr:
+        order = np.argsort(ids, kind="stable")
+        ids, codes = ids[order], codes[order]
+        a, b = np.searchsorted(ids, src), np.searchsorted(ids, dst)
+        last = len(ids) - 1
+        real = (ids[np.minimum(a, last)] == src) & (ids[np.minimum(b, last)] == dst) if len(ids) else np.zeros(len(src), bool)
+        a, b = a[real], b[real]
+        order = np.lexsort((b, a))
+        return cls(ids, codes, np.searchsorted(a[order], np.arange(len(ids) + 1)), b[order].astype(np.int32))
+
+    def nodes(self, ids) -> list[int]:
+        ids = np.array(sorted(set(ids)), np.int64)
+        i = np.searchsorted(self.ids, ids)
+        return i[(i < len(self.ids)) & (self.ids[np.minimum(i, len(self.ids) - 1)] == ids)].tolist() if len(self.ids) else []
+
+
+def search_one(lut: np.ndarray, start: list[int], g: Csr, p: Params, prefix: Prefix = Prefix(), watch: TraversalWatch | None = None):
+    """One query to its end: (pool of (rounded distance, node, distance, expanded), visited, expanded, rounds)."""
     rows = np.arange(lut.shape[0])
 
-    def dists(ids):
-        return lut[rows, codes[[at[i] for i in ids]]].sum(axis=1)
+    def scored(nodes: list[int]) -> list[tuple]:
+        d = lut[rows, g.codes[nodes]].sum(axis=1).tolist()
+        return sorted((round(x, 9), i, x, False) for x, i in zip(d, nodes, strict=True))
 
     seen = set(start)
-    ids = sorted(seen)
-    pool = sorted((round(float(d), 9), i, float(d), False) for d, i in zip(dists(ids), ids, strict=True))[: p.limit]
+    pool = scored(start)[: p.limit] if start else []
     n, rounds_ = 0, 0
+    stop_at = prefix.size if 0 < prefix.size < p.top_l else 0
     while n < p.max_expansions:
-        if prefix and len(pool) >= p.top_l and n >= prefix:
+        if watch is not None and watch.stop(pool, n, len(seen)):
+            break
+        if stop_at and prefix.on == "expanded" and len(pool) >= p.top_l and n >= stop_at:
+            break
+        if stop_at and prefix.on == "candidates" and len(pool) >= stop_at and all(c[3] for c in pool[:stop_at]):
             break
         turn = [j for j, c in enumerate(pool[: p.top_l]) if not c[3]][: min(p.width, p.max_expansions - n)]
         if not turn:
             break
         rounds_ += 1
-        fresh = set()
+        fresh: set[int] = set()
         for j in turn:
+            i = pool[j][1]
             pool[j] = (*pool[j][:3], True)
-            fresh.update(x for x in adj.get(pool[j][1], ()) if x not in seen)
+            fresh.update(g.nbr[g.at[i] : g.at[i + 1]].tolist())
         n += len(turn)
+        fresh -= seen
         seen |= fresh
-        ids = sorted(x for x in fresh if x in at)
-        if ids:
-            pool = list(heapq.merge(pool, sorted((round(float(d), 9), i, float(d), False) for d, i in zip(dists(ids), ids, strict=True))))[: p.limit]
+        if fresh:
+            pool = list(heapq.merge(pool, scored(sorted(fresh))))[: p.limit]
     return pool, len(seen), n, rounds_
 
 
-def search_rounds(luts: DataFrame, entries: DataFrame, graph: DataFrame, codes: DataFrame, centers: int, p: Params, prefix: int = 0) -> DataFrame:
-    """The rows of search_kernel() for a graph of any size, by rounds of joins as
-    in traverse(); expansions are counted, and a stop at `prefix` tested, per query."""
-    keep = _keeper(luts.sparkSession)
-    score = Scorer(codes, luts, centers)
+def _starts(luts: DataFrame, entries: DataFrame, codes: DataFrame) -> DataFrame:
     start = entries.select("qid", "vec_id").distinct().join(luts.select("qid"), "qid", "left_semi")
-    visited = keep(start.join(codes.select("vec_id"), "vec_id", "left_semi").select("qid", "vec_id"))
-    pool = keep(seed(visited, score, p.limit))
-    none = F.lit(0).cast("long")
-    used = keep(visited.select("qid").distinct().select("qid", none.alias("n_expanded"), none.alias("iterations")))
-    while True:
-        left = used.select("qid", "n_expanded", F.least(F.lit(p.width), p.max_expansions - F.col("n_expanded")).alias("left"))
-        if prefix:
-            left = left.join(pool.groupBy("qid").agg(F.count("*").alias("have")), "qid").where((F.col("have") < p.top_l) | (F.col("n_expanded") < prefix))
-        turn = ranked(pool.where((F.col("rank") <= p.top_l) & ~F.col("expanded")), ["qid"], rank="turn")
-        chosen = keep(turn.join(left.select("qid", "left"), "qid").where(F.col("turn") <= F.col("left")).select("qid", "vec_id"))
-        if chosen.isEmpty():
-            break
-        pool, visited, _ = round_once(pool, visited, graph, score, p, chosen)
-        now = chosen.groupBy("qid").agg(F.count("*").alias("now"))
-        used = used.join(now, "qid", "left").select("qid", (F.col("n_expanded") + F.coalesce("now", none)).alias("n_expanded"), (F.col("iterations") + F.col("now").isNotNull().cast("long")).alias("iterations"))
-        pool, visited, used = keep(pool), keep(visited), keep(used)
+    return start.join(codes.select("vec_id"), "vec_id", "left_semi").select("qid", "vec_id")
+
+
+def search_rounds(luts: DataFrame, entries: DataFrame, graph: DataFrame, codes: DataFrame, centers: int, p: Params, prefix: Prefix = Prefix()) -> DataFrame:
+    """The rows of search_kernel() for a graph of any size, by rounds of joins."""
+    known = graph.join(codes.select(F.col("vec_id").alias("dst")), "dst", "left_semi").select("src", "dst")
+    pool, visited, used, _ = _advance(_starts(luts, entries, codes), known, Scorer(codes, luts, centers), p, prefix)
     seen = visited.groupBy("qid").agg(F.count("*").alias("visited"))
     return pool.join(seen, "qid").join(used, "qid").select("qid", F.col("rank").cast("long").alias("rank"), "vec_id", "dist", "expanded", "visited", "n_expanded", "iterations")
 
 
-def search_kernel(luts: DataFrame, entries: DataFrame, graph: DataFrame, codes: DataFrame, centers: int, p: Params, prefix: int = 0, limit_bytes: int = GRAPH_BYTES) -> DataFrame:
-    """qid, rank, vec_id, dist, expanded, visited, n_expanded, iterations per pool
-    row, from the query-at-a-time kernel. The graph (src, dst) and codes go to every task, so their
-    size is checked first; beyond the limit search_rounds() gives the same rows."""
+def fits(graph: DataFrame, codes: DataFrame, limit_bytes: int = GRAPH_BYTES) -> bool:
+    """Whether graph and codes as arrays stay under the limit that a task may hold."""
+    n = codes.agg(F.count("*").alias("n"), F.max(F.size("code")).alias("chunks")).first()
+    return graph.count() * 4 + n["n"] * (16 + (n["chunks"] or 0) * 2) <= limit_bytes
+
+
+def _kernel(luts: DataFrame, entries: DataFrame, graph: DataFrame, codes: DataFrame, centers: int, schema: pa.Schema, ddl: str, one: Callable) -> DataFrame:
+    """one(qid, lut, start nodes, graph) -> rows, for each query, over a broadcast graph."""
     spark = luts.sparkSession
     ship(spark)
-    edges, points = graph.count(), codes.count()
-    chunks = len(codes.first()["code"]) if points else 1
-    if edges * 16 + points * (8 + chunks * 2) > limit_bytes:
-        return search_rounds(luts, entries, graph, codes, centers, p, prefix)
     g = graph.select("src", "dst").toArrow()
     c = codes.select("vec_id", "code").toArrow()
-    ids = c.column("vec_id").to_numpy()
-    mat = np.array(c.column("code").to_pylist(), np.int32).reshape(points, chunks)
-    src, dst = g.column("src").to_numpy(), g.column("dst").to_numpy()
-    order = np.lexsort((dst, src))
-    sent = spark.sparkContext.broadcast((ids, mat, src[order], dst[order]))
+    flat = pc.list_flatten(c.column("code")).to_numpy().astype(np.uint8 if centers <= 256 else np.int32)
+    flat = flat.reshape(len(c), -1) if len(c) else flat.reshape(0, 1)
+    sent = spark.sparkContext.broadcast(Csr.of(c.column("vec_id").to_numpy(), flat, g.column("src").to_numpy(), g.column("dst").to_numpy()))
     starts = entries.groupBy("qid").agg(F.collect_set("vec_id").alias("start"))
     work = luts.join(starts, "qid").select("qid", "lut", "start").repartition(max(1, spark.sparkContext.defaultParallelism))
-    schema = pa.schema([("qid", pa.int64()), ("rank", pa.int64()), ("vec_id", pa.int64()), ("dist", pa.float64()), ("expanded", pa.bool_()), ("visited", pa.int64()), ("n_expanded", pa.int64()), ("iterations", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, mat, src, dst = sent.value
-        at = {int(x): i for i, x in enumerate(ids)}
-        cuts = np.flatnonzero(np.concatenate([[True], src[1:] != src[:-1]])) if len(src) else np.zeros(0, int)
-        adj = {int(src[a]): dst[a:b].tolist() for a, b in zip(cuts, np.append(cuts[1:], len(src)), strict=True)}
+        g = sent.value
         for b in batches:
-            out = []
+            out: list[tuple] = []
             for q, lut, start in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                pool, seen, n, r = search_one(np.array(lut).reshape(-1, centers), [x for x in start if x in at], adj, mat, at, p, prefix)
-                out += [(q, k + 1, c[1], c[2], c[3], seen, n, r) for k, c in enumerate(pool)]
+                out += one(q, np.array(lut).reshape(-1, centers), g.nodes(start), g)
             cols = list(zip(*out, strict=True)) if out else [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(cols, schema, strict=True)], schema=schema)
 
-    return work.mapInArrow(run, "qid long, rank long, vec_id long, dist double, expanded boolean, visited long, n_expanded long, iterations long")
+    return work.mapInArrow(run, ddl)
+
+
+def search_kernel(luts: DataFrame, entries: DataFrame, graph: DataFrame, codes: DataFrame, centers: int, p: Params, prefix: Prefix = Prefix(), limit_bytes: int = GRAPH_BYTES, decision: Decision | None = None) -> DataFrame:
+    """qid, rank, vec_id, dist, expanded, visited, n_expanded, iterations per pool
+    row, from the query-at-a-time kernel, ended early by a prefix stop or a learned
+    stop. The graph (src, dst) and codes go to every task, so their size is checked
+    first; beyond the limit search_rounds() gives the same rows, without learned stops."""
+    if not fits(graph, codes, limit_bytes):
+        if decision is not None:
+            raise ValueError("learned stops need graph and codes within limit_bytes")
+        return search_rounds(luts, entries, graph, codes, centers, p, prefix)
+    schema = pa.schema([("qid", pa.int64()), ("rank", pa.int64()), ("vec_id", pa.int64()), ("dist", pa.float64()), ("expanded", pa.bool_()), ("visited", pa.int64()), ("n_expanded", pa.int64()), ("iterations", pa.int64())])
+
+    def one(q: int, lut: np.ndarray, start: list[int], g: Csr) -> list[tuple]:
+        watch = TraversalWatch(decision, p.top_k, p.top_l) if decision is not None else None
+        pool, seen, n, r = search_one(lut, start, g, p, prefix, watch)
+        return [(q, k + 1, int(g.ids[c[1]]), c[2], c[3], seen, n, r) for k, c in enumerate(pool)]
+
+    return _kernel(luts, entries, graph, codes, centers, schema, "qid long, rank long, vec_id long, dist double, expanded boolean, visited long, n_expanded long, iterations long", one)
+
+
+def search_checkpoints(luts: DataFrame, entries: DataFrame, graph: DataFrame, codes: DataFrame, centers: int, p: Params, stages: list[int], limit_bytes: int = GRAPH_BYTES) -> DataFrame:
+    """qid, stage, prefix, the traversal features and label of every checkpoint of a
+    full run: 1 exactly if the ordered top-k there differs from that of the end."""
+    if not fits(graph, codes, limit_bytes):
+        raise ValueError("checkpoints need graph and codes within limit_bytes")
+    schema = pa.schema([("qid", pa.int64()), ("stage", pa.int64()), ("prefix", pa.int64()), *[(f, pa.float64()) for f in TRAVERSAL], ("label", pa.int64())])
+
+    def one(q: int, lut: np.ndarray, start: list[int], g: Csr) -> list[tuple]:
+        watch = TraversalWatch(Decision(tuple(stages)), p.top_k, p.top_l)
+        pool = search_one(lut, start, g, p, Prefix(), watch)[0]
+        end = [c[1] for c in pool[: p.top_k]]
+        return [(q, n, x, *f, int(now != end)) for n, x, f, now in watch.rows]
+
+    return _kernel(luts, entries, graph, codes, centers, schema, f"qid long, stage long, prefix long, {', '.join(f'{f} double' for f in TRAVERSAL)}, label long", one)
 
 
 def stop_predicate(pool: DataFrame, top_l: int) -> DataFrame:

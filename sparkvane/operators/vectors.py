@@ -25,8 +25,8 @@ def queries(vectors: DataFrame, step: int = 50) -> DataFrame:
     return vectors.where(F.col("vec_id") % step == 0).select(F.col("vec_id").alias("qid"), F.col("v").alias("qv"))
 
 
-def _packed(df: DataFrame, rows: int) -> DataFrame:
-    """Blocks of at most `rows` vectors: n, ids, vecs."""
+def packed(df: DataFrame, rows: int, kind: type = np.float64) -> DataFrame:
+    """Blocks of at most `rows` vectors (id, array): n, ids, vecs (bytes of `kind`)."""
     schema = pa.schema([("n", pa.int64()), ("ids", pa.binary()), ("vecs", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,7 +34,7 @@ def _packed(df: DataFrame, rows: int) -> DataFrame:
             for i in range(0, len(b), rows):
                 s = b.slice(i, rows)
                 ids = s.column(0).to_numpy().astype(np.int64)
-                x = s.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                x = s.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind)
                 yield pa.RecordBatch.from_arrays([pa.array([len(ids)]), pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], schema=schema)
 
     return df.mapInArrow(run, "n long, ids binary, vecs binary")
@@ -46,8 +46,8 @@ def pair_topk(queries: DataFrame, vectors: DataFrame, k: int, exclude_self: bool
     keeps k rows a query, a window merges them."""
     spark = queries.sparkSession
     ship(spark)
-    q = _packed(queries.select("qid", "qv"), 512).withColumn("qb", F.monotonically_increasing_id())
-    v = _packed(vectors.select("vec_id", "v"), block)
+    q = packed(queries.select("qid", "qv"), 512).withColumn("qb", F.monotonically_increasing_id())
+    v = packed(vectors.select("vec_id", "v"), block)
     pairs = v.join(q.select("qb", F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("vecs").alias("qvecs")), how="cross")
     schema = pa.schema([("qid", pa.int64()), ("vec_id", pa.int64()), ("dist", pa.float64())])
 

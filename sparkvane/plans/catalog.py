@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkvane.functions.expr import l2, logit, near, nearest_rank, norm_sq, page_address, r6, ranked, top
-from sparkvane.operators import evaluate, pq, rerank, rvq, stops, traverse, vectors
-from sparkvane.plans.index import COARSE, FINE, K, L, N, R, TILE, TOP, WIDTH, Index
+from sparkvane.functions.expr import logit, near, nearest_rank, norm_sq, page_address, r6, top
+from sparkvane.operators import evaluate, pq, rerank, rvq, stops, train, traverse
+from sparkvane.operators.models import RERANK, TRAVERSAL, Decision, StopModel
+from sparkvane.plans.index import ANN_CENTERS, COARSE, FINE, K, L, N, TILE, TOP, WIDTH, Index
 
 PER_PAGE = 16
 SWEEP = [(0.90, 1000.0), (0.95, 800.0), (0.95, 700.0), (0.97, 800.0), (0.99, 300.0), (0.99, 350.0), (1.0, 100.0)]
@@ -36,13 +37,13 @@ def topk_exact(i):
 
 @query
 def topk_limit(i):
-    return dist_out(top(i.adc, ["qid"], TOP))
+    return dist_out(i.adc.where(F.col("rank") <= TOP))
 
 
 @query
 def exact_l2(i):
-    d = i.base.join(F.broadcast(i.queries), how="cross")
-    return d.select("qid", "vec_id", r6(l2(F.col("v"), F.col("qv"))).alias("dist"))
+    """Exact distances of the candidates of every query."""
+    return rerank.with_vectors(i.pool.select("qid", "vec_id"), i.base, i.queries, "dist").select("qid", "vec_id", r6(F.col("dist")).alias("dist"))
 
 
 @query
@@ -110,24 +111,23 @@ def pq_adc(i):
     return i.adc.select("qid", "vec_id", r6(F.col("dist")).alias("dist"))
 
 
-def _dims(df: DataFrame, col: str) -> DataFrame:
-    d = df.select("vec_id", "chunk", F.posexplode(col).alias("p", "x"))
-    return d.select("vec_id", (F.col("chunk") * 8 + F.col("p")).cast("long").alias("dim"), r6(F.col("x")).alias("v"))
+def _dims(df: DataFrame, col) -> DataFrame:
+    return df.select("vec_id", F.posexplode(col).alias("p", "x")).select("vec_id", F.col("p").cast("long").alias("dim"), r6(F.col("x")).alias("v"))
 
 
 @query
 def pq_reconstruct(i):
-    return _dims(i.decoded, "approx")
+    return _dims(i.coded, "approx")
 
 
 @query
 def pq_residual(i):
-    return _dims(i.res_subs, "sub")
+    return _dims(i.base.join(i.coded.select("vec_id", "approx"), "vec_id"), F.zip_with("v", "approx", lambda a, b: a - b))
 
 
 @query
 def residual_pq_encode(i):
-    return i.res_codes.select("vec_id", "chunk", "center")
+    return pq.by_chunk(i.coded, center="res_code").withColumn("center", F.col("center").cast("long"))
 
 
 @query
@@ -152,7 +152,8 @@ def hpq_outlier_select(i):
 
 @query
 def hpq_encode(i):
-    return i.hybrid_codes.select("vec_id", "chunk", "code", "use_outlier")
+    d = pq.by_chunk(i.coded, base="code", out="out_code", use_outlier="use_outlier")
+    return d.select("vec_id", "chunk", F.when(F.col("use_outlier"), F.col("out")).otherwise(F.col("base")).cast("long").alias("code"), "use_outlier")
 
 
 def _centers(df: DataFrame) -> DataFrame:
@@ -171,7 +172,38 @@ def kmeans_step(i):
 
 @query
 def kmeans_fit(i):
-    return _centers(pq.lloyd(i.base, pq.lloyd(i.base, _start(i))))
+    """25 rounds from the first rows, the centers of least error."""
+    return _centers(train.fit_kmeans(i.base, K))
+
+
+@query
+def kmeans_converged(i):
+    """Rounds until no vector changes its center."""
+    return _centers(train.fit_kmeans(i.base, K, None))
+
+
+def _book(df: DataFrame) -> DataFrame:
+    d = df.select("chunk", "center", F.posexplode("pivot").alias("dim", "x"))
+    return d.select("chunk", "center", F.col("dim").cast("long").alias("dim"), r6(F.col("x")).alias("v"))
+
+
+@query
+def pq_train(i):
+    """15 rounds per chunk from the first rows, the centers of least error."""
+    return _book(train.fit_chunks(pq.subvectors(train.sample(i.base)), K))
+
+
+@query
+def hpq_train(i):
+    """The outlier codebook, trained on the rows of largest error per chunk."""
+    return _book(train.fit_outliers(pq.subvectors(i.base), i.codes, K, 0.2, K))
+
+
+@query
+def residual_train(i):
+    """The residual codebook, trained on the residuals of the base codes."""
+    rest = i.base.join(i.coded.select("vec_id", "approx"), "vec_id").select("vec_id", F.zip_with("v", "approx", lambda a, b: a - b).alias("v"))
+    return _book(train.fit_chunks(pq.subvectors(train.sample(rest)), K))
 
 
 # -- two-level quantizer ---------------------------------------------------------
@@ -207,8 +239,8 @@ def entry_points(i):
 
 @query
 def rvq_train(i):
-    coarse, fine = rvq.train(i.base, COARSE, FINE)
-    return coarse.withColumn("level", F.lit("coarse")).unionByName(fine.withColumn("level", F.lit("fine"))).select("level", "center", F.posexplode("pivot").alias("dim", "v"))
+    """10 alternations of 25 rounds, the codebooks of least fine error."""
+    return train.fit_rvq(i.base, COARSE, FINE).select("level", "center", F.posexplode("pivot").alias("dim", "v"))
 
 
 # -- traversal -----------------------------------------------------------------
@@ -280,7 +312,7 @@ def gt_visited(i):
 # -- refinement and reranking ----------------------------------------------------
 @query
 def pq2_refine(i):
-    codes = pq.wide_codes(pq.encode(i.subs, i.outlier_book))
+    codes = pq.encode(i.base, pq.load(i.outlier_book)).select("vec_id", "code")
     d = traverse.Scorer(codes, pq.wide_lut(pq.lut(i.queries, i.outlier_book)), K)(i.pool.select("qid", "vec_id"))
     return dist_out(rerank.resort(i.pool, d))
 
@@ -290,16 +322,9 @@ def residual_refine(i):
     return dist_out(rerank.resort(i.pool, i.refined))
 
 
-def _hpq(i: Index) -> DataFrame:
-    lb = i.lut.select("qid", "chunk", F.col("center").alias("code"), "d").withColumn("use_outlier", F.lit(False))
-    lo = pq.lut(i.queries, i.outlier_book).select("qid", "chunk", F.col("center").alias("code"), "d").withColumn("use_outlier", F.lit(True))
-    d = i.pool.select("qid", "vec_id").join(i.hybrid_codes, "vec_id").join(lb.unionByName(lo), ["qid", "chunk", "code", "use_outlier"])
-    return d.groupBy("qid", "vec_id").agg(F.sum("d").alias("dist"))
-
-
 @query
 def hpq_refine(i):
-    return dist_out(rerank.resort(i.pool, _hpq(i)))
+    return dist_out(rerank.resort(i.pool, i.hybrid))
 
 
 @query
@@ -384,6 +409,11 @@ def rerank_persistent(i):
     return dist_out(rerank.persistent(i.refined_pool, L, 8, TOP))
 
 
+@query
+def rerank_linear(i):
+    return dist_out(rerank.linear(i.pool, i.base, i.queries, TOP))
+
+
 @query
 def rerank_sweep(i):
     sizes = F.explode(F.array(*[F.lit(n).cast("long") for n in (8, 16, 32)])).alias("top_n")
@@ -393,55 +423,95 @@ def rerank_sweep(i):
 
 # -- learned stops ---------------------------------------------------------------
 STAGES = [10, 12, 14, 16]
-RERANK_W = {"kth": -3.0, "delta_kth": 2.0, "spread": 1.5, "live": 0.1, "best_gap": -0.5}
+#: A stop model over all 13 rerank features, in their order: weights, bias.
+RERANK_W = dict(zip(RERANK, (0.05, -1.0, -6.0, 2.0, 1.0, 0.5, 1.5, 1.5, 1.0, -0.5, 0.25, -0.25, 0.5), strict=True))
+RERANK_BIAS = 0.6
+BOOTSTRAP = 10
+TRAVERSAL_STAGES = [10, 16, 24]
+
+
+def _rerank_features(i: Index, stages: list[int]) -> DataFrame:
+    return stops.rerank_features(i.refined_pool, stages, TOP, L, TILE)
+
+
+def _rounded(df: DataFrame, names) -> DataFrame:
+    return df.withColumns({n: r6(F.col(n)) for n in names})
 
 
 @query
 def stop_features(i):
-    d = stops.rerank_features(i.refined_pool, STAGES, TOP)
-    return d.select("qid", "stage", "prefix", *[r6(F.col(c)).alias(c) for c in ("kth", "delta_kth", "spread")], "live", r6(F.col("best_gap")).alias("best_gap"))
+    return _rounded(_rerank_features(i, STAGES), RERANK)
 
 
 @query
 def rerank_stop_logit(i):
-    d = stops.rerank_features(i.refined_pool, STAGES, TOP)
-    x = logit(0.25, RERANK_W, {"kth": 0.5}, {"kth": 2.0})
-    return d.select("qid", "stage", r6(x).alias("logit"), (r6(x) < 0).alias("stop"))
+    x = logit(RERANK_BIAS, RERANK_W)
+    return _rerank_features(i, STAGES).select("qid", "stage", r6(x).alias("logit"), (r6(x) < 0).alias("stop"))
 
 
 @query
-def stop_logit(i):
-    pool = traverse.rounds(i.entries, i.graph, i.scorer, i.params, 2)
-    d = stops.traversal_features(pool, [10, 16, 24], TOP, L)
-    x = logit(-1.0, stops.TRAVERSAL_W)
-    return d.select("qid", "stage", r6(x).alias("logit"), (r6(x) < 0).alias("stop"))
+def rerank_learned_stop(i):
+    """The persistent rerank ended by the model: windows up to the bootstrap prefix, then from stage to stage."""
+    decision = Decision(tuple(STAGES), tuple(RERANK_W.values()), RERANK_BIAS)
+    runs = rerank.persistent_runs(i.refined_pool, rerank.Plan(L, TILE, TOP, decision=decision, bootstrap=BOOTSTRAP))
+    return runs.select("qid", F.col("prefix").alias("stop_prefix"))
+
+
+@query
+def rerank_stop_dataset(i):
+    d = _rerank_features(i, stops.rerank_ladder(TOP, L))
+    return _rounded(stops.rerank_labels(d, i.refined_pool, TOP), RERANK)
 
 
 @query
 def stop_dataset(i):
-    return stops.traversal_dataset(i, [10, 16, 24, 32])
+    """Every checkpoint of a full traversal: the 12 features, and whether the top must still change."""
+    d = traverse.search_checkpoints(i.wide_lut, i.entries, i.graph, i.wide_codes, K, i.params, TRAVERSAL_STAGES)
+    return _rounded(d, TRAVERSAL)
 
 
 @query
-def rerank_stop_dataset(i):
-    d = stops.rerank_features(i.refined_pool, stops.rerank_ladder(TOP, L), TOP)
-    return stops.rerank_labels(d, i.refined_pool, TOP)
+def stop_logit(i):
+    """A model is fitted on the checkpoints, written as text, read back and applied."""
+    d = traverse.search_checkpoints(i.wide_lut, i.entries, i.graph, i.wide_codes, K, i.params, TRAVERSAL_STAGES)
+    m = StopModel.parse(_fitted(i, d).text())
+    w, b = m.folded()
+    x = logit(b, dict(zip(TRAVERSAL, w, strict=True)))
+    return d.select("qid", "stage", "label", r6(x).alias("logit"), (x < m.threshold(L)).alias("stop"))
+
+
+def _fitted(i: Index, dataset: DataFrame) -> StopModel:
+    return stops.fit(dataset, list(TRAVERSAL), TRAVERSAL_STAGES)
+
+
+@query
+def beam_search_learned_stop(i):
+    """The traversal ended by a model fitted on its own checkpoints."""
+    d = traverse.search_checkpoints(i.wide_lut, i.entries, i.graph, i.wide_codes, K, i.params, TRAVERSAL_STAGES)
+    pool = traverse.search_kernel(i.wide_lut, i.entries, i.graph, i.wide_codes, K, i.params, decision=Decision.of(_fitted(i, d), L))
+    return dist_out(pool, "expanded", "n_expanded")
+
+
+@query
+def beam_search_prefix(i):
+    """The traversal ended once its first 16 candidates are all expanded."""
+    return dist_out(traverse.search_kernel(i.wide_lut, i.entries, i.graph, i.wide_codes, K, i.params, traverse.Prefix(16, "candidates")), "expanded")
 
 
 # -- evaluation ------------------------------------------------------------------
 @query
 def recall_at_k(i):
-    return evaluate.recall(top(i.adc, ["qid"], TOP), i.truth, TOP).select(r6(F.col("recall")).alias("recall"))
+    return evaluate.recall(i.adc.where(F.col("rank") <= TOP), i.truth, TOP).select(r6(F.col("recall")).alias("recall"))
 
 
 @query
 def overlap_thresholds(i):
-    return evaluate.overlap(ranked(i.adc, ["qid"]), i.truth, [10, 20, 50, 100])
+    return evaluate.overlap(i.adc, i.truth, [10, 20, 50, 100])
 
 
 @query
 def pq_rerank_overlap(i):
-    return evaluate.overlap(rerank.resort(i.pool, _hpq(i)), i.truth, [10, 20, 32]).select("threshold", "matched")
+    return evaluate.overlap(rerank.resort(i.pool, i.hybrid), i.truth, [10, 20, 32]).select("threshold", "matched")
 
 
 @query
@@ -506,15 +576,17 @@ def run_metrics(i):
 
 @query
 def result_checksum(i):
-    return i.truth.agg(F.bit_xor(F.xxhash64("qid", "rank", "vec_id")).alias("checksum"))
+    """FNV-1a over each query's ids in order, queries combined in any order."""
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x["vec_id"])
+    h = F.aggregate(ids, F.lit(2166136261).cast("long"), lambda h, x: (h.bitwiseXOR(x) * 16777619) % 4294967296)
+    return i.truth.groupBy("qid").agg(h.alias("h")).agg(F.bit_xor("h").alias("checksum"))
 
 
 @query
 def ann_search(i):
-    """Entries from the two-level quantizer, kernel traversal over 256-center
-    codes, exact rerank of the whole pool. Recall@10 against brute force is a
-    test (at least 0.9)."""
-    entries = rvq.entry_points(i.found_clusters, rvq.postings(i.assigned), 8).select("qid", "vec_id")
+    """Entries from the trained two-level quantizer, kernel traversal over the trained
+    256-center codes, exact rerank of the whole pool. Recall@10 against brute force is
+    a test (at least 0.9)."""
     p = traverse.Params(TOP, 512, WIDTH)
-    pool = traverse.search_kernel(i.ann_lut, entries, i.graph, i.ann_codes, 256, p)
+    pool = traverse.search_kernel(i.ann_lut, i.trained_entries, i.graph, i.ann_codes, ANN_CENTERS, p)
     return dist_out(rerank.exact(pool, i.base, i.queries, p.top_l, TOP))

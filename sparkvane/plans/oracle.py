@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
-from sparkvane.plans.catalog import RERANK_W, STAGES, SWEEP
+from sparkvane.operators.models import RERANK
+from sparkvane.operators.stops import rerank_ladder
+from sparkvane.plans.catalog import RERANK_BIAS, RERANK_W, SWEEP
 from sparkvane.plans.index import ENTRY_IDS
 
 
@@ -45,6 +47,25 @@ pool{n} AS (SELECT * FROM (SELECT *, {rank('qid')} AS rank FROM both{n}) WHERE r
 seen{n} AS (SELECT * FROM {s} UNION ALL SELECT * FROM fresh{n})"""
 
 
+def all_rounds(n: int) -> str:
+    """The whole traversal: r0 .. rn (pools), v0 .. vn (visited), c1 .. cn (chosen),
+    and `walk`, `went`, `knew` with all of them by round."""
+    out = "r0 AS MATERIALIZED (SELECT qid, vec_id, dist, expanded, rank FROM pool0),\nv0 AS MATERIALIZED (SELECT qid, vec_id FROM ent)"
+    for i in range(1, n + 1):
+        out += f""",
+c{i} AS MATERIALIZED (SELECT qid, vec_id FROM (SELECT qid, vec_id, {rank('qid')} AS t FROM r{i - 1} WHERE rank <= 32 AND NOT expanded) WHERE t <= 4),
+n{i} AS MATERIALIZED (SELECT DISTINCT c.qid, g.dst AS vec_id FROM c{i} c JOIN graph g ON g.src = c.vec_id ANTI JOIN v{i - 1} v ON v.qid = c.qid AND v.vec_id = g.dst),
+r{i} AS MATERIALIZED (SELECT * FROM (SELECT *, {rank('qid')} AS rank FROM (SELECT p.qid, p.vec_id, p.dist, p.expanded OR c.vec_id IS NOT NULL AS expanded FROM r{i - 1} p LEFT JOIN c{i} c USING (qid, vec_id)
+  UNION ALL SELECT f.qid, f.vec_id, a.dist, FALSE FROM n{i} f JOIN adc a USING (qid, vec_id))) WHERE rank <= 32),
+v{i} AS MATERIALIZED (SELECT * FROM v{i - 1} UNION ALL SELECT * FROM n{i})"""
+    both = lambda t, lo: " UNION ALL ".join(f"SELECT {i} AS n, * FROM {t}{i}" for i in range(lo, n + 1))
+    return out + f""",
+walk AS MATERIALIZED ({both('r', 0)}),
+went AS MATERIALIZED ({both('c', 1)}),
+knew AS MATERIALIZED ({both('v', 0)}),
+final AS (SELECT qid, rank, vec_id, dist, expanded FROM walk WHERE n = {n})"""
+
+
 def argmin(subs: str, book: str) -> str:
     return f"""SELECT vec_id, chunk, center, err, sub FROM (SELECT s.vec_id, s.chunk, b.center, round({d2('s.sub', 'b.pvt')}, 9) AS err, s.sub,
   row_number() OVER (PARTITION BY s.vec_id, s.chunk ORDER BY round({d2('s.sub', 'b.pvt')}, 9), b.center) AS rn FROM {subs} s JOIN {book} b USING (chunk)) WHERE rn = 1"""
@@ -56,6 +77,55 @@ def lloyd(name: str, book: str) -> str:
 {name} AS (SELECT b.center, coalesce(m.pvt, b.pvt) AS pvt, coalesce(m.members, 0) AS members FROM {book} b LEFT JOIN {name}_m m ON m.center = b.center)"""
 
 
+def fit(name: str, src: str, first: str, updates: int) -> str:
+    """`updates` Lloyd rounds unrolled, from the first 16 rows of src (vec_id, v or
+    chunk, vec_id, sub); `name` has the centers then and their members."""
+    by, x = ("chunk, ", "sub") if "chunk" in first else ("", "v")
+    on = "b.chunk = e.chunk" if by else "TRUE"
+    at = "pos" if "pos" in first else "vec_id"
+    out = f"{name}_0 AS MATERIALIZED (SELECT {first} FROM {src} WHERE {at} < 16)"
+    for r in range(updates + 1):
+        own = ", ".join(f"b.{c}" for c in ([by[:-2]] if by else []) + ["center"])
+        near = f"round({d2(f'e.{x}', 'b.pvt')}, 9)"
+        out += f""",
+{name}_a{r} AS MATERIALIZED (SELECT {by}vec_id, x, center FROM (SELECT {own}, e.vec_id, e.{x} AS x, row_number() OVER (PARTITION BY {'e.chunk, ' if by else ''}e.vec_id ORDER BY {near}, b.center) AS rn FROM {src} e JOIN {name}_{r} b ON {on}) WHERE rn = 1)"""
+        if r < updates:
+            keys = f"{by}center"
+            out += f""",
+{name}_m{r} AS MATERIALIZED (SELECT {keys}, list(m ORDER BY dim) AS pvt FROM (SELECT {keys}, dim, avg(y) AS m FROM (SELECT {keys}, unnest(x) AS y, unnest(range(len(x))) AS dim FROM {name}_a{r}) GROUP BY {keys}, dim) GROUP BY {keys}),
+{name}_{r + 1} AS MATERIALIZED (SELECT {own}, coalesce(m.pvt, b.pvt) AS pvt FROM {name}_{r} b LEFT JOIN {name}_m{r} m USING ({keys}))"""
+    return out + f""",
+{name} AS (SELECT b.*, coalesce(n.members, 0) AS members FROM {name}_{updates} b LEFT JOIN (SELECT {by}center, count(*) AS members FROM {name}_a{updates} GROUP BY ALL) n USING ({by}center))"""
+
+
+def features(stages: list[int], k: int, budget: int, tile: int, name: str, first: int = 0) -> str:
+    """The rerank features window by window, each window's threshold from the rows
+    kept before it. Windows before the `first` are no checkpoints."""
+    out, done, rows = "", "", []
+    for i, (lo, hi) in enumerate(zip([0, *stages], stages, strict=False)):
+        w = f"{name}_w{i}"
+        kth = f"LEFT JOIN (SELECT qid, exact AS t FROM {name}_b{i - 1} WHERE r = {k}) USING (qid)" if i else ""
+        out += f"""{w} AS MATERIALIZED (SELECT qid, vec_id, rank, lb, exact, {'(t IS NULL OR round(lb, 9) <= round(t, 9))' if i else 'TRUE'} AS kept FROM rpool {kth} WHERE rank > {lo} AND rank <= {hi}),
+"""
+        done += (" UNION ALL " if i else "") + f"SELECT * FROM {w}"
+        out += f"""{name}_b{i} AS MATERIALIZED (SELECT * FROM (SELECT qid, vec_id, exact, {rank('qid', 'exact')} AS r FROM ({done}) WHERE kept) WHERE r <= {k}),
+"""
+        end = min(hi + 8, stages[i + 1] if i + 1 < len(stages) else min(budget, hi + tile))
+        fresh = f"ANTI JOIN {name}_b{i - 1} o USING (qid, vec_id)" if i else ""
+        if i < first:
+            continue
+        rows.append(f"""SELECT b.qid, {i} AS stage, {hi} AS prefix, b.kth, b.best, coalesce(e.entered, 0) AS entered, x.n AS window_n, x.kept AS exact_n, d.done, count(p.lb) AS probe,
+  count(*) FILTER (round(p.lb, 9) <= round(b.kth, 9)) AS live, min(p.lb) FILTER (round(p.lb, 9) <= round(b.kth, 9)) AS low FROM
+  (SELECT qid, max(exact) FILTER (r = {k}) AS kth, min(exact) AS best FROM {name}_b{i} GROUP BY qid) b JOIN (SELECT qid, count(*) AS n, count(*) FILTER (kept) AS kept FROM {w} GROUP BY qid) x USING (qid)
+  JOIN (SELECT qid, count(*) FILTER (kept) AS done FROM ({done}) GROUP BY qid) d USING (qid) LEFT JOIN (SELECT qid, count(*) AS entered FROM {name}_b{i} {fresh} GROUP BY qid) e USING (qid)
+  LEFT JOIN (SELECT qid, lb FROM rpool WHERE rank > {hi} AND rank <= {end}) p USING (qid) GROUP BY ALL""")
+    lag = "lag(kth) OVER (PARTITION BY qid ORDER BY stage)"
+    return out + f"""{name}_f AS MATERIALIZED (SELECT *, coalesce({lag} - kth, 0) AS delta_kth FROM ({' UNION ALL '.join(rows)})),
+{name} AS (SELECT qid, stage, prefix, log2({budget}) AS budget_log2, prefix / {budget}.0 AS prefix_frac, kth, delta_kth, coalesce(lag(delta_kth) OVER (PARTITION BY qid ORDER BY stage), 0) AS delta_kth_prev,
+  CASE WHEN entered > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS topk_changed, entered / {k}.0 AS entered_ratio, kth - best AS spread, CASE WHEN probe = 0 THEN 0 ELSE live / probe END AS live_ratio, coalesce(low - kth, 0) AS best_gap,
+  exact_n / window_n AS window_exact, (window_n - exact_n) / window_n AS window_filtered, done / prefix AS exact_frac FROM {name}_f WHERE kth IS NOT NULL)"""
+
+
 STEPS: dict[str, str] = {
     "emb": "emb AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE embedding IS NOT NULL)",
     "qry": "qry AS (SELECT vec_id AS qid, v AS qv FROM emb WHERE vec_id % 50 = 0)",
@@ -103,26 +173,33 @@ found AS (SELECT q.qid, q.c * 4 + coalesce(f.center, 0) AS cluster_id FROM qc q
     "seen0": "seen0 AS (SELECT qid, vec_id FROM ent)",
     "pool1": a_round(1),
     "pool2": a_round(2),
+    "final": all_rounds(40),
+    "checks": """state AS (SELECT p.n, p.qid, p.valid, v.visited, (SELECT count(*) FROM went w WHERE w.qid = p.qid AND w.n <= p.n) AS x FROM (SELECT n, qid, count(*) AS valid FROM walk GROUP BY n, qid) p JOIN (SELECT n, qid, count(*) AS visited FROM knew GROUP BY n, qid) v USING (n, qid)),
+due AS (SELECT stage, prefix, qid, min(n) AS n FROM state, (VALUES (0, 10), (1, 16), (2, 24)) t(stage, prefix) WHERE valid >= 32 AND x >= prefix GROUP BY ALL),
+one AS (SELECT d.stage, d.prefix, d.qid, any_value(s.x) AS x, any_value(s.visited) AS visited, coalesce(min(p.rank - 1) FILTER (NOT p.expanded), 32) AS first_open, count(*) FILTER (NOT p.expanded AND p.rank > d.prefix) AS open,
+  max(p.dist) FILTER (p.rank = 10) AS dk, max(p.dist) FILTER (p.rank = d.prefix) AS edge, max(p.dist) FILTER (p.rank = least(32, d.prefix)) AS g32, list(p.vec_id ORDER BY p.rank) FILTER (p.rank <= 10) AS top
+  FROM due d JOIN walk p USING (n, qid) JOIN state s USING (n, qid) GROUP BY d.stage, d.prefix, d.qid),
+checks AS (SELECT *, lag(dk) OVER w AS dk0, lag(edge) OVER w AS edge0, lag(top) OVER w AS top0 FROM one WINDOW w AS (PARTITION BY qid ORDER BY stage))""",
     "tiled": tiles(32, 8, 10),
     "first_kth": f"first_kth AS (SELECT qid, exact AS kth FROM (SELECT qid, exact, {rank('qid', 'exact')} AS r FROM rpool WHERE rank <= 12) WHERE r = 10)",
     "stops": "tk AS (" + " UNION ALL ".join(f"SELECT qid, {p} AS processed, exact AS kth FROM (SELECT qid, exact, {rank('qid', 'exact')} AS r FROM expool WHERE rank <= {p}) WHERE r = 4" for p in range(4, 33, 4)) + """),
 st AS (SELECT qid, processed, CASE WHEN round(lag(kth) OVER (PARTITION BY qid ORDER BY processed), 9) <= round(kth, 9) AND processed >= 8 THEN processed END AS s FROM tk),
 stops AS (SELECT qid, coalesce(min(s), 32) AS stop_prefix FROM st GROUP BY qid)""",
-    "feat": "f0 AS (" + " UNION ALL ".join(
-        f"""SELECT b.qid, {n} AS stage, {p} AS prefix, b.kth, b.kth - b.best AS spread, count(a.lb) FILTER (round(a.lb, 9) <= round(b.kth, 9)) AS live,
-  coalesce(min(a.lb) FILTER (round(a.lb, 9) <= round(b.kth, 9)) - b.kth, 0) AS best_gap FROM
-  (SELECT qid, max(exact) FILTER (r = 10) AS kth, min(exact) AS best FROM (SELECT qid, exact, {rank('qid', 'exact')} AS r FROM rpool WHERE rank <= {p}) WHERE r <= 10 GROUP BY qid) b
-  LEFT JOIN rpool a ON a.qid = b.qid AND a.rank > {p} AND a.rank <= {p + 8} GROUP BY b.qid, b.kth, b.best""" for n, p in enumerate(STAGES)) +
-    "),\nfeat AS (SELECT *, coalesce(lag(kth) OVER (PARTITION BY qid ORDER BY stage) - kth, 0) AS delta_kth FROM f0)",
-    "tfeat": "tfeat AS (" + " UNION ALL ".join(
-        f"""SELECT qid, {n} AS stage, {p} / 32.0 AS prefix_frac, count(*) FILTER (expanded) / 32.0 AS expanded_frac, coalesce(min(rank - 1) FILTER (NOT expanded), 32) / 32.0 AS best_unexpanded,
-  count(*) FILTER (NOT expanded AND rank > {p}) / {32.0 - p} AS open_frac, coalesce(max(dist) FILTER (rank = 10), 0) AS dk, coalesce(max(dist) FILTER (rank = {p}) - max(dist) FILTER (rank = 10), 0) AS gap_prefix FROM pool2 GROUP BY qid""" for n, p in enumerate((10, 16, 24))) + ")",
+    "feat": features([10, 12, 14, 16], 10, 32, 4, "feat"),
+    "learned": features([10, 12, 14, 16], 10, 32, 4, "learned", 1),
+    "ladder": features(rerank_ladder(10, 32), 10, 32, 4, "ladder"),
+    "need": f"need AS (SELECT qid, max(rank) AS deepest FROM (SELECT qid, rank, {rank('qid', 'exact')} AS r FROM rpool) WHERE r <= 10 GROUP BY qid)",
     "km0": "km0 AS (SELECT vec_id AS center, v AS pvt FROM emb WHERE vec_id < 16)",
     "km1": lloyd("km1", "km0"),
-    "km2": lloyd("km2", "km1"),
+    "km24": fit("km24", "emb", "vec_id AS center, v AS pvt", 24),
+    "kmc": fit("kmc", "emb", "vec_id AS center, v AS pvt", 80),
+    "pqt": fit("pqt", "sub", "chunk, vec_id AS center, sub AS pvt", 14),
+    "rest": fit("rest", "res", "chunk, vec_id AS center, sub AS pvt", 14),
+    "worst": f"worst AS (SELECT s.*, row_number() OVER (PARTITION BY s.chunk ORDER BY s.vec_id) - 1 AS pos FROM sub s JOIN (SELECT chunk, vec_id, row_number() OVER (PARTITION BY chunk ORDER BY round(-err, 9), vec_id) AS r FROM code) USING (chunk, vec_id), points WHERE r <= least(n, greatest(16, floor(0.2 * n))))",
+    "hpqt": fit("hpqt", "worst", "chunk, pos AS center, sub AS pvt", 14),
 }
 #: Names that a step of several tables defines besides its own.
-INSIDE = {"chosen1": "pool1", "front1": "pool1", "fresh1": "pool1", "both1": "pool1", "seen1": "pool1", "seen2": "pool2"}
+INSIDE = {"chosen1": "pool1", "front1": "pool1", "fresh1": "pool1", "both1": "pool1", "seen1": "pool1", "seen2": "pool2", "walk": "final", "went": "final", "knew": "final"}
 
 
 def sql(body: str) -> str:
@@ -130,7 +207,7 @@ def sql(body: str) -> str:
     need: set[str] = set()
 
     def visit(text: str) -> None:
-        for name in set(re.findall(r"\b[a-z_]+[0-9]?\b", text)):
+        for name in set(re.findall(r"\b[a-z_]+[0-9]*\b", text)):
             step = INSIDE.get(name, name)
             if step in STEPS and step not in need:
                 need.add(step)
@@ -161,6 +238,10 @@ def centers(src: str) -> str:
     return f"SELECT center, dim, round(x, 6) AS v, members FROM (SELECT center, members, unnest(pvt) AS x, unnest(range(64)) AS dim FROM {src})"
 
 
+def book(src: str) -> str:
+    return f"SELECT chunk, center, dim, round(x, 6) AS v FROM (SELECT chunk, center, unnest(pvt) AS x, unnest(range(8)) AS dim FROM {src})"
+
+
 def hot(src: str) -> str:
     return f"""SELECT pct, round(100.0 * sum(n) FILTER (pos <= ceil(pct * m / 100)) / sum(n), 6) AS cumulative_pct FROM
 (SELECT n, row_number() OVER (ORDER BY n DESC, id) AS pos, count(*) OVER () AS m FROM ({src})), (SELECT unnest([1, 5, 10, 20, 30, 50]) AS pct) GROUP BY pct"""
@@ -170,7 +251,7 @@ def linear(bias: float, w: dict[str, float]) -> str:
     return " + ".join([repr(bias), *(f"{k} * {v!r}" for k, v in w.items())])
 
 
-_RW = {**RERANK_W, "kth": RERANK_W["kth"] * 2.0}
+_ROUNDED = ", ".join(f"round({f}, 6) AS {f}" for f in RERANK)
 _HIST = "SELECT '{}' AS stage, coalesce(p.rank, 0) AS rank, count(*) AS n FROM truth t LEFT JOIN {} p USING (qid, vec_id) GROUP BY ALL"
 _RES = f"(SELECT qid, vec_id, {rank('qid')} AS rank FROM refined)"
 _RUN = "SELECT '{0}' AS metric, count({1}) AS count, round(coalesce(min({1}), 0), 6) AS min, round(coalesce(max({1}), 0), 6) AS max, round(coalesce(avg({1}), 0), 6) AS avg FROM rpool"
@@ -178,7 +259,7 @@ _RUN = "SELECT '{0}' AS metric, count({1}) AS count, round(coalesce(min({1}), 0)
 BODIES: dict[str, str] = {
     "topk_exact": ranks("truth"),
     "topk_limit": ranks("ranked WHERE rank <= 10"),
-    "exact_l2": f"SELECT qid, vec_id, round({d2('v', 'qv')}, 6) AS dist FROM emb, qry",
+    "exact_l2": "SELECT qid, vec_id, round(exact, 6) AS dist FROM expool",
     "query_norm": "SELECT qid, round(list_dot_product(qv, qv), 6) AS norm_sq FROM qry",
     "vector_lookup": "SELECT vec_id, dim, round(x, 6) AS v FROM (SELECT vec_id, unnest(v) AS x, unnest(range(len(v))) AS dim FROM emb WHERE vec_id IN (3, 77, 421))",
     "page_address": "SELECT vec_id, vec_id // 16 AS page_id, vec_id % 16 AS slot_id, 4096 + (vec_id // 16) * 4096 + (vec_id % 16) * 256 AS byte_offset FROM emb",
@@ -189,7 +270,7 @@ BODIES: dict[str, str] = {
     "verify_sample": "SELECT vec_id, TRUE AS ok FROM emb WHERE vec_id % 37 = 0",
     "pq_encode": "SELECT vec_id, chunk, center, round(err, 6) AS err FROM code",
     "pq_lut": "SELECT qid, chunk, center, round(d, 6) AS d FROM lut",
-    "pq_adc": "SELECT qid, vec_id, round(dist, 6) AS dist FROM adc",
+    "pq_adc": "SELECT qid, vec_id, round(dist, 6) AS dist FROM ranked WHERE rank <= 100",
     "pq_reconstruct": dims("dec", "approx"),
     "pq_residual": dims("res", "sub"),
     "residual_pq_encode": "SELECT vec_id, chunk, center FROM rcode",
@@ -199,7 +280,11 @@ BODIES: dict[str, str] = {
     "hpq_outlier_select": f"SELECT chunk, vec_id, round(err, 6) AS err FROM (SELECT chunk, vec_id, err, row_number() OVER (PARTITION BY chunk ORDER BY round(-err, 9), vec_id) AS r FROM code), points WHERE r <= least(n, greatest(16, floor(0.2 * n)))",
     "hpq_encode": "SELECT vec_id, chunk, code, use_outlier FROM hcode",
     "kmeans_step": centers("km1"),
-    "kmeans_fit": centers("km2"),
+    "kmeans_fit": centers("km24"),
+    "kmeans_converged": centers("kmc"),
+    "pq_train": book("pqt"),
+    "hpq_train": book("hpqt"),
+    "residual_train": book("rest"),
     "coarse_assign": f"SELECT vec_id, center AS coarse_id, round(round(d, 9), 6) AS dist FROM (SELECT e.vec_id, c.center, {d2('e.v', 'c.pvt')} AS d, row_number() OVER (PARTITION BY e.vec_id ORDER BY round({d2('e.v', 'c.pvt')}, 9), c.center) AS rn FROM emb e, coarse c) WHERE rn = 1",
     "rvq_search": "SELECT qid, cluster_id FROM found",
     "rvq_build": "SELECT vec_id, cluster_id, round(score, 6) AS score FROM assigned",
@@ -231,9 +316,19 @@ BODIES: dict[str, str] = {
     "rerank_replay": topk("SELECT qid, vec_id, exact AS dist FROM expool JOIN stops USING (qid) WHERE rank <= stop_prefix", 10),
     "rerank_persistent": topk("SELECT qid, vec_id, exact AS dist FROM tiled WHERE kept", 10),
     "rerank_sweep": topk("SELECT top_n, qid, vec_id, exact AS dist FROM expool, (SELECT unnest([8, 16, 32]) AS top_n) WHERE rank <= top_n", 10, "top_n, qid"),
-    "stop_features": "SELECT qid, stage, prefix, round(kth, 6) AS kth, round(delta_kth, 6) AS delta_kth, round(spread, 6) AS spread, live, round(best_gap, 6) AS best_gap FROM feat",
-    "rerank_stop_logit": f"SELECT qid, stage, round(x, 6) AS logit, round(x, 6) < 0 AS stop FROM (SELECT qid, stage, {linear(0.25 - 0.5 * _RW['kth'], _RW)} AS x FROM feat)",
-    "stop_logit": f"SELECT qid, stage, round(x, 6) AS logit, round(x, 6) < 0 AS stop FROM (SELECT qid, stage, -1.0 + prefix_frac * 1.0 - expanded_frac * 2.0 - best_unexpanded * 1.5 + open_frac * 0.5 + dk * 2.0 - gap_prefix * 1.0 AS x FROM tfeat)",
+    "stop_features": f"SELECT qid, stage, prefix, {_ROUNDED} FROM feat",
+    "rerank_stop_logit": f"SELECT qid, stage, round(x, 6) AS logit, round(x, 6) < 0 AS stop FROM (SELECT qid, stage, {linear(RERANK_BIAS, RERANK_W)} AS x FROM feat)",
+    "rerank_stop_dataset": f"SELECT qid, stage, prefix, {_ROUNDED}, CASE WHEN prefix < deepest THEN 1 ELSE 0 END AS label FROM ladder JOIN need USING (qid)",
+    "rerank_learned_stop": f"SELECT qid, coalesce(min(prefix) FILTER (x < 0), 32) AS stop_prefix FROM (SELECT qid, prefix, {linear(RERANK_BIAS, RERANK_W)} AS x FROM learned) GROUP BY qid",
+    "beam_search_full": ranks("final", ", expanded"),
+    "beam_search_kernel": ranks("final", ", expanded"),
+    "beam_search_prefix": ranks("(SELECT p.* FROM walk p JOIN (SELECT qid, min(n) AS n FROM (SELECT n, qid FROM walk GROUP BY n, qid HAVING count(*) FILTER (rank <= 16 AND NOT expanded) = 0 AND count(*) >= 16) GROUP BY qid) s USING (n, qid))", ", expanded"),
+    "stop_dataset": """SELECT qid, stage, prefix, round(prefix / 32, 6) AS prefix_frac, round(x / 32, 6) AS expanded_frac, round(visited / 32, 6) AS visited_frac, round(first_open / 32, 6) AS best_unexpanded, round(open / (32 - prefix), 6) AS next64, round(open / (32 - prefix), 6) AS next256,
+  round(dk, 6) AS dk, round(edge - dk, 6) AS gap_prefix, round(g32 - dk, 6) AS gap32, round(coalesce(dk0 - dk, 0), 6) AS delta_dk, round(coalesce(edge0 - edge, 0), 6) AS delta_boundary,
+  CASE WHEN top0 IS NULL THEN 1.0::DOUBLE ELSE len(list_filter(top, lambda i: NOT list_contains(top0, i))) / 10 END AS churn, CASE WHEN top <> f.ids THEN 1 ELSE 0 END AS label
+FROM checks JOIN (SELECT qid, list(vec_id ORDER BY rank) AS ids FROM final WHERE rank <= 10 GROUP BY qid) f USING (qid)""",
+    "result_checksum": "SELECT bit_xor(h) AS checksum FROM (SELECT list_reduce(list_prepend(2166136261, list(vec_id ORDER BY rank)), lambda h, x: (xor(h, x) * 16777619) % 4294967296) AS h FROM truth GROUP BY qid)",
+    "rerank_linear": topk("SELECT qid, vec_id, exact AS dist FROM expool", 10),
     "recall_at_k": "SELECT round(count(*) / (SELECT count(*) * 10 FROM qry), 6) AS recall FROM ranked r SEMI JOIN truth t USING (qid, vec_id) WHERE r.rank <= 10",
     "overlap_thresholds": "SELECT threshold, count(*) FILTER (r.rank <= threshold) AS matched, count(*) AS total FROM truth t JOIN ranked r USING (qid, vec_id), (SELECT unnest([10, 20, 50, 100]) AS threshold) GROUP BY threshold",
     "pq_rerank_overlap": f"SELECT threshold, count(*) FILTER (r.rank <= threshold) AS matched FROM truth t LEFT JOIN (SELECT qid, vec_id, {rank('qid')} AS rank FROM hdist) r USING (qid, vec_id), (SELECT unnest([10, 20, 32]) AS threshold) GROUP BY threshold",

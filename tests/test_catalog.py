@@ -5,7 +5,8 @@ import os
 import pytest
 
 DATA = "/root/testdata/sf0.001"
-FAST = ("topk_exact", "pq_encode", "pq_adc", "residual_refine", "hpq_encode", "rvq_build", "entry_points", "beam_round", "bound_safety", "rerank_early_stop", "reuse_profile", "hotset_events", "scan_fbin", "overlap_thresholds")
+FAST = ("topk_exact", "pq_encode", "pq_adc", "residual_refine", "hpq_encode", "rvq_build", "entry_points", "beam_round", "beam_search_kernel", "bound_safety", "rerank_early_stop", "reuse_profile", "hotset_events", "scan_fbin", "overlap_thresholds",
+        "kmeans_fit", "pq_train", "hpq_train", "stop_dataset", "rerank_stop_dataset", "rerank_learned_stop", "result_checksum")
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")

@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkvane.functions.expr import lower_bound, norm_sq
-from sparkvane.operators import evaluate, pq, rerank, traverse, vectors
-from sparkvane.operators.stops import StopModel
+from sparkvane.operators import evaluate, pq, rerank, stops, traverse, vectors
+from sparkvane.operators.models import TRAVERSAL, Decision, StopModel
 
 GRAPH = {0: [1, 2], 1: [3], 2: [4], 3: [5], 4: [5], 5: []}
 CODES = [9, 6, 7, 2, 3, 1]
@@ -36,18 +36,124 @@ def test_traversal_set_form_and_kernel_agree_with_the_known_result(spark):
     assert {r["qid"] for r in stats.collect()} == {0, 1}
 
 
-@pytest.mark.parametrize("p,prefix", [((3, 8, 2, 4096), 0), ((3, 8, 3, 7), 0), ((3, 6, 2, 4096, 12), 4)])
+@pytest.mark.parametrize("p,prefix", [((3, 8, 2, 4096), (0,)), ((3, 8, 3, 7), (0,)), ((3, 6, 2, 4096, 12), (4,)), ((3, 6, 2, 4096, 12), (3, "candidates"))])
 def test_search_beyond_the_size_limit_equals_the_kernel(spark, p, prefix):
     rng = np.random.default_rng(3)
     graph = spark.createDataFrame([(i, int(j)) for i in range(40) for j in rng.integers(0, 45, 4)], "src long, dst long")
     codes = spark.createDataFrame([(i, rng.integers(0, 16, 2).tolist()) for i in range(42)], "vec_id long, code array<int>")
     luts = spark.createDataFrame([(q, rng.integers(0, 9, 32).astype(float).tolist()) for q in range(5)], "qid long, lut array<double>")
     entries = spark.createDataFrame([(q, v) for q in range(6) for v in (0, q, 44)], "qid long, vec_id long")
-    got, want = (traverse.search_kernel(luts, entries, graph, codes, 16, traverse.Params(*p), prefix, b) for b in (0, 1 << 20))
+    got, want = (traverse.search_kernel(luts, entries, graph, codes, 16, traverse.Params(*p), traverse.Prefix(*prefix), b) for b in (0, 1 << 20))
     assert got.columns == want.columns
     assert rows(got, *want.columns) == rows(want, *want.columns) != []
 
 
+@pytest.mark.parametrize("most", [1, 2, 4, 5])
+def test_no_form_expands_more_than_it_may(spark, most):
+    rng = np.random.default_rng(5)
+    graph = spark.createDataFrame([(i, int(j)) for i in range(30) for j in rng.integers(0, 30, 3)], "src long, dst long").distinct()
+    codes = spark.createDataFrame([(i, rng.integers(0, 16, 2).tolist()) for i in range(30)], "vec_id long, code array<int>")
+    luts = spark.createDataFrame([(q, rng.integers(0, 9, 32).astype(float).tolist()) for q in range(4)], "qid long, lut array<double>")
+    # queries of one and of several entries run out of choices at different rounds
+    entries = spark.createDataFrame([(q, v) for q in range(4) for v in range(1 + 3 * (q % 2))], "qid long, vec_id long")
+    p = traverse.Params(3, 8, 2, most)
+    pool, stats = traverse.traverse(entries, graph, traverse.Scorer(codes, luts, 16), p)
+    kernel = traverse.search_kernel(luts, entries, graph, codes, 16, p)
+    cols = ("qid", "rank", "vec_id", "dist", "expanded")
+    assert rows(pool, *cols) == rows(kernel, *cols)
+    per_query = ("qid", "visited", "n_expanded", "iterations")
+    assert rows(stats, *per_query) == sorted(set(rows(kernel, *per_query)))
+    assert max(r[2] for r in rows(stats, *per_query)) <= most
+    _, steps = traverse.traverse(entries, graph, traverse.Scorer(codes, luts, 16), p, trace=True)
+    n = {}
+    for q, _, _ in rows(steps, "qid", "step", "vec_id"):
+        n[q] = n.get(q, 0) + 1
+    assert n == {r[0]: r[2] for r in rows(stats, *per_query)}
+
+
+def brute_features(pool, p, k, l, expanded, visited, before):
+    d, ids, is_open = [c[0] for c in pool], [c[1] for c in pool], [not c[2] for c in pool]
+    first = next((i for i in range(l) if is_open[i]), l)
+    part = lambda n: np.mean(is_open[p : min(p + n, l)])
+    dk, edge = d[k - 1], d[p - 1]
+    was = before or (dk, edge, [])
+    return [p / l, expanded / l, visited / l, first / l, part(64), part(256), dk, edge - dk, d[min(max(k - 1, 31), p - 1)] - dk, was[0] - dk, was[1] - edge,
+            len([i for i in ids[:k] if i not in was[2]]) / k], (dk, edge, ids[:k])
+
+
+def test_checkpoints_and_learned_stops_of_the_traversal(spark):
+    rng = np.random.default_rng(11)
+    k, l, n = 3, 10, 60
+    adj = {i: sorted({int(j) for j in rng.integers(0, n, 4)}) for i in range(n)}
+    code = rng.integers(0, 16, (n, 2))
+    table = rng.random((4, 2, 16)).round(3)
+    graph = spark.createDataFrame([(i, j) for i in adj for j in adj[i]], "src long, dst long")
+    codes = spark.createDataFrame([(i, code[i].tolist()) for i in range(n)], "vec_id long, code array<int>")
+    luts = spark.createDataFrame([(q, table[q].ravel().tolist()) for q in range(4)], "qid long, lut array<double>")
+    entries = spark.createDataFrame([(q, q) for q in range(4)], "qid long, vec_id long")
+    p, stages = traverse.Params(k, l, 2), [2, 4, 6, 8, 10]
+    dist = lambda q, i: float(table[q, 0, code[i, 0]] + table[q, 1, code[i, 1]])
+
+    def run(q, weights=None, bias=0.0):
+        pool, seen, expanded, before, at, out = [(dist(q, q), q, False)], {q}, 0, None, [(j, s) for j, s in enumerate(stages[:4]) if s >= k], []
+        while True:
+            while at and len(pool) >= l and expanded >= at[0][1]:
+                f, before = brute_features(pool, at[0][1], k, l, expanded, len(seen), before)
+                out.append((q, *at.pop(0), f, [c[1] for c in pool[:k]]))
+                if weights and bias + float(np.dot(weights, f)) < 0:
+                    return pool, out
+            turn = [j for j, c in enumerate(pool[:l]) if not c[2]][:2]
+            if not turn:
+                return pool, out
+            new = set()
+            for j in turn:
+                pool[j] = (*pool[j][:2], True)
+                new |= set(adj[pool[j][1]]) - seen
+            seen |= new
+            expanded += len(turn)
+            pool = sorted([*pool, *((dist(q, i), i, False) for i in new)], key=lambda c: (round(c[0], 9), c[1]))[:l]
+
+    got = {(r["qid"], r["stage"]): r for r in traverse.search_checkpoints(luts, entries, graph, codes, 16, p, stages).collect()}
+    want = [x for q in range(4) for x in run(q)[1]]
+    ends = {q: [c[1] for c in run(q)[0][:k]] for q in range(4)}
+    assert len(got) == len(want) > 4
+    for q, stage, prefix, f, ids in want:
+        r = got[q, stage]
+        assert r["prefix"] == prefix and r["label"] == int(ids != ends[q])
+        assert [r[c] for c in TRAVERSAL] == pytest.approx(f)
+    weights = [0.0] * 11 + [1.0]
+    model = StopModel(stages, [0.0] * 12, [1.0] * 12, weights, -0.5)
+    learned = rows(traverse.search_kernel(luts, entries, graph, codes, 16, p, decision=Decision.of(model, l)), "qid", "vec_id", "expanded")
+    brute = sorted((q, c[1], c[2]) for q in range(4) for c in run(q, weights, -0.5)[0])
+    assert learned == brute != sorted((q, c[1], c[2]) for q in range(4) for c in run(q)[0])
+
+
+def test_persistent_rerank_stops_replays_and_reuses(spark):
+    rng = np.random.default_rng(2)
+    pool = [(q, i + 1, int(j), float(x) * 0.9, float(x), bool(i % 3 == 0)) for q in range(5) for i, (j, x) in enumerate(zip(rng.permutation(40), np.sort(rng.random(40)) + rng.random(40) * 0.3, strict=True))]
+    d = spark.createDataFrame(pool, "qid long, rank long, vec_id long, lb double, exact double, reused boolean")
+    k, n, stages = 4, 40, [8, 12, 20]
+    model = StopModel(stages, [0.0] * 13, [1.0] * 13, [0.0] * 6 + [1.0] + [0.0] * 6, -0.3)  # stop where under 30 % of the top entered
+    plan = rerank.Plan(n, 8, k, decision=Decision.of(model, n), bootstrap=6)
+    assert plan.ends() == [6, 8, 12, 20, 28, 36, 40]
+    runs = {r["qid"]: r for r in rerank.persistent_runs(d, plan).collect()}
+    feats = {(r["qid"], r["prefix"]): r for r in stops.rerank_features(d.drop("reused"), [6, *stages], k, n, 8).collect()}
+    for q, r in runs.items():
+        at = [p for p in stages if feats[q, p]["entered_ratio"] < 0.3]
+        want = at[0] if at else n
+        mine = [x for x in pool if x[0] == q and x[1] <= want]
+        assert r["prefix"] == want
+        assert [b["vec_id"] for b in r["best"]] == [x[2] for x in sorted(mine, key=lambda x: x[4])[:k]]
+        assert 0 < r["reused_n"] <= r["exact_n"] <= want
+    assert any(r["prefix"] < n for r in runs.values())
+    recorded = spark.createDataFrame([(q, 10 + q) for q in range(5)], "qid long, stop_prefix long")
+    for r in rerank.persistent_runs(d, plan, recorded).collect():
+        mine = [x for x in pool if x[0] == r["qid"] and x[1] <= 10 + r["qid"]]
+        assert r["prefix"] == 10 + r["qid"] and [b["vec_id"] for b in r["best"]] == [x[2] for x in sorted(mine, key=lambda x: x[4])[:k]]
+    full = rows(rerank.persistent(d, n, 8, k), "qid", "rank", "vec_id")
+    assert full == sorted((q, i + 1, x[2]) for q in range(5) for i, x in enumerate(sorted((x for x in pool if x[0] == q), key=lambda x: x[4])[:k]))
+
+
 def test_full_width_traversal_equals_brute_force(spark):
     graph, codes, luts, entries = tables(spark, {0: 0.0, 1: 8.0, 2: 4.0})
     p = traverse.Params(6, 6, 2, 100)
@@ -72,8 +178,9 @@ def test_lookup_table_of_two_dimensions(spark):
     lut = pq.lut(q, book, 1, 2)
     assert [r[3] for r in sorted(lut.collect())] == [5, 4, 1, 0, 0, 1, 4, 5]
     codes = spark.createDataFrame([(0, [1]), (1, [2]), (2, [3])], "vec_id long, code array<int>")
-    d = pq.adc(codes, pq.wide_lut(lut), 4)
+    d = pq.adc_topk(codes, pq.wide_lut(lut), 4, 3)
     assert rows(d.where("qid = 0"), "vec_id", "dist") == [(0, 4.0), (1, 1.0), (2, 0.0)]
+    assert rows(pq.adc_topk(codes, pq.wide_lut(lut), 4, 2, block=1), "qid", "rank", "vec_id") == [(0, 1, 2), (0, 2, 1), (1, 1, 0), (1, 2, 1)]
 
 
 def test_residual_refinement_identity(spark):
