@@ -93,3 +93,26 @@ def batch_plan(queries: int, microbatch: int) -> list[tuple[int, int, int]]:
     elif rest:
         sizes = [rest]
     return [(i, i * microbatch, n) for i, n in enumerate(sizes)]
+
+
+def rank_report(pool: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row: truth ids found and not found in the pool, and the least, greatest and summed rank of those found."""
+    d = truth.select("qid", "vec_id").join(pool.select("qid", "vec_id", "rank"), ["qid", "vec_id"], "left")
+    z = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return d.agg(F.count("rank").alias("found"), F.count_if(F.col("rank").isNull()).alias("not_found"), z(F.min("rank")).alias("min"), z(F.max("rank")).alias("max"), z(F.sum("rank")).alias("sum"))
+
+
+def trace_depths(trace: DataFrame, col: str = "page") -> DataFrame:
+    """depth, pages: how many pages come `depth` times in a trace."""
+    return trace.groupBy(col).agg(F.count("*").alias("depth")).groupBy("depth").agg(F.count("*").alias("pages"))
+
+
+def rates(runs: DataFrame, page_bytes: int = 4096) -> DataFrame:
+    """runs(n queries, pages, ms) + qps and gb_s."""
+    s = F.col("ms") / 1000
+    return runs.withColumns({"qps": F.col("n") / s, "gb_s": F.col("pages") * page_bytes / s / 1e9})
+
+
+def cached_by_size(points: int, gib: list[float], node_bytes: int) -> list[tuple[float, int]]:
+    """(GiB, nodes that a cache of so many GiB holds)."""
+    return [(g, max(0, min(points, int(g * (1 << 30) // node_bytes)))) for g in gib]

@@ -346,6 +346,34 @@ FROM checks JOIN (SELECT qid, list(vec_id ORDER BY rank) AS ids FROM final WHERE
 }
 
 
+_FLAT = "(SELECT vec_id, unnest(v) AS x, unnest(range(len(v))) AS dim FROM emb)"
+_ROW = "row_number() OVER (PARTITION BY dim ORDER BY vec_id) - 1"
+_BYTE = "least(255, greatest(0, floor((x + 1) * 127.5)))::BIGINT"
+_REPORT = """SELECT '{}' AS stage, to_json(struct_pack(found := count(p.rank), not_found := count(*) FILTER (p.rank IS NULL), "min" := coalesce(min(p.rank), 0), "max" := coalesce(max(p.rank), 0), "sum" := coalesce(sum(p.rank), 0)::BIGINT))::VARCHAR AS report FROM truth t LEFT JOIN {} p USING (qid, vec_id)"""
+
+BODIES |= {
+    "scan_rawfloat": f"SELECT r AS vec_id, dim, round(x, 6) AS v FROM (SELECT {_ROW} AS r, dim, x FROM {_FLAT}), points WHERE r >= n // 2",
+    "scan_vector_store": f"SELECT {_ROW} AS vec_id, dim, {_BYTE} AS v FROM {_FLAT}",
+    "bvecs_to_fbin": f"SELECT {_ROW} AS vec_id, dim, {_BYTE} AS v FROM {_FLAT}",
+    "scan_topology": "SELECT src, slot, dst FROM graph",
+    "scan_topology_subset": "SELECT src, row_number() OVER (PARTITION BY src ORDER BY slot) AS slot, dst FROM graph, points WHERE src < n // 2 AND dst < n // 2",
+    "scan_disk_graph": "SELECT vec_id, (SELECT count(*) FROM graph g WHERE g.src = vec_id) AS degree, (SELECT dst FROM graph g WHERE g.src = vec_id AND slot = 1) AS nearest, round(list_sum(v), 6) AS sum_v FROM emb",
+    "scan_combined_nodes": "SELECT vec_id, dst AS neighbor, round(v[1], 6) AS first_v FROM emb JOIN graph ON src = vec_id",
+    "scan_pq_codes": "SELECT vec_id, chunk, center FROM code",
+    "pq_code_slice": "SELECT vec_id, chunk, center FROM code, points WHERE vec_id < n // 2",
+    "scan_residual_pq": "SELECT vec_id, center AS first_center, round(err::FLOAT::DOUBLE, 6) AS err FROM (SELECT vec_id, center FROM rcode WHERE chunk = 0) JOIN errs USING (vec_id)",
+    "scan_hpq": "SELECT vec_id, chunk, code, use_outlier FROM hcode",
+    "scan_truth": "SELECT dense_rank() OVER (ORDER BY qid) - 1 AS query_no, rank, vec_id, round(dist::FLOAT::DOUBLE, 6) AS dist FROM truth",
+    "page_trace_depths": "SELECT depth, count(*) AS pages FROM (SELECT count(*) AS depth FROM pool GROUP BY vec_id // 16) GROUP BY depth",
+    "stop_trace": "SELECT qid, stop_prefix FROM stops",
+    "rerank_stop_csv": f"SELECT qid, stage, prefix, {_ROUNDED}, CASE WHEN prefix < deepest THEN 1 ELSE 0 END AS label FROM feat JOIN need USING (qid)",
+    "expanded_frequency_csv": "SELECT vec_id, count(*) AS n FROM final WHERE expanded GROUP BY vec_id",
+    "truth_rank_report": _REPORT.format("before", "pool") + " UNION ALL " + _REPORT.format("after", _RES),
+    "subset_manifest": "SELECT to_json(struct_pack(vectors := n // 2, dim := 64, codes := n // 2, chunks := 8, edges := (SELECT count(*) FROM graph WHERE src < n // 2 AND dst < n // 2)))::VARCHAR AS manifest FROM points",
+    "run_rates": "SELECT round(count(DISTINCT qid) / 0.25, 6) AS qps, round(count(*) * 4096 / 0.25 / 1e9, 6) AS gb_s FROM pool WHERE rank <= 16",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: sql(b) for k, b in BODIES.items()}
 

@@ -1,44 +1,28 @@
-"""Binary vector and index files: readers as Python data sources, and writers.
+"""Binary vector files: their bytes, and the formats that read and write them.
 
 bvecs: each record is int32 dim and dim bytes. fbin: int32 rows, int32 dim, then
-float32 rows. ivecs ground truth: int32 rows, int32 k, int32 ids, and possibly
-float32 distances of the same shape. Row ranges are partitions; a task seeks to
-its range and reads it in steps, so no file passes through one task.
+float32 rows. Ground truth: int32 rows, int32 k, int32 ids, and possibly float32
+distances of the same shape. Blocks: int32 rows, int32 columns, payload. See
+files.py for how files are dealt to tasks.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-STEP = 4096
+from sparkvane.sources.files import Format, lists, open_input
+
 NO_NEIGHBOR = 0xFFFFFFFF
 DEGREE = 64
 PAGE = 4096
 
 
-class Span(InputPartition):
-    def __init__(self, lo: int, hi: int):
-        self.lo, self.hi = lo, hi
-
-
-def _open(path: str):
-    from pyarrow import fs
-
-    if path.startswith("file:") and not path.startswith("file://"):
-        path = "file://" + path[5:]
-    store, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-    return store.open_input_file(inner)
-
-
 def bvecs_metadata(path: str) -> tuple[int, int, int]:
     """(dim, record bytes, records); the file size must be a whole number of records."""
-    with _open(path) as f:
+    with open_input(path) as f:
         size = f.size()
         if size < 4:
             raise ValueError("bvecs file is too short")
@@ -48,139 +32,192 @@ def bvecs_metadata(path: str) -> tuple[int, int, int]:
     return dim, 4 + dim, size // (4 + dim)
 
 
-def fbin_metadata(path: str) -> tuple[int, int]:
-    with _open(path) as f:
-        rows, dim = struct.unpack("<ii", f.read(8))
-        if rows < 0 or dim <= 0 or f.size() < 8 + 4 * rows * dim:
-            raise ValueError("fbin header does not match the file")
-    return rows, dim
-
-
-class _Ranges(DataSourceReader):
-    def __init__(self, options):
-        self.path = options["path"]
-        self.start = int(options.get("start", 0))
-        self.count = int(options["count"]) if "count" in options else None
-        self.parts = int(options.get("partitions", 8))
-        self.dim = int(options.get("dim", 0))
-
-    def rows(self) -> int:
-        raise NotImplementedError
-
-    def decode(self, f, lo: int, hi: int) -> np.ndarray:
-        raise NotImplementedError
-
-    def partitions(self):
-        n = self.rows()
-        hi = n if self.count is None else self.start + self.count
-        if self.start < 0 or hi > n:
-            raise ValueError(f"rows {self.start}..{hi} of {n}")
-        cuts = np.linspace(self.start, hi, max(1, min(self.parts, hi - self.start)) + 1).astype(int).tolist()
-        return [Span(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-
-    def read(self, span) -> Iterator[pa.RecordBatch]:
-        with _open(self.path) as f:
-            for lo in range(span.lo, span.hi, STEP):
-                hi = min(span.hi, lo + STEP)
-                m = self.decode(f, lo, hi)
-                at = np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)
-                kind = pa.int32() if m.dtype == np.int32 else pa.float32()
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, hi), pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(m.ravel(), kind))], names=["row", "vec"])
-
-
-class BvecsReader(_Ranges):
-    def rows(self):
-        return bvecs_metadata(self.path)[2]
-
-    def decode(self, f, lo, hi):
-        dim, rec, _ = bvecs_metadata(self.path)
-        f.seek(lo * rec)
-        m = np.frombuffer(f.read((hi - lo) * rec), np.uint8).reshape(hi - lo, rec)
+class Bvecs(Format):
+    name, columns = "bvecs", "vec array<float>"
+
+    def _dim(self, f) -> int:
+        f.seek(0)
+        (dim,) = struct.unpack("<i", f.read(4)) if f.size() >= 4 else (0,)
+        if dim <= 0 or f.size() % (4 + dim):
+            raise ValueError("bvecs size does not match its dimension")
+        return dim
+
+    def count(self, f):
+        return f.size() // (4 + self._dim(f))
+
+    def read(self, f, lo, hi):
+        dim = self._dim(f)
+        f.seek(lo * (4 + dim))
+        m = np.frombuffer(f.read((hi - lo) * (4 + dim)), np.uint8).reshape(hi - lo, 4 + dim)
         if (m[:, :4].copy().view("<i4") != dim).any():
             raise ValueError("a bvecs record has another dimension")
-        return m[:, 4:].astype(np.float32)
+        return [lists(m[:, 4:].astype(np.float32), pa.float32())]
+
+    def file(self, cols):
+        m = self.matrix(cols[0], np.uint8)
+        return np.concatenate([np.full((len(m), 1), m.shape[1], "<i4").view(np.uint8).reshape(len(m), 4), m], axis=1).tobytes()
+
+
+class _Block(Format):
+    """int32 rows, int32 columns, payload of one type."""
+
+    kind, arrow = np.dtype("<f4"), pa.float32()
+
+    def _head(self, f) -> tuple[int, int]:
+        f.seek(0)
+        rows, dim = struct.unpack("<ii", f.read(8))
+        if rows < 0 or dim <= 0 or f.size() < 8 + self.kind.itemsize * rows * dim:
+            raise ValueError("block header does not match the file")
+        return rows, dim
+
+    def count(self, f):
+        return self._head(f)[0]
 
+    def read(self, f, lo, hi):
+        dim = self._head(f)[1]
+        f.seek(8 + self.kind.itemsize * lo * dim)
+        return [lists(np.frombuffer(f.read(self.kind.itemsize * (hi - lo) * dim), self.kind).reshape(hi - lo, dim), self.arrow)]
 
-class FbinReader(_Ranges):
-    def rows(self):
-        return fbin_metadata(self.path)[0]
+    def file(self, cols):
+        return block_bytes(self.matrix(cols[0], self.kind))
 
-    def decode(self, f, lo, hi):
-        dim = fbin_metadata(self.path)[1]
-        f.seek(8 + 4 * lo * dim)
-        return np.frombuffer(f.read(4 * (hi - lo) * dim), "<f4").reshape(hi - lo, dim)
 
+class Fbin(_Block):
+    name, columns = "fbin", "vec array<float>"
 
-class RawFloatReader(_Ranges):
+
+class PqCodes(_Block):
+    name, columns, kind, arrow = "pq_codes", "code array<int>", np.dtype("u1"), pa.int32()
+
+
+class ErrorBounds(_Block):
+    """One float32 a row: the error radius of its residual code."""
+
+    name, columns = "error_bounds", "bound array<float>"
+
+
+class RawFloat(Format):
     """Headerless float32 rows; option dim."""
 
-    def rows(self):
-        with _open(self.path) as f:
-            if self.dim <= 0 or f.size() % (4 * self.dim):
-                raise ValueError("raw file size does not match dim")
-            return f.size() // (4 * self.dim)
+    name, columns = "rawfloat", "vec array<float>"
+
+    @property
+    def dim(self) -> int:
+        return int(self.options.get("dim", 0))
 
-    def decode(self, f, lo, hi):
+    def count(self, f):
+        if self.dim <= 0 or f.size() % (4 * self.dim):
+            raise ValueError("raw file size does not match dim")
+        return f.size() // (4 * self.dim)
+
+    def read(self, f, lo, hi):
         f.seek(4 * lo * self.dim)
-        return np.frombuffer(f.read(4 * (hi - lo) * self.dim), "<f4").reshape(hi - lo, self.dim)
+        return [lists(np.frombuffer(f.read(4 * (hi - lo) * self.dim), "<f4").reshape(hi - lo, self.dim), pa.float32())]
+
+    def file(self, cols):
+        return self.matrix(cols[0], "<f4").tobytes()
 
 
-class TruthReader(_Ranges):
-    """Ground-truth ids; trailing distances, told by the file size, are skipped."""
+class Truth(Format):
+    """Ground-truth ids, and the distances where the file size tells of them (else null)."""
 
-    def _head(self):
-        with _open(self.path) as f:
-            rows, k = struct.unpack("<ii", f.read(8))
-            if f.size() not in (8 + 4 * rows * k, 8 + 8 * rows * k):
-                raise ValueError("ground-truth size matches neither layout")
-        return rows, k
+    name, columns = "ann_truth", "vec array<int>, dists array<float>"
 
-    def rows(self):
-        return self._head()[0]
+    def _head(self, f) -> tuple[int, int, bool]:
+        f.seek(0)
+        rows, k = struct.unpack("<ii", f.read(8))
+        if f.size() not in (8 + 4 * rows * k, 8 + 8 * rows * k):
+            raise ValueError("ground-truth size matches neither layout")
+        return rows, k, f.size() == 8 + 8 * rows * k
 
-    def decode(self, f, lo, hi):
-        k = self._head()[1]
+    def count(self, f):
+        return self._head(f)[0]
+
+    def read(self, f, lo, hi):
+        rows, k, more = self._head(f)
         f.seek(8 + 4 * lo * k)
-        return np.frombuffer(f.read(4 * (hi - lo) * k), "<i4").reshape(hi - lo, k)
+        ids = lists(np.frombuffer(f.read(4 * (hi - lo) * k), "<i4").reshape(hi - lo, k), pa.int32())
+        if not more:
+            return [ids, pa.nulls(hi - lo, pa.list_(pa.float32()))]
+        f.seek(8 + 4 * (rows + lo) * k)
+        return [ids, lists(np.frombuffer(f.read(4 * (hi - lo) * k), "<f4").reshape(hi - lo, k), pa.float32())]
+
+    def file(self, cols):
+        with_dists = len(cols) > 1 and not cols[1].null_count
+        return truth_bytes(self.matrix(cols[0], "<i4"), self.matrix(cols[1], "<f4") if with_dists else None)
 
 
-class TraceReader(_Ranges):
-    """Packed uint64 page ids."""
+class PageTrace(Format):
+    """Packed uint64 page ids (as long; ids from 2**63 on are refused)."""
 
-    def rows(self):
-        with _open(self.path) as f:
-            return f.size() // 8
+    name, columns = "page_trace", "page long"
 
-    def decode(self, f, lo, hi):
+    def count(self, f):
+        return f.size() // 8
+
+    def read(self, f, lo, hi):
         f.seek(8 * lo)
-        return np.frombuffer(f.read(8 * (hi - lo)), "<u8").astype(np.int32).reshape(-1, 1)
+        ids = np.frombuffer(f.read(8 * (hi - lo)), "<u8")
+        if len(ids) and ids.max() >= 2**63:
+            raise ValueError("a page id does not fit into a long")
+        return [pa.array(ids.astype(np.int64))]
+
+    def file(self, cols):
+        return cols[0].to_numpy().astype("<u8").tobytes()
+
+
+class Selectors(Format):
+    """Selector bits of hybrid codes, LSB first; option chunks."""
+
+    name, columns = "selectors", "use_outlier array<boolean>"
+
+    @property
+    def chunks(self) -> int:
+        return int(self.options["chunks"])
 
+    def count(self, f):
+        stride = -(-self.chunks // 8)
+        if f.size() % stride:
+            raise ValueError("selector size does not match its shape")
+        return f.size() // stride
 
-def _source(short: str, reader: type, kind: str) -> type[DataSource]:
-    class Source(DataSource):
-        @classmethod
-        def name(cls):
-            return short
+    def read(self, f, lo, hi):
+        stride = -(-self.chunks // 8)
+        f.seek(lo * stride)
+        return [lists(read_selector_bits(f.read((hi - lo) * stride), hi - lo, self.chunks), pa.bool_())]
 
-        def schema(self):
-            return f"row long, vec array<{kind}>"
+    def file(self, cols):
+        return selector_bits(self.matrix(cols[0], bool))
 
-        def reader(self, schema):
-            return reader(self.options)
 
-    Source.__name__ = short.title()
-    return Source
+class Pivots(Format):
+    """A codebook of 256 centers in one file, read and written by one task: a row of
+    (chunk, pivot) per center and chunk, row = chunk * 256 + center."""
 
+    name, columns, whole = "pq_pivots", "chunk long, center long, pivot array<float>", True
 
-SOURCES = [_source("bvecs", BvecsReader, "float"), _source("fbin", FbinReader, "float"), _source("rawfloat", RawFloatReader, "float"), _source("ann_truth", TruthReader, "int"), _source("page_trace", TraceReader, "int")]
+    def _book(self, f):
+        f.seek(0)
+        return pq_pivots(f.read())
 
+    def count(self, f):
+        return (len(self._book(f)["chunk_offsets"]) - 1) * 256
 
-def register(spark: SparkSession) -> None:
-    from sparkvane.session import ship
+    def read(self, f, lo, hi):
+        b = self._book(f)
+        cuts = b["chunk_offsets"].astype(int)
+        rows = [(r // 256, r % 256, b["pivots"][r % 256, cuts[r // 256] : cuts[r // 256 + 1]].tolist()) for r in range(lo, hi)]
+        return [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.float32())), strict=True)]
 
-    ship(spark)
-    for s in SOURCES:
-        spark.dataSource.register(s)
+    def file(self, cols):
+        chunk, center = cols[0].to_numpy(), cols[1].to_numpy()
+        size = np.array([len(p) for p in cols[2].to_pylist()])
+        sizes = [int(size[chunk == c][0]) for c in range(int(chunk.max()) + 1)]
+        offs = np.concatenate([[0], np.cumsum(sizes)])
+        out = np.zeros((256, offs[-1]), np.float32)
+        for c, k, p in zip(chunk, center, cols[2].to_pylist(), strict=True):
+            out[k, offs[c] : offs[c + 1]] = p
+        return pq_pivots_bytes(out, np.zeros(offs[-1]), offs)
 
 
 # -- bytes of each format ----------------------------------------------------------

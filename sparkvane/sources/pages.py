@@ -12,8 +12,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
-from sparkvane.sources.binary import DEGREE, NO_NEIGHBOR, PAGE, padded
+from sparkvane.sources.binary import DEGREE, NO_NEIGHBOR, PAGE, DiskIndex, padded
+from sparkvane.sources.files import Format, lists
 
 VERSION = 1
 STORE_MAGIC, GRAPH_MAGIC = b"SPKVSTOR", b"SPKVGRPH"
@@ -120,3 +122,154 @@ def trace_batches(data: bytes) -> Iterator[list[int]]:
             raise ValueError("broken stop-prefix trace")
         yield np.frombuffer(data, "<u4", n, at + 8).tolist()
         at += 8 + 4 * n
+
+
+def _neighbors(slots: np.ndarray, degrees: np.ndarray | None = None, points: int | None = None) -> pa.ListArray:
+    """Neighbours of each row: slots in use, without the pad and ids of `points` or more."""
+    use = slots != NO_NEIGHBOR
+    if degrees is not None:
+        use &= np.arange(slots.shape[1])[None, :] < degrees[:, None]
+    if points is not None:
+        use &= slots < points
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(use.sum(axis=1))]), pa.int32()), pa.array(slots[use].astype(np.int64)))
+
+
+def _padded(col: pa.Array) -> np.ndarray:
+    return np.array([padded(r or []) for r in col.to_pylist()], "<u4").reshape(len(col), DEGREE)
+
+
+class VectorStore(Format):
+    """Page-packed vectors; option kind: f32 (default), u8 or i8 for writing."""
+
+    name, columns = "vector_store", "vec array<float>"
+
+    def _layout(self, f) -> StoreLayout:
+        f.seek(0)
+        return StoreLayout.parse(f.read(64), f.size())
+
+    def count(self, f):
+        return self._layout(f).count
+
+    def read(self, f, lo, hi):
+        lay = self._layout(f)
+        a, z = lo // lay.per_page, -(-hi // lay.per_page)
+        f.seek(lay.page * (1 + a))
+        raw = np.frombuffer(f.read(lay.page * (z - a)), np.uint8).reshape(z - a, lay.page)[:, : lay.per_page * lay.vector_bytes]
+        m = np.ascontiguousarray(raw).reshape(-1, lay.vector_bytes).view(KINDS[lay.kind])[lo - a * lay.per_page : hi - a * lay.per_page]
+        return [lists(m.astype(np.float32), pa.float32())]
+
+    def file(self, cols):
+        return store_bytes(self.matrix(cols[0], {"f32": "<f4", "u8": "u1", "i8": "i1"}[self.options.get("kind", "f32")]))
+
+
+class Topology(Format):
+    """Padded adjacency; option points: neighbour ids from there on are dropped in reading."""
+
+    name, columns = "topology", "neighbors array<long>"
+
+    def count(self, f):
+        f.seek(0)
+        data = f.read(PAGE)
+        if data[:8] != GRAPH_MAGIC:
+            raise ValueError("not a topology file")
+        version, degree, nodes = struct.unpack_from("<IIQ", data, 8)
+        if version != VERSION or degree != DEGREE or f.size() != PAGE + nodes * degree * 4:
+            raise ValueError("version, degree or size differs")
+        return nodes
+
+    def read(self, f, lo, hi):
+        f.seek(node_offset(lo))
+        m = np.frombuffer(f.read((hi - lo) * DEGREE * 4), "<u4").reshape(hi - lo, DEGREE)
+        return [_neighbors(m, points=int(self.options["points"]) if "points" in self.options else None)]
+
+    def file(self, cols):
+        return (GRAPH_MAGIC + struct.pack("<IIQ", VERSION, DEGREE, len(cols[0]))).ljust(PAGE, b"\0") + _padded(cols[0]).tobytes()
+
+
+class DiskGraph(Format):
+    """Disk graph index of float32 vectors: sectors of node records (vector, degree,
+    neighbours) after one header sector; options medoid (writing) and points (as in Topology)."""
+
+    name, columns = "disk_graph", "vec array<float>, neighbors array<long>"
+
+    def _index(self, f) -> DiskIndex:
+        f.seek(0)
+        return DiskIndex.parse(f.read(PAGE))
+
+    def count(self, f):
+        return self._index(f).points
+
+    def read(self, f, lo, hi):
+        d = self._index(f)
+        rec = np.empty((hi - lo, d.node_bytes), np.uint8)
+        first = d.node_offset(lo)
+        first -= first % d.sector
+        end = d.node_offset(hi - 1) + d.node_bytes
+        f.seek(first)
+        raw = f.read(end - first)
+        for i in range(lo, hi):
+            at = d.node_offset(i) - first
+            rec[i - lo] = np.frombuffer(raw, np.uint8, d.node_bytes, at)
+        vec = np.ascontiguousarray(rec[:, : d.dim * 4]).view("<f4")
+        deg = np.ascontiguousarray(rec[:, d.dim * 4 : d.dim * 4 + 4]).view("<u4").ravel()
+        slots = np.ascontiguousarray(rec[:, d.dim * 4 + 4 :]).view("<u4")
+        return [lists(vec, pa.float32()), _neighbors(slots, np.minimum(deg, DEGREE), int(self.options["points"]) if "points" in self.options else None)]
+
+    def file(self, cols):
+        m, slots = self.matrix(cols[0], "<f4"), _padded(cols[1])
+        deg = (slots != NO_NEIGHBOR).sum(axis=1).astype("<u4")[:, None]
+        rec = np.concatenate([m.view(np.uint8), deg.view(np.uint8), slots.view(np.uint8)], axis=1)
+        d = DiskIndex(len(m), m.shape[1], int(self.options.get("medoid", 0)), rec.shape[1], PAGE // rec.shape[1])
+        out = bytearray(d.node_offset(len(m) - 1) + d.node_bytes if len(m) else PAGE)
+        out[:80] = struct.pack("<II9Q", 9, 1, d.points, d.dim, d.medoid, d.node_bytes, d.per_sector, 0, 0, 0, 0)
+        for i, r in enumerate(rec):
+            at = d.node_offset(i)
+            out[at : at + d.node_bytes] = r.tobytes()
+        return bytes(out) + bytes(-len(out) % PAGE)
+
+
+class CombinedNodes(Format):
+    """Headerless records of a float32 vector, degree and 64 neighbours; option dim."""
+
+    name, columns = "combined_nodes", "vec array<float>, neighbors array<long>"
+
+    @property
+    def _bytes(self) -> int:
+        return int(self.options["dim"]) * 4 + 4 + DEGREE * 4
+
+    def count(self, f):
+        if f.size() % self._bytes:
+            raise ValueError("file size does not match dim")
+        return f.size() // self._bytes
+
+    def read(self, f, lo, hi):
+        dim = int(self.options["dim"])
+        f.seek(lo * self._bytes)
+        rec = np.frombuffer(f.read((hi - lo) * self._bytes), np.uint8).reshape(hi - lo, self._bytes)
+        part = lambda a, b, t: np.ascontiguousarray(rec[:, a:b]).view(t)
+        return [lists(part(0, dim * 4, "<f4"), pa.float32()), _neighbors(part(dim * 4 + 4, self._bytes, "<u4"), part(dim * 4, dim * 4 + 4, "<u4").ravel())]
+
+    def file(self, cols):
+        slots = _padded(cols[1])
+        deg = (slots != NO_NEIGHBOR).sum(axis=1).astype("<u4")[:, None]
+        return np.concatenate([self.matrix(cols[0], "<f4").view(np.uint8), deg.view(np.uint8), slots.view(np.uint8)], axis=1).tobytes()
+
+
+class StopTrace(Format):
+    """Stop prefixes, a magic and a length before each batch (one batch a file when
+    written); appending adds batches."""
+
+    name, columns, whole = "stop_trace", "stop_prefix long", True
+
+    def _all(self, f) -> list[int]:
+        f.seek(0)
+        return [x for b in trace_batches(f.read()) for x in b]
+
+    def count(self, f):
+        return len(self._all(f))
+
+    def read(self, f, lo, hi):
+        return [pa.array(self._all(f)[lo:hi], pa.int64())]
+
+    def file(self, cols):
+        return trace_bytes([cols[0].to_pylist()])

@@ -4,11 +4,11 @@ import numpy as np
 import pytest
 
 from sparkvane.functions.config import RuntimeConfig, cached_nodes, number_list, tile_policy
-from sparkvane.sources import binary
+from sparkvane.sources import binary, files
 
 
 def test_vector_files_round_trip(spark, tmp_path):
-    binary.register(spark)
+    files.register(spark)
     (tmp_path / "a.bvecs").write_bytes(binary.bvecs_bytes([(1, 2, 3), (4, 5, 6), (7, 8, 9)]))
     assert binary.bvecs_metadata(str(tmp_path / "a.bvecs")) == (3, 7, 3)
     d = spark.read.format("bvecs").option("path", str(tmp_path / "a.bvecs")).option("start", 1).option("count", 2).load()
@@ -27,6 +27,50 @@ def test_vector_files_round_trip(spark, tmp_path):
         binary.bvecs_metadata(str(tmp_path / "bad"))
 
 
+FORMATS = {"fbin": ("vec array<float>", {}), "rawfloat": ("vec array<float>", {"dim": 3}), "bvecs": ("vec array<float>", {}), "vector_store": ("vec array<float>", {}), "pq_codes": ("code array<int>", {}),
+           "topology": ("neighbors array<long>", {}), "selectors": ("use_outlier array<boolean>", {"chunks": 3}), "page_trace": ("page long", {}), "stop_trace": ("stop_prefix long", {}),
+           "ann_truth": ("vec array<int>, dists array<float>", {}), "disk_graph": ("vec array<float>, neighbors array<long>", {}), "combined_nodes": ("vec array<float>, neighbors array<long>", {"dim": 3})}
+
+
+@pytest.mark.parametrize("form", FORMATS)
+def test_file_sets_are_written_and_read_in_tasks(spark, tmp_path, form):
+    files.register(spark)
+    columns, options = FORMATS[form]
+    value = {"vec array<float>": lambda i: [float(i % 200), 1.0, 2.0], "code array<int>": lambda i: [i % 256, 0, 255], "neighbors array<long>": lambda i: list(range(i % 5)), "use_outlier array<boolean>": lambda i: [i % 2 == 0, False, True],
+             "page long": lambda i: 2**40 + i, "stop_prefix long": lambda i: i, "vec array<int>": lambda i: [i, i + 1], "dists array<float>": lambda i: [0.5, i / 2]}
+    rows = [(3 * i, *[value[c](i) for c in columns.split(", ")]) for i in range(50)]
+    d = spark.createDataFrame(rows, f"vec_id long, {columns}").repartition(4)
+    path = str(tmp_path / "set")
+    files.write(d, form, path, partitions=3, file_rows=7, **options)
+    r = spark.read.format(form).option("path", path)
+    for k, v in options.items():
+        r = r.option(k, v)
+    got = sorted(tuple(x) for x in r.load().collect())
+    assert got == [(i, *x[1:]) for i, x in enumerate(rows)]
+    assert sorted(x[0] for x in r.option("start", 13).option("count", 20).load().collect()) == list(range(13, 33))
+    with pytest.raises(Exception, match="rows 40"):
+        r.option("start", 40).option("count", 20).load().collect()
+    files.write(d.where("vec_id < 6"), form, path, mode="append", partitions=1, **options)
+    again = spark.read.format(form).option("path", path)
+    for k, v in options.items():
+        again = again.option(k, v)
+    assert again.load().count() == 52
+
+
+def test_codebook_file_set(spark, tmp_path):
+    files.register(spark)
+    rows = [(c * 256 + k, c, k, [float(c), k / 2]) for c in range(3) for k in range(256)]
+    files.write(spark.createDataFrame(rows, "vec_id long, chunk long, center long, pivot array<float>"), "pq_pivots", str(tmp_path / "b"), partitions=1)
+    assert sorted(tuple(x) for x in spark.read.format("pq_pivots").option("path", str(tmp_path / "b")).load().collect()) == rows
+
+
+def test_page_ids_are_whole_numbers_of_64_bits(spark, tmp_path):
+    files.register(spark)
+    ids = [2147483653, 2**40 + 7, 5]
+    (tmp_path / "t").write_bytes(struct.pack("<3Q", *ids))
+    assert [r["page"] for r in spark.read.format("page_trace").option("path", str(tmp_path / "t")).load().orderBy("row").collect()] == ids
+
+
 def test_codebook_and_selectors():
     p = np.random.default_rng(0).normal(size=(256, 4)).astype(np.float32)
     got = binary.pq_pivots(binary.pq_pivots_bytes(p, np.zeros(4), np.array([0, 2, 4])))
