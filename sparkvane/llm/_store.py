@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
 #: Bytes of an Arrow batch that goes to a Python worker. A task may hold four such
 #: batches outside the heap (two workers in a chain, each with input and output).
 ARROW_BYTES = "8m"
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
 
 
 def ship(spark: SparkSession) -> None:
@@ -25,6 +29,26 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: a worker that is reused would keep the
+    largest size it ever had, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def tidy(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function of a mapInArrow that gives memory back when its task ends."""
+
+    def run_and_give_back(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return run_and_give_back
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or in a
     local session without that setting (tests) a temporary folder."""

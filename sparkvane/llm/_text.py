@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that one vectorised step takes: its arrays are some 100 times as large in bytes at most.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 #: Letters, digits, apostrophes and all bytes of longer characters.

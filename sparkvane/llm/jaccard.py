@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkvane.llm._store import cut, free, ship
+from sparkvane.llm._store import cut, free, ship, tidy
 from sparkvane.llm._text import U64, Words, list_array, mix, pieces, signed, unique_by_row, utf8
 from sparkvane.llm.components import components
 
@@ -152,7 +152,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                 h, at = unique_by_row(*Words(buf, offs[i : j + 1], lower=True).grams(k))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(np.diff(at), pa.int64()), pa.array(signed(set_hashes(h, at)), pa.int64())], names=["doc_id", "h", "n", "cls"])
 
-    return docs.mapInArrow(run, "doc_id long, h long, n long, cls long")
+    return docs.mapInArrow(tidy(run), "doc_id long, h long, n long, cls long")
 
 
 def gather(sig: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +194,7 @@ def _signature_rows(docs: DataFrame, k: int, percent: int, largest: int) -> Data
             sig, cls = gather(np.concatenate(sigs), np.concatenate(owners)) if sigs else (np.zeros(0, U64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(signed(sig), pa.int64()), pa.array(cls, pa.int64())], names=["sig", "cls"])
 
-    return docs.mapInArrow(run, "sig long, cls long")
+    return docs.mapInArrow(tidy(run), "sig long, cls long")
 
 
 def link_blocks(x: list[np.ndarray], y: list[np.ndarray] | None, percent: int) -> np.ndarray:
@@ -290,7 +290,7 @@ def _verify(units: DataFrame, percent: int) -> DataFrame:
             out += work(rows)
         yield _rows(out, schema)
 
-    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "cls long, root long, links long")
+    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(tidy(run), "cls long, root long, links long")
 
 
 def _rows(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -355,7 +355,7 @@ def _hashes(found: DataFrame, k: int) -> DataFrame:
                 h, at = unique_by_row(*Words(buf, offs[i : j + 1], lower=True).grams(k))
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(3)), list_array(signed(h), at, pa.int64())], names=["cls", "comp", "weight", "hashes"])
 
-    return found.mapInArrow(run, T.StructType().add("cls", T.LongType()).add("comp", T.LongType()).add("weight", T.LongType()).add("hashes", T.ArrayType(T.LongType())))
+    return found.mapInArrow(tidy(run), T.StructType().add("cls", T.LongType()).add("comp", T.LongType()).add("weight", T.LongType()).add("hashes", T.ArrayType(T.LongType())))
 
 
 def representatives(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkvane.llm._store import cut, ship
+from sparkvane.llm._store import cut, ship, tidy
 
 SHARD_ROWS = 8192
 LEAF_ROWS = 512
@@ -146,7 +146,7 @@ def _pack(rows: DataFrame, size: int, tree: bool) -> DataFrame:
             if len(i):
                 yield build(i, x)
 
-    return rows.mapInArrow(run, "n long, dim long, ids binary, vecs binary, nodes binary, centres binary, radii binary")
+    return rows.mapInArrow(tidy(run), "n long, dim long, ids binary, vecs binary, nodes binary, centres binary, radii binary")
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, lanes: int = LANES) -> DataFrame:
@@ -192,6 +192,6 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, shard_rows: int = SHAR
             yield done()
 
     # Shard blobs are large: few rows in a batch.
-    found = both.mapInArrow(run, "query_row long, query_id long, vec_id long, score long")
+    found = both.mapInArrow(tidy(run), "query_row long, query_id long, vec_id long, score long")
     w = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

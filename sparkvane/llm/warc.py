@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkvane.llm._store import cut, new_path, ship
+from sparkvane.llm._store import cut, new_path, ship, tidy
 
 ARCHIVE_BYTES = 64 << 20
 LEVEL = 3
@@ -172,7 +172,7 @@ def write_archives(pages: DataFrame, folder: str, level: int = LEVEL, archive_by
             done.append((path, n))
         yield pa.RecordBatch.from_pydict({"path": [x[0] for x in done], "records": [x[1] for x in done]}, schema=pa.schema([("path", pa.string()), ("records", pa.int64())]))
 
-    return cut(d.mapInArrow(write, "path string, records long"), "warc-manifest")
+    return cut(d.mapInArrow(tidy(write), "path string, records long"), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
@@ -197,7 +197,7 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     ddl = ", ".join(f"{c} {'long' if kinds.get(c) == pa.int64() else 'binary' if c == 'payload' else 'string'}" for c in cols)
-    return manifest.select("path").repartition(64, "path").mapInArrow(read, ddl)
+    return manifest.select("path").repartition(64, "path").mapInArrow(tidy(read), ddl)
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
