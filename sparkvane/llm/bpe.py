@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,9 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkvane.llm._store import ship
+from sparkvane.llm._store import ship, tidy
 
-LEAF_BYTES = 32
+LEAF_BYTES = 4
+#: Windows up to so many bytes are merged by scanning, longer ones by a heap.
+SCAN_BYTES = 64
 CACHE = 60_000
 DECODE_LEAF = 4096
 #: Texts of these characters only (no exotic space, numeral or mark) split alike
@@ -65,10 +68,7 @@ class _Memo(dict):
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
-        out = self.old.get(key)
-        if out is None:
-            out = self.make(key)
-        self[key] = out
+        out = self[key] = self.old[key] if key in self.old else self.make(key)
         return out
 
     def empty(self) -> None:
@@ -85,8 +85,9 @@ class Bpe:
         self.full = regex.compile(pattern)
         quick = pattern.replace(r"\p{L}+", r"[^\W\d_]+").replace(r"\p{N}+", r"\d+").replace(r"[^\s\p{L}\p{N}]+", r"(?:[^\s\w]|_)+")
         self.quick = None if r"\p" in quick else re.compile(quick)
-        self.pairs = _Memo(self._stable)
-        self.words = _Memo(lambda w: np.array(self.encode_piece(w.encode("utf-8", "surrogatepass")), np.int32).tobytes())
+        self.leaves = _Memo(self._short)
+        self.pairs = _Memo(self._pair)
+        self.words = _Memo(self._piece)
 
     # -- leaves -----------------------------------------------------------
     def _short(self, data: bytes) -> list[int]:
@@ -110,7 +111,7 @@ class Bpe:
 
     def _window(self, data: bytes) -> list[int]:
         """The same result by a heap, for windows that had to grow."""
-        if len(data) <= 2 * LEAF_BYTES:
+        if len(data) <= SCAN_BYTES:
             return self._short(data)
         n = len(data)
         end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), [*range(1, n), -1]
@@ -136,28 +137,30 @@ class Bpe:
         return out
 
     # -- the monoid -------------------------------------------------------
-    def _stable(self, pair: tuple[int, int]) -> bool:
-        a, b = pair
-        return self._short(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+    def _pair(self, pair: tuple[int, int]) -> list[int] | None:
+        """What the bytes of two tokens encode to; None where that is the pair itself."""
+        out = self._short(self.bytes_of[pair[0]] + self.bytes_of[pair[1]])
+        return None if len(out) == 2 and out[0] == pair[0] and out[1] == pair[1] else out
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         if not left or not right:
             return left or right
-        if self.pairs[left[-1], right[0]]:
+        pairs, n, m = self.pairs, len(left), len(right)
+        mid = pairs[left[-1], right[0]]
+        if mid is None:
             return left + right
-        x = y = 2
+        x = y = 1  # tokens of each side in the window, whose encoding is mid
         while True:
-            x, y = min(x, len(left)), min(y, len(right))
-            mid = self._window(b"".join(map(self.bytes_of.__getitem__, left[len(left) - x :] + right[:y])))
-            ok_l = x == len(left) or self.pairs[left[-x - 1], mid[0]]
-            ok_r = y == len(right) or self.pairs[mid[-1], right[y]]
+            ok_l = x == n or pairs[left[-x - 1], mid[0]] is None
+            ok_r = y == m or pairs[mid[-1], right[y]] is None
             if ok_l and ok_r:
-                return left[: len(left) - x] + mid + right[y:]
-            x, y = (x if ok_l else 2 * x), (y if ok_r else 2 * y)
+                return left[: n - x] + mid + right[y:]
+            x, y = min(n, x if ok_l else 2 * x), min(m, y if ok_r else 2 * y)
+            mid = self._window(b"".join(map(self.bytes_of.__getitem__, left[n - x :] + right[:y])))
 
     def tree(self, data: bytes) -> list[int]:
         if len(data) <= LEAF_BYTES:
-            return self._short(data)
+            return self.leaves[data]
         half = len(data) // 2
         return self.join(self.tree(data[:half]), self.tree(data[half:]))
 
@@ -169,9 +172,12 @@ class Bpe:
     def split(self, text: str) -> list[str]:
         return (self.quick if self.quick is not None and _PLAIN.match(text) else self.full).findall(text)
 
+    def _piece(self, w: str) -> bytes:
+        return array("i", self.encode_piece(w.encode("utf-8", "surrogatepass"))).tobytes()
+
     def encode(self, text: str) -> np.ndarray:
-        get = self.words.__getitem__
-        return np.frombuffer(b"".join([get(w) if len(w) < 64 else np.array(self.encode_piece(w.encode("utf-8", "surrogatepass")), np.int32).tobytes() for w in self.split(text)]), np.int32)
+        get, own = self.words.__getitem__, self._piece
+        return np.frombuffer(b"".join([get(w) if len(w) < 64 else own(w) for w in self.split(text)]), np.int32)
 
     def decode(self, ids) -> bytes:
         if len(ids) <= DECODE_LEAF:
@@ -179,6 +185,10 @@ class Bpe:
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
+    def empty(self) -> None:
+        for memo in (self.leaves, self.pairs, self.words):
+            memo.empty()
+
 
 _loaded: dict[tuple[str, str], Bpe] = {}
 
@@ -190,18 +200,16 @@ def load(path: str, pattern: str) -> Bpe:
     return _loaded[path, pattern]
 
 
-def _rest(b: pa.RecordBatch, keep: int) -> list[pa.Array]:
-    return [b.column(i) for i in range(keep)]
-
-
 def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, pattern: str | None = None) -> DataFrame:
     """`keep` columns and ids array<int> of every whole text; null text: empty
-    array. Rows map one to one; other columns are left out. `path` must name the
-    rank file on every worker."""
+    array. Rows map one to one; other columns are left out, and a kept column
+    named `ids` gives way to the operator's own. `path` must name the rank file
+    on every worker."""
     ship(docs.sparkSession)
     path, pattern = path or default_vocabulary(), pattern or default_pattern()
-    src = docs.select(*keep, text)
-    schema = src.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType()))
+    keep = tuple(c for c in keep if c.lower() != "ids")
+    src = docs.select(*keep, F.col(text).alias("__text"))
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     n = len(keep)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,20 +225,22 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
                 at = np.zeros(len(out) + 1, np.int32)
                 np.cumsum([len(x) for x in out], out=at[1:])
                 ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(out), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(x.slice(i, j - i) for x in _rest(b, n)), ids], names=[*b.schema.names[:n], "ids"])
+                yield pa.RecordBatch.from_arrays([*(x.slice(i, j - i) for x in b.columns[:n]), ids], names=schema.names)
                 i = j
-        bpe.words.empty()  # the worker may go on with other operators
-        bpe.pairs.empty()
+        bpe.empty()  # the worker may go on with other operators
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """`keep` columns and the decoded bytes (binary); null ids: empty."""
+    """`keep` columns and the decoded bytes (binary); null ids: empty. Rows map one
+    to one; other columns are left out, and a kept column named `decoded` gives
+    way to the operator's own."""
     ship(encoded.sparkSession)
     path, pattern = path or default_vocabulary(), pattern or default_pattern()
-    src = encoded.select(*keep, ids)
-    schema = src.select(*keep).schema.add("decoded", T.BinaryType())
+    keep = tuple(c for c in keep if c.lower() != "decoded")
+    src = encoded.select(*keep, F.col(ids).alias("__ids"))
+    schema = T.StructType([*encoded.select(*keep).schema.fields, T.StructField("decoded", T.BinaryType())])
     n = len(keep)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,9 +251,9 @@ def decode(encoded: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_i
             flat = col.values.to_numpy(zero_copy_only=False)
             none = col.is_null().to_numpy(zero_copy_only=False)
             out = [b"" if z else bpe.decode(flat[x:y].tolist()) for x, y, z in zip(at[:-1], at[1:], none, strict=True)]
-            yield pa.RecordBatch.from_arrays([*_rest(b, n), pa.array(out, pa.binary())], names=[*b.schema.names[:n], "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(out, pa.binary())], names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)
 
 
 def ids_text(ids: str = "ids"):
