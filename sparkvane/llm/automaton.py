@@ -1,12 +1,15 @@
 """Substring dedup by suffix automata of reference shards.
 
-The corpus is its own reference. A shard is the set of passages that share an
-anchor (see passages.py), in order of their owners' doc_id; its automaton goes
-only to the task that holds the passages which can match it, since sending all
-shards of a growing reference to every task would cost the square of the corpus.
-The task streams each passage through the automaton of all earlier owners,
-keeping the matching statistics (longest match that ends at each word), marks
-the windows where it reaches the length threshold, and then adds the passage.
+The corpus is its own reference. A shard is a bounded number of passages, all that
+share the shard's anchors (see passages.py). Its suffix automaton carries in each
+state the smallest doc_id whose passage holds the state's strings. The passages of
+the documents are streamed through it for their matching statistics; wherever the
+match reaches the length threshold, the state of exactly that length tells who
+holds the window first. Spans of a smaller owner's windows are removed.
+
+Shards are not sent to all tasks: the reference grows with the corpus, so that
+would cost its square, and no size bound could be proven. A shard goes to the one
+task whose passages can match it.
 """
 
 from __future__ import annotations
@@ -17,6 +20,11 @@ from pyspark.sql import DataFrame
 from sparkvane.llm import passages
 
 
+#: Words of a reference shard; a group of more words is a shard of its own.
+SHARD = 50_000
+NOBODY = 2**63 - 1
+
+
 class SuffixAutomaton:
     """Generalised suffix automaton over any hashable symbols."""
 
@@ -24,6 +32,7 @@ class SuffixAutomaton:
         self.next: list[dict] = [{}]
         self.link = [-1]
         self.size = [0]
+        self.first = [NOBODY]
 
     def add(self, symbols) -> None:
         nxt, link, size = self.next, self.link, self.size
@@ -58,9 +67,28 @@ class SuffixAutomaton:
             p = link[p]
         return new
 
-    def matching(self, symbols) -> list[int]:
-        """Length of the longest match that ends at each symbol."""
-        nxt, link, size = self.next, self.link, self.size
+    def own(self, symbols, owner: int) -> None:
+        """Add a string whose prefixes, and so all its substrings, `owner` holds."""
+        self.add(symbols)
+        first, nxt, s = self.first, self.next, 0
+        first.extend([NOBODY] * (len(self.size) - len(first)))
+        for c in symbols:
+            s = nxt[s][c]
+            if owner < first[s]:
+                first[s] = owner
+
+    def settle(self) -> None:
+        """Carry owners up the suffix links: a state's strings occur wherever those of the states below do."""
+        first, link = self.first, self.link
+        first.extend([NOBODY] * (len(self.size) - len(first)))
+        for s in sorted(range(1, len(self.size)), key=self.size.__getitem__, reverse=True):
+            p = link[s]
+            if first[s] < first[p]:
+                first[p] = first[s]
+
+    def owners(self, symbols, length: int) -> list[int]:
+        """For every window of `length` symbols, the smallest owner of it (NOBODY if the reference has none)."""
+        nxt, link, size, first = self.next, self.link, self.size, self.first
         s = n = 0
         out = []
         for c in symbols:
@@ -73,26 +101,39 @@ class SuffixAutomaton:
                 n = 0
             else:
                 s, n = t, n + 1
-            out.append(n)
-        return out
+            if n >= length:
+                n = length
+                while size[link[s]] >= length:
+                    s = link[s]
+                out.append(first[s])
+            else:
+                out.append(NOBODY)
+        return out[length - 1 :]
+
+
+def kernel(groups: list[list[tuple]], length: int) -> list[np.ndarray]:
+    """The smallest owner of each window of each class (sh, owner, n, off, words)
+    among the classes of its group; groups make up shards of some SHARD words."""
+    out: list[np.ndarray] = []
+    shard: list[tuple[int, int, list[str]]] = []
+    size = 0
 
+    def stream() -> None:
+        sam = SuffixAutomaton()
+        for owner, _, words in shard:
+            sam.own(words, owner)
+        sam.settle()
+        out.extend(np.array(sam.owners(words, length)[:n], np.int64) for _, n, words in shard)
+        shard.clear()
 
-def kernel(groups: list[list[tuple]], length: int) -> list[list[np.ndarray]]:
-    """Windows of each class (sh, owner, n, off, words), owners ascending, that
-    a class of an earlier owner holds."""
-    out = []
     for group in groups:
-        sam, marks, wait, now = SuffixAutomaton(), [], [], None
-        for _, owner, n, _, words in group:
-            if owner != now:
-                for w in wait:
-                    sam.add(w)
-                wait, now = [], owner
-            w = words.split(" ")
-            m = np.array(sam.matching(w)[length - 1 :]) >= length
-            marks.append(m[:n])
-            wait.append(w)
-        out.append(marks)
+        for c in group:
+            shard.append((c[1], c[2], c[4].split(" ")))
+            size += len(shard[-1][2])
+        if size >= SHARD:
+            stream()
+            size = 0
+    stream()
     return out
 
 

@@ -10,11 +10,16 @@ it. Work is dealt by anchor; a task compares runs of few anchors, each bounded:
 2. runs whose anchor one document alone holds are done: nothing repeats there
 3. equal runs are one class, owned by the smallest doc_id (pre-aggregated, so
    thousands of copies shrink to one row per task)
-4. classes that share an anchor differ somewhere: a kernel (suffix automaton or
-   sparse suffix array) compares their words and marks the windows that an
-   earlier owner holds; anchors with more than HEAVY classes are dealt anew by
-   whole-window hash instead, so no anchor gathers in one task
-5. marks become word spans, spans are cut from the documents
+4. a kernel (suffix automaton or sparse suffix array) takes all classes of an
+   anchor and finds, for every window, the smallest doc_id that owns it
+5. a document loses the windows of its runs whose first owner is smaller; marks
+   become word spans, spans are cut from the documents
+
+Anchors with more than HEAVY classes are dealt by longer context before step 4, so
+no anchor gathers in one task: the windows of an anchor are parted by the number
+of words before it, and all windows of a part share the words around the anchor
+that lie in each of them. Halving the parts lengthens that context until it is the
+whole window, of which one class is left.
 
 A word goes if a window over it also starts in a document of smaller doc_id.
 Null texts are empty. Rows of null doc_id stay as they are and are no reference.
@@ -28,11 +33,12 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkvane.llm._store import cut, free, ship
+from sparkvane.llm._store import cut, free, ship, tidy
 from sparkvane.llm._text import U64, Words, mix, pieces, signed, utf8
 
 LENGTH, GRAM = 50, 8
@@ -77,7 +83,7 @@ def find_runs(w: Words, length: int, gram: int) -> dict[str, np.ndarray]:
 
 
 def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    schema = pa.schema([("anchor", pa.int64()), ("sh", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("off", pa.int32())])
+    schema = pa.schema([("key", pa.int64()), ("sh", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("off", pa.int32())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -87,40 +93,34 @@ def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 r = find_runs(Words(buf, offs[i : j + 1]), length, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip((signed(r["anchor"]), signed(r["sh"]), ids[i:j][r["row"]], hs[i:j][r["row"]], r["start"], r["n"], r["off"]), schema, strict=True)], schema=schema)
 
-    return docs.mapInArrow(run, "anchor long, sh long, doc_id long, h long, start int, n int, off int")
+    return docs.mapInArrow(tidy(run), "key long, sh long, doc_id long, h long, start int, n int, off int")
+
+
+CLASS = "key long, sh long, owner long, n int, off int, words string"
+_CLASS = pa.schema([("key", pa.int64()), ("sh", pa.int64()), ("owner", pa.int64()), ("n", pa.int32()), ("off", pa.int32()), ("words", pa.string())])
 
 
-def _extract(need: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """Words of the wanted runs, read from their owners' texts: words joined by
-    one space, or for heavy anchors the hash of each window."""
-    lists = need.groupBy("doc_id", "h").agg(F.collect_list(F.struct("anchor", "sh", "start", "n", "off", "heavy")).alias("runs"))
+def _extract(classes: DataFrame, docs: DataFrame, length: int) -> DataFrame:
+    """The classes with their words, joined by one space, from their owners' texts."""
+    lists = classes.groupBy("doc_id", "h").agg(F.collect_list(F.struct("key", "sh", "start", "n", "off")).alias("runs"))
     src = docs.dropDuplicates(["doc_id", "h"]).join(lists, ["doc_id", "h"]).select("doc_id", "text", "runs")
-    schema = pa.schema([("anchor", pa.int64()), ("sh", pa.int64()), ("owner", pa.int64()), ("n", pa.int32()), ("off", pa.int32()), ("words", pa.string()), ("windows", pa.list_(pa.int64()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, size = [], 0
             for i in range(len(b)):
                 doc, text, runs = b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(2)[i].as_py()
-                raw = text.encode("utf-8", "surrogatepass")
-                words, roll = raw.split(), None
+                words = text.encode("utf-8", "surrogatepass").split()
                 for r in runs:
-                    s, n = r["start"], r["n"]
-                    if r["heavy"]:
-                        if roll is None:
-                            roll = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).rolling()
-                        a = np.arange(s, s + n)
-                        out.append((r["anchor"], r["sh"], doc, n, r["off"], None, signed(roll(a, a + length)).tolist()))
-                    else:
-                        t = b" ".join(words[s : s + n + length - 1]).decode("utf-8", "surrogatepass")
-                        size += len(t)
-                        out.append((r["anchor"], r["sh"], doc, n, r["off"], t, None))
-                if size > 4 << 20 or len(out) > 20000:
-                    yield _batch(out, schema)
-                    out, size = [], 0
-            yield _batch(out, schema)
+                    t = b" ".join(words[r["start"] : r["start"] + r["n"] + length - 1]).decode("utf-8", "surrogatepass")
+                    out.append((r["key"], r["sh"], doc, r["n"], r["off"], t))
+                    size += len(t)
+                    if size > 4 << 20:
+                        yield _batch(out, _CLASS)
+                        out, size = [], 0
+            yield _batch(out, _CLASS)
 
-    return src.mapInArrow(run, "anchor long, sh long, owner long, n int, off int, words string, windows array<long>")
+    return src.mapInArrow(tidy(run), CLASS)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -128,67 +128,118 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema, strict=True)], schema=schema)
 
 
-#: (groups: list of (sh, owner, n, off, words) per anchor, length) -> marked windows per group and class
-Kernel = Callable[[list[list[tuple]], int], list[list[np.ndarray]]]
+#: (groups: list of (sh, owner, n, off, words) per key, length) -> smallest owner of each window, class by class
+Kernel = Callable[[list[list[tuple]], int], list[np.ndarray]]
 
 
-def _compare(light: DataFrame, kernel: Kernel, length: int) -> DataFrame:
-    """Marked window ranges [from, to) of each class, from the words of the classes of one anchor."""
-    schema = pa.schema([("anchor", pa.int64()), ("sh", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
+def _compare(classes: DataFrame, kernel: Kernel, length: int) -> DataFrame:
+    """key, sh, a, b, first: stretches of windows [a, b) of each class and the
+    smallest doc_id that holds them, all classes of a key compared by the kernel."""
+    schema = pa.schema([("key", pa.int64()), ("sh", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("first", pa.int64())])
+
+    def judged(keys: list[int], groups: list[list[tuple]]) -> pa.RecordBatch:
+        flat = [(k, c[0], c[2]) for k, g in zip(keys, groups, strict=True) for c in g]
+        first = kernel(groups, length) if flat else []
+        n = np.array([c[2] for c in flat], np.int64)
+        values = np.concatenate(first) if flat else np.zeros(0, np.int64)
+        begin = np.cumsum(n) - n
+        new = np.ones(len(values), bool)
+        new[1:] = values[1:] != values[:-1]
+        new[begin] = True
+        at = np.flatnonzero(new)
+        who = np.repeat(np.arange(len(flat)), n)[at]
+        a = at - begin[who]
+        b = np.append(at[1:], len(values)) - begin[who]
+        keys_of, sh_of = (np.array([c[i] for c in flat], np.int64) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip((keys_of[who], sh_of[who], a, b, values[at]), schema, strict=True)], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors: list[int] = []
+        keys: list[int] = []
         groups: list[list[tuple]] = []
         held = 0
-
-        def flush(last: bool):
-            nonlocal anchors, groups, held
-            stop = len(groups) if last else len(groups) - 1
-            out = []
-            for anchor, group, marks in zip(anchors[:stop], groups[:stop], kernel(groups[:stop], length), strict=True):
-                for c, m in zip(group, marks, strict=True):
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], m.astype(np.int8), [0]])))
-                    out += [(anchor, c[0], int(a), int(b)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
-            anchors, groups = anchors[stop:], groups[stop:]
-            held = sum(map(len, groups))
-            return _batch(out, schema)
-
         for b in batches:
-            for anchor, sh, owner, n, off, words in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                if not anchors or anchors[-1] != anchor:
+            for key, *c in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                if not keys or keys[-1] != key:
                     if held >= 4000:
-                        yield flush(True)
-                    anchors.append(anchor)
+                        yield judged(keys, groups)
+                        keys, groups, held = [], [], 0
+                    keys.append(key)
                     groups.append([])
-                groups[-1].append((sh, owner, n, off, words))
+                groups[-1].append(tuple(c))
                 held += 1
-        yield flush(True)
+        yield judged(keys, groups)
+
+    d = classes.select("key", "sh", "owner", "n", "off", "words").repartition("key").sortWithinPartitions("key", "owner", "sh")
+    return d.mapInArrow(tidy(run), "key long, sh long, a int, b int, first long")
+
+
+def split_class(key: int, n: int, off: int, words: list[bytes], length: int, width: int) -> Iterator[tuple[int, int, int, int, int, bytes]]:
+    """The parts of a class whose windows have j // width words before the anchor
+    alike: (first window, key of anchor and shared context, run hash, n, off, words)."""
+    for part in range((off - n + 1) // width, off // width + 1):
+        lo, hi = part * width, part * width + width - 1  # words before the anchor
+        a, z = off - min(off, hi), off - max(off - n + 1, lo)  # first and last window
+        own = b" ".join(words[a : z + length])
+        shared = b" ".join(words[off - lo : off - hi + length])
+        yield a, _name(b"%d %d %d " % (key, width, part) + shared), _name(b"%d " % (off - a) + own), z - a + 1, off - a, own
+
+
+def _name(data: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
+
+
+def _split(classes: DataFrame, length: int, width: int) -> DataFrame:
+    """up_key, up_sh, a and the class of every part of the classes."""
+    schema = pa.schema([("up_key", pa.int64()), ("up_sh", pa.int64()), ("a", pa.int32()), *_CLASS])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out, size = [], 0
+            for key, sh, owner, n, off, words in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                for a, own_key, own_sh, m, o, t in split_class(key, n, off, words.encode("utf-8", "surrogatepass").split(b" "), length, width):
+                    out.append((key, sh, a, own_key, own_sh, owner, m, o, t.decode("utf-8", "surrogatepass")))
+                    size += len(t)
+                if size > 4 << 20:
+                    yield _batch(out, schema)
+                    out, size = [], 0
+            yield _batch(out, schema)
 
-    d = light.select("anchor", "sh", "owner", "n", "off", "words").repartition("anchor").sortWithinPartitions("anchor", "owner", "sh")
-    return d.mapInArrow(run, "anchor long, sh long, a int, b int")
+    return classes.select("key", "sh", "owner", "n", "off", "words").mapInArrow(tidy(run), f"up_key long, up_sh long, a int, {CLASS}")
+
+
+def first_owners(classes: DataFrame, kernel: Kernel, length: int, gram: int, heavy: int) -> DataFrame:
+    """key, sh, a, b, first of all classes. Keys with more than `heavy` classes go
+    through the kernel too, dealt by the longer context of their parts."""
+    width, levels = length - gram + 1, []
+    while True:
+        many = cut(classes.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > heavy).select("key"), "heavy")
+        if width == 1 or many.isEmpty():
+            break
+        width = -(-width // 2)
+        parts = cut(_split(classes.join(many, "key"), length, width), "parts")
+        levels.append((classes.join(many, "key", "left_anti"), parts.select("up_key", "up_sh", F.col("a").alias("shift"), "key", "sh")))
+        least = parts.groupBy("key", "sh").agg(F.min("owner").alias("owner"), F.first("n").alias("n"), F.first("off").alias("off"), F.first("words").alias("words"))
+        classes = cut(least, "classes")
+    out = _compare(classes, kernel, length)
+    for light, parts in reversed(levels):
+        up = parts.join(cut(out, "owners"), ["key", "sh"])
+        up = up.select(F.col("up_key").alias("key"), F.col("up_sh").alias("sh"), (F.col("a") + F.col("shift")).alias("a"), (F.col("b") + F.col("shift")).alias("b"), "first")
+        out = up.unionByName(_compare(light, kernel, length))
+    return out
 
 
 def repeated_spans(docs: DataFrame, kernel: Kernel, length: int = LENGTH, gram: int = GRAM, heavy: int = HEAVY) -> DataFrame:
     """doc_id, h, spans: word spans [s, e) to remove, of documents (doc_id, h, text)."""
     runs = cut(_runs(docs.select("doc_id", "h", "text"), length, gram), "runs")
     # Joined tables are written first: a join of plain tables lets Spark split the rows of a very common anchor.
-    both = cut(runs.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"), "anchors")
-    live = cut(runs.join(both, "anchor"), "live")
-    cls = live.groupBy("anchor", "sh").agg(F.min(F.struct("doc_id", "h", "start", "n", "off")).alias("o"))
-    cls = cut(cls.select("anchor", "sh", "o.*").withColumnRenamed("doc_id", "owner"), "classes")
-    split = cut(cls.groupBy("anchor").agg(F.count("*").alias("k"), F.min("owner").alias("lo"), F.max("owner").alias("hi")).where("k > 1 and lo < hi").select("anchor", (F.col("k") > heavy).alias("heavy")), "split")
-    need = cls.join(split, "anchor").withColumnRenamed("owner", "doc_id")
-    words = cut(_extract(need, docs, length), "words")
-    marks = _compare(words.where("words is not null"), kernel, length)
-    w = words.where("windows is not null").select("anchor", "sh", "owner", "off", F.posexplode("windows").alias("a", "w"))
-    w = w.withColumn("j", F.col("off") - F.col("a"))
-    first = w.groupBy("anchor", "j", "w").agg(F.min("owner").alias("first"))
-    again = w.join(first, ["anchor", "j", "w"]).where("owner > first").select("anchor", "sh", "a", (F.col("a") + 1).alias("b"))
-    marks = marks.unionByName(again).groupBy("anchor", "sh").agg(F.collect_list(F.struct("a", "b")).alias("marks"))
-    all_of = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
-    judged = cut(cls.select("anchor", "sh", "owner").join(marks, ["anchor", "sh"], "left"), "judged")
-    hits = live.join(judged, ["anchor", "sh"])
-    hits = hits.select("doc_id", "h", "start", F.when(F.col("doc_id") > F.col("owner"), all_of).otherwise(F.col("marks")).alias("m")).where("m is not null")
+    both = cut(runs.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key"), "anchors")
+    live = cut(runs.join(both, "key"), "live")
+    cls = live.groupBy("key", "sh").agg(F.min(F.struct("doc_id", "h", "start", "n", "off")).alias("o")).select("key", "sh", "o.*")
+    words = cut(_extract(cls, docs, length), "words")
+    owners = first_owners(words, kernel, length, gram, heavy)
+    owners = cut(owners.groupBy("key", "sh").agg(F.collect_list(F.struct("a", "b", "first")).alias("m")), "owners")
+    mine = F.filter("m", lambda x: x["first"] < F.col("doc_id"))
+    hits = live.join(owners, ["key", "sh"]).select("doc_id", "h", "start", mine.alias("m")).where(F.size("m") > 0)
     hits = hits.select("doc_id", "h", F.transform("m", lambda x: F.struct((F.col("start") + x["a"]).alias("s"), (F.col("start") + x["b"] + F.lit(length - 1)).alias("e"))).alias("m"))
     return hits.groupBy("doc_id", "h").agg(F.flatten(F.collect_list("m")).alias("spans"))
 
@@ -253,4 +304,4 @@ def remove(docs: DataFrame, kernel: Kernel, length: int = LENGTH, gram: int = GR
             cols[at] = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "__n_words", "__n_removed", "__spans"])
 
-    return d.mapInArrow(run, out_t)
+    return d.mapInArrow(tidy(run), out_t)

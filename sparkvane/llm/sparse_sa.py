@@ -31,13 +31,12 @@ def stretches(m: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return order, lcp
 
 
-def kernel(groups: list[list[tuple]], length: int) -> list[list[np.ndarray]]:
+def kernel(groups: list[list[tuple]], length: int) -> list[np.ndarray]:
+    """The smallest owner of each window of each class (sh, owner, n, off, words)
+    among the classes of its group."""
     flat = [c for g in groups for c in g]
-    if not flat:
-        return [[] for _ in groups]
     group = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
-    owner = np.array([c[1] for c in flat], np.int64)
-    n, off = np.array([c[2] for c in flat]), np.array([c[3] for c in flat])
+    owner, n, off = (np.array([c[i] for c in flat], np.int64) for i in (1, 2, 3))
     buf, offs = utf8(pa.array([c[4] for c in flat], pa.large_string()))
     w = Words(buf, offs)
     h = np.append(w.h, U64(0))
@@ -50,7 +49,8 @@ def kernel(groups: list[list[tuple]], length: int) -> list[list[np.ndarray]]:
     left = np.where(i >= w.at[:-1][:, None], h[np.maximum(i, 0)], U64(0)) if far else np.zeros((len(flat), 0), U64)
     r_order, r_lcp = stretches(right, group)
     l_order, l_lcp = stretches(left, group)
-    marks = [np.zeros(x, bool) for x in n]
+    begin = np.cumsum(n) - n
+    least = np.repeat(owner, n)
     rid, lid = np.empty(len(flat), np.int64), np.empty(len(flat), np.int64)
     for j in range(far + 1):
         live = np.flatnonzero((off - n + 1 <= j) & (j <= off))
@@ -63,14 +63,9 @@ def kernel(groups: list[list[tuple]], length: int) -> list[list[np.ndarray]]:
         ks, own = key[order], owner[live][order]
         new = np.ones(len(ks), bool)
         new[1:] = ks[1:] != ks[:-1]
-        first = own[np.flatnonzero(new)][np.cumsum(new) - 1]
-        for x in live[order[own > first]]:
-            marks[x][off[x] - j] = True
-    out, z = [], 0
-    for g in groups:
-        out.append(marks[z : z + len(g)])
-        z += len(g)
-    return out
+        who = live[order]
+        least[begin[who] + off[who] - j] = own[np.flatnonzero(new)][np.cumsum(new) - 1]
+    return np.split(least, begin[1:])
 
 
 def dedup(docs: DataFrame, length: int = passages.LENGTH, gram: int = passages.GRAM, spacing: str = "original", heavy: int = passages.HEAVY) -> DataFrame:

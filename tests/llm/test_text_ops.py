@@ -1,14 +1,17 @@
 """Operators on texts against brute force, on small tables with odd rows."""
 
 import hashlib
+import math
 import random
 import re
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkvane.llm import automaton, bpe, chat, decontam, jaccard, passages, sparse_sa, toxicity
+from sparkvane.llm import automaton, bpe, chat, decontam, jaccard, passages, queries, sparse_sa, toxicity
 from sparkvane.llm._text import Words, utf8
 from sparkvane.llm.components import components
 
@@ -80,7 +83,7 @@ def brute_removed(rows, length):
     return out
 
 
-@pytest.mark.parametrize("op,heavy", [(automaton, 2000), (sparse_sa, 2000), (automaton, 1)])
+@pytest.mark.parametrize("op,heavy", [(automaton, 2000), (sparse_sa, 2000), (automaton, 1), (sparse_sa, 3)])
 def test_repeats_match_brute_force(spark, op, heavy):
     rows = corpus()
     out = op.dedup(docs_of(spark, rows, __h=1, spans="x", owner=2), length=12, gram=4, spacing="single", heavy=heavy)
@@ -90,6 +93,60 @@ def test_repeats_match_brute_force(spark, op, heavy):
     assert {"spans", "owner", "lang"} <= set(out.columns)
 
 
+def test_kernels_find_the_smallest_owner_of_every_window():
+    rng = random.Random(6)
+    length = 6
+    for size in (1, 40, 50_000):
+        groups = []
+        for g in range(30):
+            anchor = [f"g{g}"]
+            group = []
+            for _ in range(rng.randint(1, 7)):
+                left, right = ([rng.choice("ab") for _ in range(n)] for n in (rng.randint(0, 5), rng.randint(5, 9)))
+                w = left + anchor + right
+                most = min(len(left), len(w) - length)  # windows hold the anchor
+                if most >= 0:
+                    group.append((len(group), rng.randint(0, 5), most + 1, len(left), " ".join(w)))
+            group.sort(key=lambda c: (c[1], c[0]))
+            groups.append(group)
+        want = []
+        for group in groups:
+            first = {}
+            for _, owner, n, _, words in group:
+                w = words.split()
+                for a in range(n):
+                    k = tuple(w[a : a + length])
+                    first[k] = min(first.get(k, owner), owner)
+            want += [[first[tuple(c[4].split()[a : a + length])] for a in range(c[2])] for c in group]
+        shard, automaton.SHARD = automaton.SHARD, size
+        try:
+            got = automaton.kernel(groups, length)
+        finally:
+            automaton.SHARD = shard
+        assert [x.tolist() for x in got] == want
+        groups = [g for g in groups if g]
+        assert [x.tolist() for x in sparse_sa.kernel(groups, length)] == want
+
+
+def test_parts_of_a_class_cover_its_windows_and_agree_on_their_context():
+    rng = random.Random(9)
+    length = 10
+    seen = {}
+    for width in (4, 2, 1):
+        for _ in range(200):
+            w = [rng.choice("ab").encode() for _ in range(40)]
+            n, off = rng.randint(1, 8), rng.randint(0, 7)
+            n = min(n, off + 1)
+            words = w[: n + length - 1]
+            parts = list(passages.split_class(5, n, off, words, length, width))
+            assert sorted(a + i for a, _, _, m, _, _ in parts for i in range(m)) == list(range(n))
+            for a, key, sh, m, o, own in parts:
+                assert own.split(b" ") == words[a : a + m + length - 1] and o == off - a
+                for i in range(a, a + m):
+                    part = (off - i) // width
+                    assert seen.setdefault((width, tuple(words[i : i + length]), off - i), key) == key and (o - i + a) // width == part
+
+
 def test_original_spacing_and_empty_table(spark):
     p = " ".join(f"w{i}" for i in range(60))
     rows = [(1, f"x\n{p}\ny", "en", "s", 0), (2, f"a\tb\n{p}\nc  d", "en", "s", 0)]
@@ -234,10 +291,102 @@ def test_bpe_equals_the_public_library(spark):
         t = texts[r["doc_id"]] or ""
         assert list(r["ids"]) == enc.encode_ordinary(t) and bytes(r["decoded"]).decode() == t
     assert len(got) == len(texts)
+    again = bpe.encode(d, keep=("doc_id", "ids")).withColumn("decoded", F.lit(1))  # names that clash give way
+    assert again.columns == ["doc_id", "ids", "decoded"] and again.schema["ids"].dataType.simpleString() == "array<int>"
+    assert bpe.decode(again, keep=("doc_id", "decoded")).columns == ["doc_id", "decoded"]
+    assert bpe.decode(bpe.encode(d.where("false"))).count() == 0
     left, right = own.tree(b"unbeliev"), own.tree(b"ably so")
     assert own.join(left, right) == own.tree(b"unbelievably so")
 
 
+def test_bpe_tree_decides_pieces_outside_the_vocabulary():
+    ranks = bpe.load_ranks(bpe.default_vocabulary())
+    own = bpe.Bpe(ranks, bpe.default_pattern())
+    rng = random.Random(8)
+    joins = []
+    real = own.join
+    own.join = lambda a, b: (joins.append(1), real(a, b))[1]
+    for _ in range(400):
+        data = "".join(rng.choice("etaoinshr") for _ in range(rng.randint(5, 300))).encode()
+        assert own.tree(data) == own._short(data)
+    assert len(joins) > 400
+
+
+def plain_ftrl(rows, epochs, alpha, beta, l1, l2, positive):
+    """FTRL-proximal by the book: one coordinate at a time; bias: None."""
+    z, n = {}, {}
+    w = lambda i: 0.0 if abs(z.get(i, 0.0)) <= (lam := 0.0 if i is None else l1) else ((lam if z[i] > 0 else -lam) - z[i]) / ((beta + n[i] ** 0.5) / alpha + l2)
+    for _ in range(epochs):
+        for slots, y in rows:
+            own = {i: w(i) for i in [*slots, None]}
+            g = (1 / (1 + math.exp(-sum(own.values()))) - y) * (positive if y else 1.0)
+            for i, x in own.items():
+                old = n.get(i, 0.0)
+                n[i] = old + g * g
+                z[i] = z.get(i, 0.0) + g - (n[i] ** 0.5 - old**0.5) / alpha * x
+    return {i: w(i) for i in z if w(i)}
+
+
+def test_toxicity_fit_equals_plain_ftrl():
+    rng = random.Random(4)
+    rows = [(sorted({rng.randrange(64) for _ in range(rng.randint(0, 9))}), int(rng.random() < 0.4)) for _ in range(300)]
+    flat = np.array([i for s, _ in rows for i in s], np.int32)
+    at = np.cumsum([0] + [len(s) for s, _ in rows])
+    y = np.array([t for _, t in rows], float)
+    chunks = [(flat[: at[100]], at[:101], y[:100]), (flat[at[100] :], at[100:] - at[100], y[100:])]
+    for l1, positive in ((0.0, 1.0), (0.7, 2.0)):
+        m = toxicity.fit(chunks, 6, 2, 0.5, 1.0, l1, 0.3, positive)
+        want = plain_ftrl(rows, 2, 0.5, 1.0, l1, 0.3, positive)
+        bias = want.pop(None)
+        assert m.slots.tolist() == sorted(want) and m.bias == pytest.approx(bias)
+        assert m.weights.tolist() == pytest.approx([want[i] for i in sorted(want)])
+
+
+def test_toxicity_sample_is_bounded_and_repeats_count():
+    batch = lambda ls, ys: pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(ls, pa.list_(pa.int32()))], names=["__y", "slots"])
+    stream = [batch([[1, 2], [1, 2], []], [1, 1, 0]), batch([[3], [4, 5, 6]], [0, 1]), batch([[7]], [1])]
+    got = toxicity.gather_sample(iter(stream), 6)
+    assert [(f.tolist(), a.tolist(), y.tolist()) for f, a, y in got] == [([1, 2, 1, 2], [0, 2, 4, 4], [1, 1, 0]), ([3], [0, 1], [0])]
+    assert len(toxicity.gather_sample(iter(stream))) == 3
+    assert toxicity.gather_sample(iter(stream), 4)[0][1].tolist() == [0, 2, 4, 4]
+
+
+def test_toxicity_query_reports_the_fold(spark, tmp_path):
+    rows = [(i, ("vile rotten words here" if i % 3 == 0 else "calm plain words here") + f" x{i % 7}", "en", "s", 0) for i in range(200)]
+    docs_of(spark, [*rows, (500, None, None, None, None), (501, "", "en", "s", 0)]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    d = queries.op8_toxicity(spark, str(tmp_path))
+    assert d.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
+    got = {r["doc_id"]: r for r in d.collect()}
+    assert len(got) == 202 and all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got.values())
+    assert all(got[i]["predicted"] == int(i % 3 == 0) for i in range(200))
+    # held-out labels teach nothing: turned round, the scores stay
+    spark.createDataFrame([(i, 1, int((i % 3 == 0) != (zlib.crc32(str(i).encode()) % 5 == 0))) for i in range(200)], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(str(tmp_path / "labels.parquet"))
+    assert {r["doc_id"]: r["score"] for r in queries.op8_toxicity(spark, str(tmp_path)).collect()} == {i: r["score"] for i, r in got.items()}
+
+
+def test_bpe_and_chat_queries(spark, tmp_path):
+    import tiktoken
+
+    enc = tiktoken.Encoding("own", pat_str=bpe.default_pattern(), mergeable_ranks=bpe.load_ranks(bpe.default_vocabulary()), special_tokens={})
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    texts = {1: "Hello, wörld!  <|endoftext|>\n", 2: None, 3: "", 4: "unbelievably " * 3000}
+    docs_of(spark, [(i, t, "en", "s", 0) for i, t in texts.items()]).write.parquet(str(tmp_path / "documents.parquet"))
+    d = queries.op2_bpe(spark, str(tmp_path))
+    assert d.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    for r in d.collect():
+        t = texts[r["doc_id"]] or ""
+        ids = enc.encode_ordinary(t)
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(" ".join(map(str, ids))), sha(t))
+    spark.createDataFrame([(1, 1, "assistant", "hi"), (1, 0, "user", None)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["conv_id"]: r for r in queries.op3_chat_format(spark, str(tmp_path)).collect()}
+    probe = "</s>[INST] ok [/INST]"
+    assert set(got) == {1, -7} and got[-7]["n_turns"] == 2 and got[-7]["loss_chars"] == len(probe) and got[-7]["loss_sha256"] == sha(probe)
+    assert got[-7]["turns_sha256"] == sha(f"user\n{probe}\nassistant\n{probe}\n") and got[1]["turns_sha256"] == sha("user\n\nassistant\nhi\n")
+    assert got[1]["formatted_chars"] > got[1]["loss_chars"] == 2
+
+
 def test_toxicity_learns_and_handles_odd_rows(spark):
     rng = random.Random(3)
     plain = [f"word{i}" for i in range(300)]
