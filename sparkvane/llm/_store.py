@@ -7,9 +7,12 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 #: Bytes of an Arrow batch that goes to a Python worker. A task may hold four such
@@ -65,17 +68,74 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end all that operators called inside have written to the shared
+    folder. Whatever is to stay must have been written elsewhere by then."""
+    first = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[first:]:
+            drop_path(spark, path)
+        del _made[first:]
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow, tidied; cut() of the result writes from the same Python worker."""
+    out = df.mapInArrow(tidy(run), schema)
+    out._mapped = (df, run)
+    return out
 
 
 def cut(df: DataFrame, what: str = "cut") -> DataFrame:
-    """Write a DataFrame to the shared folder and read it back: the lineage ends
-    in files that survive lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, what)
+    """Write a DataFrame to the shared folder and read it back: the lineage ends in
+    files that survive lost executors."""
+    return cut_native(df, what)
+
+
+def cut_native(df: DataFrame, what: str = "cut") -> DataFrame:
+    """The same by Spark's own writer, for columns of any type and where no Python worker is wanted."""
+    path = new_path(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(*cuts: DataFrame) -> None:
+    """Delete the files of tables that cut() has made and nothing reads any more."""
+    for df in cuts:
+        drop_path(df.sparkSession, df._cut_path)
+        _made.remove(df._cut_path)
+
+
+def open_path(path: str, write: bool = False):
+    """A binary stream of a file in the shared folder, for tasks."""
+    if "://" not in path and path.startswith("file:"):
+        path = "file://" + path[5:]
+    store, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    if write:
+        store.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+        return store.open_output_stream(inner, compression=None)
+    return store.open_input_stream(inner, compression=None)
+
+
+def list_files(folder: str) -> list[str]:
+    """Data files of a folder that Spark has written, for tasks; none where it does not exist."""
+    if "://" not in folder and folder.startswith("file:"):
+        folder = "file://" + folder[5:]
+    store, inner = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+    found = store.get_file_info(fs.FileSelector(inner, allow_not_found=True))
+    return [f"{folder.rstrip('/')}/{f.base_name}" for f in found if f.type == fs.FileType.File and f.base_name[0] not in "._"]
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkvane.llm._store import ship, tidy
+from sparkvane.llm._store import arrow_map, ship
 
 LEAF_BYTES = 4
 #: Windows up to so many bytes are merged by scanning, longer ones by a heap.
@@ -229,7 +229,7 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
                 i = j
         bpe.empty()  # the worker may go on with other operators
 
-    return src.mapInArrow(tidy(run), schema)
+    return arrow_map(src, run, schema)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -253,7 +253,7 @@ def decode(encoded: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_i
             out = [b"" if z else bpe.decode(flat[x:y].tolist()) for x, y, z in zip(at[:-1], at[1:], none, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(out, pa.binary())], names=schema.names)
 
-    return src.mapInArrow(tidy(run), schema)
+    return arrow_map(src, run, schema)
 
 
 def ids_text(ids: str = "ids"):

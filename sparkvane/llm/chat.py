@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkvane.llm._store import ship, tidy
+from sparkvane.llm._store import arrow_map, ship
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>\n"
 KINDS = ("image", "audio", "document")
@@ -153,7 +153,7 @@ def format_conversations(rows: DataFrame, rates: dict[str, int] | None = None) -
                 seq, at, seen = seq + 1, at + len(s), seen + len(flat.refs)
             yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out, strict=True), _FORMAT, strict=True)] if out else [pa.array([], t.type) for t in _FORMAT], schema=_FORMAT)
 
-    return d.mapInArrow(tidy(run), FORMAT_DDL)
+    return arrow_map(d, run, FORMAT_DDL)
 
 
 READ_DDL = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -189,4 +189,4 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*done, strict=True), _READ, strict=True)], schema=_READ)
 
-    return formatted.select("conv_id", "formatted", "loss_from", "loss_to", "text_at").mapInArrow(tidy(run), READ_DDL)
+    return arrow_map(formatted.select("conv_id", "formatted", "loss_from", "loss_to", "text_at"), run, READ_DDL)

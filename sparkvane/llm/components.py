@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkvane.llm._store import cut
-
-MOST_ROUNDS = 60
+from sparkvane.llm._store import cut, drop
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -30,16 +28,16 @@ def _small(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of edges (a, b) that is not its component's
     smallest node; comp is that smallest node. Every round is written to the
-    shared folder; rounds grow with the logarithm of the longest path."""
+    shared folder and takes the place of the one before; rounds grow with the
+    logarithm of the longest path."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = cut(e, "edges")
     before = _state(e)
-    for _ in range(MOST_ROUNDS):
-        e = cut(_small(_large(e)), "edges")
+    while True:
+        last, e = e, cut(_small(_large(e)), "edges")
+        drop(last)
         now = _state(e)
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))

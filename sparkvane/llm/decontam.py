@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkvane.llm._store import cut, free, ship, tidy
+from sparkvane.llm._store import arrow_map, cut, cut_native, free, ship
 from sparkvane.llm._text import Words, list_array, pieces, signed, unique_by_row, utf8
 
 K, THRESHOLD = 5, 0.8
@@ -157,14 +157,14 @@ def search(docs: DataFrame, benchmark: DataFrame, k: int = K, threshold: float =
                     found[i + int(r)] = sorted(({"item_id": ids[x], "shared": s, "size": n} for x, s, n in hit), key=lambda m: (m["item_id"], -m["shared"]))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], names=[*names, "__matches"])
 
-    return docs.mapInArrow(tidy(run), schema)
+    return arrow_map(docs, run, schema)
 
 
 def _search_joined(docs: DataFrame, items: DataFrame, k: int, threshold: float) -> DataFrame:
     """The same for a benchmark of any size: sketch values and documents' hashes
     meet by hash, candidates are verified by counting shared shingles by hash. Every
     benchmark row is judged by a number of its own, rows of one item_id too."""
-    d = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "decontam")
+    d = cut_native(docs.withColumn("__row", F.monotonically_increasing_id()), "decontam")
     items = cut(items.withColumn("item", F.monotonically_increasing_id()), "benchmark")
     item_h = cut(_hash_rows(items.select(F.col("item").alias("row"), "text"), k), "items")
     size = F.size("hashes")
@@ -201,7 +201,7 @@ def _hash_rows(rows: DataFrame, k: int, lengths: tuple[int, ...] | None = None)
                     out = pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(size, pa.int32()), arr], schema=schema)
                     yield out.filter(pa.array(keep))
 
-    return rows.mapInArrow(tidy(run), "row long, words int, hashes array<long>")
+    return arrow_map(rows, run, "row long, words int, hashes array<long>")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:

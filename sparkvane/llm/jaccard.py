@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkvane.llm._store import cut, free, ship, tidy
+from sparkvane.llm._store import arrow_map, cut, drop, free, ship
 from sparkvane.llm._text import U64, Words, list_array, mix, pieces, signed, unique_by_row, utf8
 from sparkvane.llm.components import components
 
@@ -152,7 +152,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                 h, at = unique_by_row(*Words(buf, offs[i : j + 1], lower=True).grams(k))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(np.diff(at), pa.int64()), pa.array(signed(set_hashes(h, at)), pa.int64())], names=["doc_id", "h", "n", "cls"])
 
-    return docs.mapInArrow(tidy(run), "doc_id long, h long, n long, cls long")
+    return arrow_map(docs, run, "doc_id long, h long, n long, cls long")
 
 
 def gather(sig: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +194,7 @@ def _signature_rows(docs: DataFrame, k: int, percent: int, largest: int) -> Data
             sig, cls = gather(np.concatenate(sigs), np.concatenate(owners)) if sigs else (np.zeros(0, U64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(signed(sig), pa.int64()), pa.array(cls, pa.int64())], names=["sig", "cls"])
 
-    return docs.mapInArrow(tidy(run), "sig long, cls long")
+    return arrow_map(docs, run, "sig long, cls long")
 
 
 def link_blocks(x: list[np.ndarray], y: list[np.ndarray] | None, percent: int) -> np.ndarray:
@@ -290,7 +290,7 @@ def _verify(units: DataFrame, percent: int) -> DataFrame:
             out += work(rows)
         yield _rows(out, schema)
 
-    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(tidy(run), "cls long, root long, links long")
+    return arrow_map(units.repartition("unit").sortWithinPartitions("unit"), run, "cls long, root long, links long")
 
 
 def _rows(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -331,7 +331,9 @@ def _join(docs: DataFrame, k: int, percent: int, root: bool = False) -> DataFram
     cand = cut(cand.unionByName(cand.select(F.col("comp").alias("node"), "comp").distinct()), "candidates")
     want = classes.join(cand, classes["cls"] == cand["node"]).select("doc_id", "h", "cls", "weight", "comp")
     found = src.join(want, ["doc_id", "h"]).select("cls", "comp", "weight", "text")
-    links = cut(_verify(_units(cut(_hashes(found, k), "members").dropDuplicates(["cls"])), percent), "links")
+    members = cut(_hashes(found, k), "members")
+    links = cut(_verify(_units(members.dropDuplicates(["cls"])), percent), "links")
+    drop(members, cand)
     comp = components(links.where("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b")))
     least = comp.join(classes.select(F.col("cls").alias("node"), "doc_id"), "node").select("comp", "doc_id")
     least = least.unionByName(classes.join(comp.select("comp").distinct(), classes["cls"] == F.col("comp")).select("comp", "doc_id")).groupBy("comp").agg(F.min("doc_id").alias("low"))
@@ -340,6 +342,7 @@ def _join(docs: DataFrame, k: int, percent: int, root: bool = False) -> DataFram
     by_class = classes.select("cls", "weight", "doc_id").join(linked, "cls", "left").join(counts, "cls", "left")
     # Written first: a join of plain tables lets Spark split the rows of a class of very many copies.
     by_class = cut(by_class.select("cls", F.coalesce("low", "doc_id").alias("__component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("__links"), *[F.coalesce("root", "cls").alias(c) for c in named]), "by-class")
+    drop(classes, links)
     rows = part.join(by_class, "cls").select(F.col("doc_id").alias("__id"), F.col("h").alias("__hh"), "__component", "__links", F.col("n").alias("__n"), *named).dropDuplicates(["__id", "__hh"])
     rest = sets.where("n = 0 or doc_id is null").select(F.col("doc_id").alias("__id"), F.col("h").alias("__hh"), F.col("doc_id").alias("__component"), F.lit(0).cast("long").alias("__links"), F.col("n").alias("__n"), *[F.lit(None).cast("long").alias(c) for c in named]).dropDuplicates(["__id", "__hh"])
     rows = rows.unionByName(rest)
@@ -355,7 +358,7 @@ def _hashes(found: DataFrame, k: int) -> DataFrame:
                 h, at = unique_by_row(*Words(buf, offs[i : j + 1], lower=True).grams(k))
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(3)), list_array(signed(h), at, pa.int64())], names=["cls", "comp", "weight", "hashes"])
 
-    return found.mapInArrow(tidy(run), T.StructType().add("cls", T.LongType()).add("comp", T.LongType()).add("weight", T.LongType()).add("hashes", T.ArrayType(T.LongType())))
+    return arrow_map(found, run, T.StructType().add("cls", T.LongType()).add("comp", T.LongType()).add("weight", T.LongType()).add("hashes", T.ArrayType(T.LongType())))
 
 
 def representatives(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkvane.llm._store import cut, free, ship, tidy
+from sparkvane.llm._store import arrow_map, cut, drop, free, ship
 from sparkvane.llm._text import U64, Words, mix, pieces, signed, utf8
 
 LENGTH, GRAM = 50, 8
@@ -93,7 +93,7 @@ def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 r = find_runs(Words(buf, offs[i : j + 1]), length, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip((signed(r["anchor"]), signed(r["sh"]), ids[i:j][r["row"]], hs[i:j][r["row"]], r["start"], r["n"], r["off"]), schema, strict=True)], schema=schema)
 
-    return docs.mapInArrow(tidy(run), "key long, sh long, doc_id long, h long, start int, n int, off int")
+    return arrow_map(docs, run, "key long, sh long, doc_id long, h long, start int, n int, off int")
 
 
 CLASS = "key long, sh long, owner long, n int, off int, words string"
@@ -120,7 +120,7 @@ def _extract(classes: DataFrame, docs: DataFrame, length: int) -> DataFrame:
                         out, size = [], 0
             yield _batch(out, _CLASS)
 
-    return src.mapInArrow(tidy(run), CLASS)
+    return arrow_map(src, run, CLASS)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -170,7 +170,7 @@ def _compare(classes: DataFrame, kernel: Kernel, length: int) -> DataFrame:
         yield judged(keys, groups)
 
     d = classes.select("key", "sh", "owner", "n", "off", "words").repartition("key").sortWithinPartitions("key", "owner", "sh")
-    return d.mapInArrow(tidy(run), "key long, sh long, a int, b int, first long")
+    return arrow_map(d, run, "key long, sh long, a int, b int, first long")
 
 
 def split_class(key: int, n: int, off: int, words: list[bytes], length: int, width: int) -> Iterator[tuple[int, int, int, int, int, bytes]]:
@@ -204,7 +204,7 @@ def _split(classes: DataFrame, length: int, width: int) -> DataFrame:
                     out, size = [], 0
             yield _batch(out, schema)
 
-    return classes.select("key", "sh", "owner", "n", "off", "words").mapInArrow(tidy(run), f"up_key long, up_sh long, a int, {CLASS}")
+    return arrow_map(classes.select("key", "sh", "owner", "n", "off", "words"), run, f"up_key long, up_sh long, a int, {CLASS}")
 
 
 def first_owners(classes: DataFrame, kernel: Kernel, length: int, gram: int, heavy: int) -> DataFrame:
@@ -234,10 +234,12 @@ def repeated_spans(docs: DataFrame, kernel: Kernel, length: int = LENGTH, gram:
     # Joined tables are written first: a join of plain tables lets Spark split the rows of a very common anchor.
     both = cut(runs.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key"), "anchors")
     live = cut(runs.join(both, "key"), "live")
+    drop(runs, both)
     cls = live.groupBy("key", "sh").agg(F.min(F.struct("doc_id", "h", "start", "n", "off")).alias("o")).select("key", "sh", "o.*")
     words = cut(_extract(cls, docs, length), "words")
     owners = first_owners(words, kernel, length, gram, heavy)
     owners = cut(owners.groupBy("key", "sh").agg(F.collect_list(F.struct("a", "b", "first")).alias("m")), "owners")
+    drop(words)
     mine = F.filter("m", lambda x: x["first"] < F.col("doc_id"))
     hits = live.join(owners, ["key", "sh"]).select("doc_id", "h", "start", mine.alias("m")).where(F.size("m") > 0)
     hits = hits.select("doc_id", "h", F.transform("m", lambda x: F.struct((F.col("start") + x["a"]).alias("s"), (F.col("start") + x["b"] + F.lit(length - 1)).alias("e"))).alias("m"))
@@ -304,4 +306,4 @@ def remove(docs: DataFrame, kernel: Kernel, length: int = LENGTH, gram: int = GR
             cols[at] = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "__n_words", "__n_removed", "__spans"])
 
-    return d.mapInArrow(tidy(run), out_t)
+    return arrow_map(d, run, out_t)

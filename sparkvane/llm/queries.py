@@ -139,7 +139,8 @@ OP7_SQL = f"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS r FROM pages),
 p AS (SELECT page_id, coalesce(translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
   coalesce(regexp_extract(r, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
-s AS (SELECT *, string_split(host, '.')[-1] AS suffix FROM p),
+s AS (SELECT *, CASE WHEN array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') IN ({', '.join(f"'{x}'" for x in urls.PUBLIC_SUFFIXES)})
+  THEN array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') ELSE string_split(host, '.')[-1] END AS suffix FROM p),
 d AS (SELECT *, CASE WHEN length(host) <= length(suffix) + 1 THEN host
   ELSE string_split(substr(host, 1, length(host) - length(suffix) - 1), '.')[-1] || '.' || suffix END AS domain FROM s),
 lab AS (SELECT doc_id, CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NULL OR toxic IS NULL THEN NULL ELSE 0 END AS bad FROM labels),
@@ -155,11 +156,14 @@ x3 AS (SELECT host, n, bad, m2 FROM o JOIN y2 USING (suffix, domain)),
 k3 AS (SELECT {_strength_sql('m2')} AS s FROM x3),
 y3 AS (SELECT host, bad + m2 * s AS a, n - bad + (1 - m2) * s AS b FROM x3, k3),
 rep AS (SELECT host, a / (a + b) - 1.645 * sqrt((a / (a + b)) * (1 - a / (a + b)) / (a + b + 1)) AS lower FROM y3),
+pd AS (SELECT suffix, domain, m2 - 1.645 * sqrt(m2 * (1 - m2) / (s + 1)) AS lower FROM y2, k3),
+ps AS (SELECT suffix, m1 - 1.645 * sqrt(m1 * (1 - m1) / (s + 1)) AS lower FROM y1, k2),
+pg AS (SELECT m0 - 1.645 * sqrt(m0 * (1 - m0) / (s + 1)) AS lower FROM t, k1),
 rules(action, rh, rp) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
 hit AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(action, length(rh || rp)) AS action
   FROM (SELECT DISTINCT page_id, host, path FROM d), rules WHERE (host = rh OR host LIKE '%.' || rh) AND starts_with(path, rp) GROUP BY page_id)
-SELECT d.page_id, d.host, d.path, hit.rule, coalesce(hit.action, CASE WHEN rep.lower > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
-FROM d LEFT JOIN hit ON hit.page_id = d.page_id LEFT JOIN rep ON rep.host = d.host
+SELECT d.page_id, d.host, d.path, hit.rule, coalesce(hit.action, CASE WHEN coalesce(rep.lower, pd.lower, ps.lower, pg.lower) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM d CROSS JOIN pg LEFT JOIN hit ON hit.page_id = d.page_id LEFT JOIN rep ON rep.host = d.host LEFT JOIN pd ON pd.suffix = d.suffix AND pd.domain = d.domain LEFT JOIN ps ON ps.suffix = d.suffix
 """
 
 

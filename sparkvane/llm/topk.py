@@ -1,28 +1,34 @@
 """Exact top-k inner products by ball trees.
 
-Vectors are packed into shards of bounded size; each shard gets a ball tree once.
-Queries are packed into blocks. A task holds one block and streams the shards
-dealt to it: nodes are visited in descending order of the inner-product upper
-bound  q.c + r |q|,  a node is skipped for every query whose current kth score
-exceeds that bound, and the kth scores go on from shard to shard. Ties at the
-bound are visited, so the smaller id wins exactly.
+Vectors are packed into shards of bounded size; each shard gets a ball tree once and
+is a file in the shared folder, named in a committed list with its centre and radius.
+Queries are packed into blocks, a block is one task. The task takes the shards in
+descending order of their inner-product upper bound  q.c + r |q|,  reads those that
+may still hold a result, and goes through each tree best bound first. A node is
+skipped for every query whose current kth score exceeds its bound; the kth scores are
+shared by all nodes of all shards, and once no shard can reach them the task ends.
+Ties at the bound are visited, so the smaller id wins exactly.
 """
 
 from __future__ import annotations
 
+import heapq
+import io
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkvane.llm._store import cut, ship, tidy
+from sparkvane.llm._store import arrow_map, cut, list_files, new_path, open_path, ship
 
 SHARD_ROWS = 8192
 LEAF_ROWS = 512
-BLOCK_ROWS = 1024
-LANES = 4
+BLOCK_ROWS = 256
+EXACT = 2.0**53
 
 
 def quantise(col: str, scale: int = 64):
@@ -83,21 +89,19 @@ class Best:
 
 
 def search(best: Best, block: np.ndarray, norm: np.ndarray, ids: np.ndarray, x: np.ndarray, tree) -> int:
-    """Branch and bound over one shard; returns how many scores were computed."""
+    """Branch and bound over one shard, the node of highest bound first; returns how many scores were computed."""
     nodes, centres, radii = tree
-    # Components are integers: products are exact in double below 2**53. Bounds get a margin for rounding.
-    bound = block @ centres.T + norm[:, None] * radii[None, :]
-    bound += 1e-6 * (1 + np.abs(bound))
-    stack, scored = [0], 0
-    while stack:
-        n = stack.pop()
+    bound = upper(block, norm, centres, radii)
+    queue, scored = [(-bound[:, 0].max(), 0)], 0
+    while queue:
+        _, n = heapq.heappop(queue)
         act = np.flatnonzero(bound[:, n] >= best.kth)
         if not len(act):
             continue
         lo, hi, left, right = nodes[n]
         if left >= 0:
-            a, b = bound[act, left].mean(), bound[act, right].mean()
-            stack += [left, right] if a < b else [right, left]
+            for child in (left, right):
+                heapq.heappush(queue, (-bound[act, child].max(), child))
             continue
         for z in range(lo, hi, 4 * LEAF_ROWS):
             own = ids[z : min(hi, z + 4 * LEAF_ROWS)]
@@ -110,88 +114,123 @@ def search(best: Best, block: np.ndarray, norm: np.ndarray, ids: np.ndarray, x:
     return scored
 
 
-def _matrix(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, np.float64).reshape(n, -1) if n else np.zeros((0, 1))
+def upper(block: np.ndarray, norm: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """Upper bounds of the inner products of queries with balls, with a margin for rounding."""
+    bound = block @ centres.T + norm[:, None] * radii[None, :]
+    return bound + 1e-6 * (1 + np.abs(bound))
+
+
+def _bytes(*arrays: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    for a in arrays:
+        np.save(out, a, allow_pickle=False)
+    return out.getvalue()
+
+
+def _load(data: bytes, n: int) -> list[np.ndarray]:
+    src = io.BytesIO(data)
+    return [np.load(src, allow_pickle=False) for _ in range(n)]
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    """The same integers in the narrowest type."""
+    for t in (np.int8, np.int16, np.int32):
+        if not x.size or (np.iinfo(t).min <= x.min() and x.max() <= np.iinfo(t).max):
+            return x.astype(t)
+    return x
+
+
+def _packed(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Groups of at most `size` rows (ids, matrix) of one dimension."""
+    held: dict[int, list] = {}  # by dimension: vectors of another length never meet
+    for b in batches:
+        ids, col = b.column(0).to_numpy(), b.column(1)
+        at, flat = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False)
+        dims = np.diff(at)
+        for d in np.unique(dims):
+            who = np.flatnonzero(dims == d)
+            x = flat[at[who][:, None] + np.arange(d)]
+            own = held.setdefault(int(d), [np.zeros(0, np.int64), np.zeros((0, d), np.int64)])
+            own[0], own[1] = np.concatenate([own[0], ids[who]]), np.concatenate([own[1], x])
+            while len(own[0]) >= size:
+                yield own[0][:size], own[1][:size]
+                own[0], own[1] = own[0][size:], own[1][size:]
+    for i, x in held.values():
+        if len(i):
+            yield i, x
+
+
+def write_shards(vectors: DataFrame, folder: str, size: int) -> DataFrame:
+    """One file per shard below `folder`; returns the committed list: path, dim, n,
+    centre, radius. Files of failed task attempts are in no list."""
+    schema = pa.schema([("path", pa.string()), ("dim", pa.int64()), ("n", pa.int64()), ("centre", pa.binary()), ("radius", pa.float64())])
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, x in _packed(batches, size):
+            order, nodes, centres, radii = build_tree(x.astype(np.float64))
+            path = f"{folder}/{uuid.uuid4().hex}.shard"
+            with open_path(path, True) as f:
+                f.write(_bytes(ids[order], _small(x[order]), np.array(nodes, np.int64), centres, radii))
+            row = [path, x.shape[1], len(ids), centres[0].astype(np.float64).tobytes(), float(radii[0])]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(row, schema, strict=True)], schema=schema)
 
-def _pack(rows: DataFrame, size: int, tree: bool) -> DataFrame:
-    """Rows (id, v) as blocks: n, dim, ids, vecs and with `tree` also nodes, centres, radii."""
-    schema = pa.schema([("n", pa.int64()), ("dim", pa.int64()), ("ids", pa.binary()), ("vecs", pa.binary()), ("nodes", pa.binary()), ("centres", pa.binary()), ("radii", pa.binary())])
+    return cut(arrow_map(vectors.select("id", "v"), run, "path string, dim long, n long, centre binary, radius double"), "shards")
 
-    def build(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-        x = x.astype(np.float64)
-        extra = [b"", b"", b""]
-        if tree:
-            order, nodes, centres, radii = build_tree(x)
-            ids, x = ids[order], x[order]
-            extra = [np.array(nodes, np.int64).tobytes(), centres.tobytes(), radii.tobytes()]
-        vals = [len(ids), x.shape[1], ids.astype(np.int64).tobytes(), np.ascontiguousarray(x).tobytes(), *extra]
-        return pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(vals, schema, strict=True)], schema=schema)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}  # by dimension: vectors of another length never meet
-        for b in batches:
-            ids, col = b.column(0).to_numpy(), b.column(1)
-            at, flat = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False)
-            dims = np.diff(at)
-            for d in np.unique(dims):
-                who = np.flatnonzero(dims == d)
-                x = flat[at[who][:, None] + np.arange(d)]
-                own = held.setdefault(int(d), [np.zeros(0, np.int64), np.zeros((0, d), np.int64)])
-                own[0], own[1] = np.concatenate([own[0], ids[who]]), np.concatenate([own[1], x])
-                while len(own[0]) >= size:
-                    yield build(own[0][:size], own[1][:size])
-                    own[0], own[1] = own[0][size:], own[1][size:]
-        for i, x in held.values():
-            if len(i):
-                yield build(i, x)
-
-    return rows.mapInArrow(tidy(run), "n long, dim long, ids binary, vecs binary, nodes binary, centres binary, radii binary")
-
-
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, lanes: int = LANES) -> DataFrame:
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k largest integer inner
     products of every query row with every vector row but those of its own id.
 
-    queries, vectors: (id long, v array<long>), |q.x| below 2**53. Ties go to the
-    smaller id; a repeated row counts each time. Vectors of another length are no
-    candidates. No queries or no vectors: no rows."""
+    queries, vectors: (id long, v array<long>). Ties go to the smaller id; a repeated
+    row counts each time; null ids take no part. Vectors of another length are no
+    candidates. No queries or no vectors: no rows. Products must stay below 2**53 in
+    size, where doubles are exact: a query and a shard that could exceed it are an
+    error. A task holds its block, one shard and the list of shards (one row for each
+    `shard_rows` vectors, read from the shared folder)."""
     spark = queries.sparkSession
     ship(spark)
     q, v = queries.select("id", "v").where("id is not null"), vectors.select("id", "v").where("id is not null")
-    shards = cut(_pack(v, shard_rows, True).withColumn("shard", F.monotonically_increasing_id()), "shards")
-    blocks = cut(_pack(q.coalesce(max(1, spark.sparkContext.defaultParallelism // 4)), block_rows, False).select("n", "dim", "ids", "vecs").withColumn("block", F.monotonically_increasing_id()), "blocks")
-    # Each lane of a block streams its share of the shards.
-    lane = F.pmod(F.xxhash64("shard"), F.lit(lanes))
-    left = blocks.select("block", F.col("dim").alias("q_dim"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))).alias("lane"))
-    right = shards.withColumn("lane", lane)
-    work = left.join(right, (left.lane == right.lane) & (left.q_dim == right.dim)).select("block", left.lane, "n", "ids", "vecs", "nodes", "centres", "radii")
-    heads = blocks.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))).alias("lane"), "n", "ids", "vecs", F.lit(None).cast("binary").alias("nodes"), F.lit(None).cast("binary").alias("centres"), F.lit(None).cast("binary").alias("radii"))
-    both = heads.unionByName(work).repartition("block", "lane").sortWithinPartitions("block", "lane", F.col("nodes").isNotNull())
-    schema = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    shards = write_shards(v, new_path(spark, "vectors"), shard_rows)
+    listing = new_path(spark, "shard-list")
+    few = pa.schema([("ids", pa.binary()), ("vecs", pa.binary()), ("dim", pa.int64())])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, best, block, norm = None, None, None, None
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, x in _packed(batches, block_rows):
+            yield pa.RecordBatch.from_arrays([pa.array([_bytes(ids)]), pa.array([_bytes(_small(x))]), pa.array([x.shape[1]], pa.int64())], schema=few)
 
-        def done():
-            row = now[0] * block_rows + best.q
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (row, best.ids[best.q], best.i, best.s)], schema=schema)
+    blocks = cut(arrow_map(q.coalesce(max(1, spark.sparkContext.defaultParallelism // 2)), pack, "ids binary, vecs binary, dim long"), "blocks")
+    shards.select("dim", F.struct("path", "n", "centre", "radius").alias("s")).write.partitionBy("dim").parquet(listing)
+    schema = pa.schema([("query_id", pa.int64()), ("rank", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(len(b)):
-                blk, lan, n, ids, vecs, nodes, centres, radii = (b.column(c)[r].as_py() for c in range(8))
-                if nodes is None:
-                    if best is not None:
-                        yield done()
-                    now, block = (blk, lan), _matrix(vecs, n)
-                    best, norm = Best(np.frombuffer(ids, np.int64), k), np.sqrt((block * block).sum(axis=1))
-                    continue
-                own = [tuple(x) for x in np.frombuffer(nodes, np.int64).reshape(-1, 4).tolist()]
-                search(best, block, norm, np.frombuffer(ids, np.int64), _matrix(vecs, n), (own, _matrix(centres, len(own)), np.frombuffer(radii, np.float64)))
-        if best is not None:
-            yield done()
-
-    # Shard blobs are large: few rows in a batch.
-    found = both.mapInArrow(tidy(run), "query_row long, query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                (ids,), (x,) = _load(b.column(0)[r].as_py(), 1), _load(b.column(1)[r].as_py(), 1)
+                best, block = Best(ids, k), x.astype(np.float64)
+                norm = np.sqrt((block * block).sum(axis=1))
+                paths, centres, radii = _listed(f"{listing}/dim={b.column(2)[r].as_py()}", block.shape[1])
+                high = np.concatenate([upper(block, norm, centres[i : i + 4096], radii[i : i + 4096]).max(axis=0) for i in range(0, len(paths), 4096)]) if paths else np.zeros(0)
+                for i in np.argsort(-high, kind="stable"):
+                    if high[i] < best.kth.min():
+                        break
+                    if norm.max() * (np.sqrt((centres[i] ** 2).sum()) + radii[i]) >= EXACT:
+                        raise ValueError("inner products reach 2**53")
+                    if not (upper(block, norm, centres[i : i + 1], radii[i : i + 1])[:, 0] >= best.kth).any():
+                        continue
+                    with open_path(paths[i]) as f:
+                        own, vecs, nodes, cs, rs = _load(f.read(), 5)
+                    search(best, block, norm, own, vecs.astype(np.float64), ([tuple(n) for n in nodes.tolist()], cs, rs))
+                rank = np.arange(len(best.q)) - np.searchsorted(best.q, best.q) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip((ids[best.q], rank, best.i, best.s), schema, strict=True)], schema=schema)
+
+    return arrow_map(blocks.repartition(max(1, blocks.count())), run, "query_id long, rank int, vec_id long, score long")
+
+
+def _listed(folder: str, dim: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Paths, centres and radii of the shards of one dimension, in order of path."""
+    rows: list[tuple] = []
+    for path in list_files(folder):
+        with open_path(path) as f:
+            rows += [(s["path"], s["centre"], s["radius"]) for s in pq.read_table(io.BytesIO(f.read())).column("s").to_pylist()]
+    rows.sort(key=lambda r: r[0])
+    return [r[0] for r in rows], np.array([np.frombuffer(r[1]) for r in rows]).reshape(len(rows), dim), np.array([r[2] for r in rows])

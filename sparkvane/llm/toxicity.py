@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkvane.llm._store import free, ship, tidy
+from sparkvane.llm._store import arrow_map, free, ship
 from sparkvane.llm._text import IS_ALNUM, U64, Words, list_array, mix, pieces, utf8
 
 BITS = 20
@@ -119,7 +119,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bi
             flat, at = distinct(b.column(2), bits)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int64()), b.column(3).cast(pa.int32()), list_array(flat, at, pa.int32())], schema=schema)
 
-    return training_rows(docs, labels, max_rows).mapInArrow(tidy(run), "__at long, doc_id long, __y int, slots array<int>")
+    return arrow_map(training_rows(docs, labels, max_rows), run, "__at long, doc_id long, __y int, slots array<int>")
 
 
 def gather_sample(batches: Iterable[pa.RecordBatch], max_slots: int = MAX_SLOTS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -154,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_slot
             slots, weights = np.append(m.slots, -1), np.append(m.weights, m.bias)
             yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(weights, pa.float64())], names=["slot", "weight"])
 
-    got = rows.mapInArrow(tidy(run), "slot long, weight double").toArrow()
+    got = arrow_map(rows, run, "slot long, weight double").toArrow()
     slots, weights = got.column("slot").to_numpy(), got.column("weight").to_numpy()
     order = np.argsort(slots)
     slots, weights = slots[order], weights[order]
@@ -193,4 +193,4 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score_texts(b.column(at), m), pa.float64())], names=[*names, column])
 
-    return docs.mapInArrow(tidy(run), schema)
+    return arrow_map(docs, run, schema)

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkvane.llm._store import cut
+from sparkvane.llm._store import cut_native
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: action, host, path
@@ -116,18 +116,19 @@ def host_reputation(outcomes: DataFrame) -> list[tuple[list[str], DataFrame]]:
     mean `rate` and `lower` bound of a labelled host, else of a host without
     outcomes: the prior that its domain gives to hosts, else its suffix to domains,
     else all outcomes to suffixes. `outcomes` has one row for each labelled host;
-    small aggregates over it, no row of pages is touched again."""
+    small aggregates over it, no row of pages is touched again. Levels and the three
+    strengths (one row each) are written once computed, so no level is computed twice."""
     total = outcomes.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("m0"))
     suf = outcomes.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).join(F.broadcast(total))
-    s1 = suf.agg(_strength(suf, "m0").alias("s1"))
+    s1 = cut_native(suf.agg(_strength(suf, "m0").alias("s1")), "strength")
     suf = suf.join(F.broadcast(s1))
-    suf = suf.select("suffix", ((F.col("bad") + F.col("m0") * F.col("s1")) / (F.col("n") + F.col("s1"))).alias("m1"))
+    suf = cut_native(suf.select("suffix", ((F.col("bad") + F.col("m0") * F.col("s1")) / (F.col("n") + F.col("s1"))).alias("m1")), "suffixes")
     dom = outcomes.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).join(suf, "suffix")
-    s2 = dom.agg(_strength(dom, "m1").alias("s2"))
+    s2 = cut_native(dom.agg(_strength(dom, "m1").alias("s2")), "strength")
     dom = dom.join(F.broadcast(s2))
-    dom = dom.select("suffix", "domain", ((F.col("bad") + F.col("m1") * F.col("s2")) / (F.col("n") + F.col("s2"))).alias("m2"))
+    dom = cut_native(dom.select("suffix", "domain", ((F.col("bad") + F.col("m1") * F.col("s2")) / (F.col("n") + F.col("s2"))).alias("m2")), "domains")
     hst = outcomes.join(dom, ["suffix", "domain"])
-    s3 = hst.agg(_strength(hst, "m2").alias("s3"))
+    s3 = cut_native(hst.agg(_strength(hst, "m2").alias("s3")), "strength")
     out = []
     for keys, level, mean, s, n, bad in ((["suffix", "domain", "host"], hst, "m2", s3, F.col("n"), F.col("bad")), (["suffix", "domain"], dom, "m2", s3, 0.0, 0.0), (["suffix"], suf, "m1", s2, 0.0, 0.0), ([], total, "m0", s1, 0.0, 0.0)):
         rate, lower = _bound(F.col(mean), F.col(s.columns[0]), F.lit(n), F.lit(bad))
@@ -146,7 +147,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, s
     allowed. Empty pages: no rows."""
     d = parse(pages, suffixes)
     seen = d.join(labels.select(F.col("page_id"), F.col("bad").cast("long").alias("bad")).where("page_id is not null and bad is not null"), "page_id")
-    outcomes = cut(seen.groupBy("host", "domain", "suffix").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")), "outcomes")
+    outcomes = cut_native(seen.groupBy("host", "domain", "suffix").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")), "outcomes")
     # The salted keys split a host, domain or suffix that holds a third of all pages.
     salts = 16
     d = d.withColumn("__salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)))

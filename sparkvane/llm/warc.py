@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkvane.llm._store import cut, new_path, ship, tidy
+from sparkvane.llm._store import arrow_map, cut, new_path, open_path, ship
 
 ARCHIVE_BYTES = 64 << 20
 LEVEL = 3
@@ -121,18 +121,6 @@ def read_archive(stream) -> Iterator[dict]:
                "payload_bytes": num("warc-x-payload-length"), "payload_digest": digest, "payload": block if kind == "response" else None}
 
 
-def _open(path: str, write: bool):
-    from pyarrow import fs
-
-    if "://" not in path and path.startswith("file:"):
-        path = "file://" + path[5:]
-    store, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-    if write:
-        store.create_dir(inner.rsplit("/", 1)[0], recursive=True)
-        return store.open_output_stream(inner, compression=None)
-    return store.open_input_stream(inner, compression=None)
-
-
 def write_archives(pages: DataFrame, folder: str, level: int = LEVEL, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write one record per row of pages (page_id, url, html; other columns are
     ignored) below `folder`; returns the committed manifest (path, records).
@@ -159,7 +147,7 @@ def write_archives(pages: DataFrame, folder: str, level: int = LEVEL, archive_by
             for i, u, t, r in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
                 if out is None:
                     path, size, n = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out = _open(path, True)
+                    out = open_path(path, True)
                 data = page_record(i, u, t.encode("utf-8", "surrogatepass"), r, level)
                 out.write(data)
                 size, n = size + len(data), n + 1
@@ -172,7 +160,7 @@ def write_archives(pages: DataFrame, folder: str, level: int = LEVEL, archive_by
             done.append((path, n))
         yield pa.RecordBatch.from_pydict({"path": [x[0] for x in done], "records": [x[1] for x in done]}, schema=pa.schema([("path", pa.string()), ("records", pa.int64())]))
 
-    return cut(d.mapInArrow(tidy(write), "path string, records long"), "warc-manifest")
+    return cut(arrow_map(d, write, "path string, records long"), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
@@ -187,7 +175,7 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
         for b in batches:
             for path in b.column(0).to_pylist():
                 rows, size = [], 0
-                with _open(path, False) as f:
+                with open_path(path) as f:
                     for r in read_archive(f):
                         rows.append({c: r[c] for c in cols})
                         size += len(r["payload"] or b"") + 200
@@ -197,7 +185,8 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     ddl = ", ".join(f"{c} {'long' if kinds.get(c) == pa.int64() else 'binary' if c == 'payload' else 'string'}" for c in cols)
-    return manifest.select("path").repartition(64, "path").mapInArrow(tidy(read), ddl)
+    paths = manifest.select("path")
+    return arrow_map(paths.repartition(max(1, paths.count())), read, ddl)  # an archive a task
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:

@@ -104,7 +104,7 @@ def test_topk_matches_brute_force(spark):
     rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)] + [(400, None), (401, [1.0, None]), (402, [float("nan")] * 8), (403, []), (404, [1.0, 2.0]), (7, x[3].astype(np.float32).tolist()), (None, x[1].tolist())]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").where(topk.usable("embedding"))
     v = d.select(F.col("vec_id").alias("id"), topk.quantise("embedding").alias("v")).repartition(3)
-    got = topk.top_k(v.where("id % 20 = 0"), v, 5, shard_rows=64, block_rows=4, lanes=3)
+    got = topk.top_k(v.where("id % 20 = 0"), v, 5, shard_rows=64, block_rows=4)
     base = [(i, np.floor(64 * np.float32(e).astype(float)).astype(int)) for i, e in rows if e is not None and i not in (401, 402, 403, None)]
     want = []
     for q, a in base:
@@ -112,7 +112,22 @@ def test_topk_matches_brute_force(spark):
             own = sorted((-int(a @ b), i) for i, b in base if i != q and len(b) == len(a))[:5]
             want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(own)]
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
-    assert topk.top_k(v.where("false"), v, 5).count() == 0
+    assert topk.top_k(v.where("false"), v, 5).count() == 0 and topk.top_k(v, v.where("false"), 5).count() == 0
+    huge = spark.createDataFrame([(0, [2**40, 1]), (1, [2**40, 2])], "id long, v array<long>")
+    with pytest.raises(Exception, match="2\\*\\*53"):
+        topk.top_k(huge, huge, 1).collect()
+
+
+def test_topk_skips_what_cannot_win():
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.integers(-9, 9, (600, 6)) + c for c in (np.zeros(6, int), np.full(6, 200))]).astype(float)
+    order, nodes, centres, radii = topk.build_tree(x, 32)
+    best = topk.Best(np.array([-1, -2]), 3)
+    block = np.ones((2, 6))
+    scored = topk.search(best, block, np.sqrt((block**2).sum(axis=1)), np.arange(1200)[order], x[order], (nodes, centres, radii))
+    assert scored <= 2 * 700  # the far half is never scored
+    want = np.lexsort((np.arange(1200), -(x @ np.ones(6))))[:3]
+    assert best.i.tolist() == [*want, *want]
 
 
 def test_pipeline_stages_do_their_work(spark, tmp_path):
