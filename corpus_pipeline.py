@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkvane.llm import bpe, decontam, jaccard, sparse_sa, toxicity
-from sparkvane.llm._store import new_path
+from sparkvane.llm._store import drop_path, new_path, scratch
 from sparkvane.llm.queries import fold, table
 
 
@@ -60,9 +60,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over `documents`. A stage's scratch tables are deleted once its
+    result is written, and that result once the next one is."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = new_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            drop_path(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
