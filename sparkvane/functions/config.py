@@ -37,6 +37,13 @@ class RuntimeConfig:
         return cls()
 
 
+def apply(spark, config: RuntimeConfig) -> None:
+    """Settings that Spark has a counterpart for: partitions of a shuffle, and the
+    bytes of a scan's partition from the page cache a queue is given."""
+    spark.conf.set("spark.sql.shuffle.partitions", str(config.partitions))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", f"{max(1, config.page_cache_mib * config.num_queues)}m")
+
+
 def number_list(text: str) -> list[int]:
     """'8, 16,32' as ascending distinct numbers."""
     return sorted({int(x) for x in text.split(",") if x.strip()})

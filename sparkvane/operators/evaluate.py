@@ -116,3 +116,9 @@ def rates(runs: DataFrame, page_bytes: int = 4096) -> DataFrame:
 def cached_by_size(points: int, gib: list[float], node_bytes: int) -> list[tuple[float, int]]:
     """(GiB, nodes that a cache of so many GiB holds)."""
     return [(g, max(0, min(points, int(g * (1 << 30) // node_bytes)))) for g in gib]
+
+
+def cache_hits(requests: DataFrame, caches: DataFrame) -> DataFrame:
+    """caches(gib, cached_nodes), a few rows, + hits and misses of requests(vec_id) on caches of the lowest ids."""
+    d = requests.select("vec_id").join(F.broadcast(caches), how="cross")
+    return d.groupBy("gib", "cached_nodes").agg(F.count_if(F.col("vec_id") < F.col("cached_nodes")).alias("hits"), F.count_if(F.col("vec_id") >= F.col("cached_nodes")).alias("misses"))

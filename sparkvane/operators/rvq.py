@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkvane.functions.expr import l2, near
@@ -74,3 +74,18 @@ def entry_points(found: DataFrame, lists: DataFrame, count: int, fallback: int =
     """qid, pos, vec_id: first postings of the query's cluster, or the fallback id."""
     d = found.join(lists.where(F.col("pos") <= count), "cluster_id", "left")
     return d.select("qid", F.coalesce("pos", F.lit(1)).cast("long").alias("pos"), F.coalesce("vec_id", F.lit(fallback)).cast("long").alias("vec_id"))
+
+
+def save(levels: DataFrame, path: str) -> str:
+    """Write a model (level, center, pivot), one folder a level."""
+    levels.select("level", F.col("center").cast("long").alias("center"), "pivot").write.mode("overwrite").partitionBy("level").parquet(path)
+    return path
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """level, center, pivot; a model needs both levels and centers numbered from 0."""
+    d = spark.read.schema("center long, pivot array<double>, level string").parquet(path)
+    n = {r["level"]: (r["n"], r["top"]) for r in d.groupBy("level").agg(F.count("*").alias("n"), F.max("center").alias("top")).collect()}
+    if set(n) != {"coarse", "fine"} or any(top != k - 1 for k, top in n.values()):
+        raise ValueError(f"not a two-level model: {n}")
+    return d.select("level", "center", "pivot")

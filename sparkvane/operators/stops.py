@@ -51,6 +51,17 @@ def rerank_ladder(first: int, last: int) -> list[int]:
     return out
 
 
+def traversal_ladder(top_l: int) -> list[int]:
+    """Prefixes below top_l: powers of two from 16, and between them points in equal
+    parts, rounded to multiples of 16 (one in each of 32..256, then 2, 4 and 8)."""
+    out = set()
+    for left, parts in zip((16, 32, 64, 128, 256, 512, 1024), (1, 2, 2, 2, 3, 5, 9), strict=True):
+        if left >= top_l:
+            break
+        out |= {left} | {x for i in range(1, parts) if left < (x := (math.floor(left + left * i / parts + 0.5) + 7) // 16 * 16) < min(2 * left, top_l)}
+    return sorted(out)
+
+
 def rerank_labels(features: DataFrame, pool: DataFrame, k: int) -> DataFrame:
     """features + label: 0 exactly if the current top-k set equals that of the whole pool."""
     w = Window.partitionBy("qid").orderBy(near(F.col("exact")), "vec_id")

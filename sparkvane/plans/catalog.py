@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkvane.functions.expr import logit, near, nearest_rank, norm_sq, page_address, r6, top
-from sparkvane.operators import evaluate, pq, rerank, rvq, stops, train, traverse
+from sparkvane.operators import engine, evaluate, pq, rerank, rvq, stops, train, traverse
 from sparkvane.operators.models import RERANK, TRAVERSAL, Decision, StopModel
 from sparkvane.plans.index import ANN_CENTERS, COARSE, FINE, K, L, N, TILE, TOP, WIDTH, Index
+from sparkvane.session import new_path
 
 PER_PAGE = 16
 SWEEP = [(0.90, 1000.0), (0.95, 800.0), (0.95, 700.0), (0.97, 800.0), (0.99, 300.0), (0.99, 350.0), (1.0, 100.0)]
@@ -421,6 +423,74 @@ def rerank_sweep(i):
     return top(d, ["top_n", "qid"], TOP).select("top_n", "qid", "rank", "vec_id", r6(F.col("dist")).alias("dist"))
 
 
+@query
+def rerank_modes(i):
+    """Every mode of the rerank over the refined pool; bounds are safe, so all give the exact top."""
+    out = []
+    for mode in ("host", "linear", "tiled", "page_by_page", "persistent"):
+        filtered = mode not in ("host", "linear")
+        p = engine.RerankParams(L, TOP, mode, refine=filtered, bound_filter=filtered)
+        out.append(engine.run(i.refined_pool.select("qid", "rank", "vec_id", "lb"), i.base, i.queries, p).withColumn("mode", F.lit(mode)))
+    return dist_out(reduce(DataFrame.unionByName, out), "mode")
+
+
+@query
+def rerank_replay_persistent(i):
+    """Recorded stop prefixes replayed by the persistent rerank."""
+    pool = _exact_pool(i).withColumn("lb", F.col("exact"))
+    p = engine.RerankParams(L, TOP, "persistent", refine=True, bound_filter=True, replay=True)
+    stops_ = _stops(i, pool.drop("lb")).select("qid", F.greatest(F.col("stop_prefix"), F.lit(TOP)).alias("stop_prefix"))
+    return dist_out(engine.run(pool.select("qid", "rank", "vec_id", "lb"), i.base, i.queries, p, stops_))
+
+
+def _scalar_distances(i: Index, kind: str) -> DataFrame:
+    base = i.base.select("vec_id", engine.as_scalar("v", kind).alias("v"))
+    q = i.queries.select("qid", engine.as_scalar("qv", kind).alias("qv"))
+    return rerank.exact(i.pool, base, q, N, TOP).withColumn("kind", F.lit(kind))
+
+
+@query
+def rerank_exact_scalars(i):
+    """Exact rerank on vectors and queries of unsigned and of signed bytes."""
+    return dist_out(_scalar_distances(i, "u8").unionByName(_scalar_distances(i, "i8")), "kind")
+
+
+@query
+def entry_providers(i):
+    """Entries of every kind of provider: fixed, per query, from the quantizer."""
+    per_query = i.truth.select("qid", F.col("rank").alias("pos"), "vec_id")
+    kinds = (("fixed", engine.fixed_entries(i.queries, [300, 100, 200], 2)), ("per_query", engine.query_entries(i.queries, per_query, 3)), ("quantizer", rvq.entry_points(i.found_clusters, rvq.postings(i.assigned), 4)))
+    return reduce(DataFrame.unionByName, [d.select("qid", "pos", "vec_id", F.lit(k).alias("provider")) for k, d in kinds])
+
+
+@query
+def snapshot_diff(i):
+    """What the second round of a traversal changes: rows of one snapshot that the other lacks, both ways."""
+    one, two = (traverse.rounds(i.entries, i.graph, i.scorer, i.params, n).select("qid", "rank", "vec_id", "expanded") for n in (1, 2))
+    diff = one.exceptAll(two).withColumn("side", F.lit("only_before")).unionByName(two.exceptAll(one).withColumn("side", F.lit("only_after")))
+    return diff.groupBy("qid", "side").agg(F.count("*").alias("n"))
+
+
+@query
+def stage_lookup(i):
+    """The stage whose range of ranks holds a candidate."""
+    return i.pool.groupBy("qid", engine.stage_of(F.col("rank"), STAGES).alias("stage")).agg(F.count("*").alias("n"))
+
+
+@query
+def rvq_model(i):
+    """Both levels of the quantizer saved by level, loaded again."""
+    both = i.coarse.withColumn("level", F.lit("coarse")).unionByName(i.fine.withColumn("level", F.lit("fine")))
+    return rvq.load(i.spark, rvq.save(both, new_path(i.spark, "rvq-model"))).select("level", "center", F.posexplode("pivot").alias("dim", "x")).select("level", "center", F.col("dim").cast("long").alias("dim"), r6(F.col("x")).alias("v"))
+
+
+@query
+def cache_sizes(i):
+    """Nodes that topology caches of some sizes in GiB hold, and the requests they answer."""
+    sizes = evaluate.cached_by_size(i.points, [0.00001, 0.00005, 1.0], 256)
+    return evaluate.cache_hits(i.pool, i.spark.createDataFrame(sizes, "gib double, cached_nodes long"))
+
+
 # -- learned stops ---------------------------------------------------------------
 STAGES = [10, 12, 14, 16]
 #: A stop model over all 13 rerank features, in their order: weights, bias.

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sparkvane.functions.expr import r6
 from sparkvane.operators import evaluate, pq, rerank, stops, traverse
 from sparkvane.operators.models import RERANK
+from sparkvane.plans.catalog import Q as Q_CATALOG
 from sparkvane.plans.catalog import STAGES, _rerank_features
 from sparkvane.plans.index import K, L, TILE, TOP, Index
 from sparkvane.session import new_path
@@ -224,6 +225,12 @@ def rerank_stop_csv(i):
     return _csv_back(i, d.withColumns({f: r6(F.col(f)) for f in RERANK}), "rerank-stop-csv")
 
 
+@query
+def traversal_stop_csv(i):
+    """The traversal checkpoints as CSV, and back."""
+    return _csv_back(i, Q_CATALOG["stop_dataset"](i.spark, i.sf_dir), "traversal-stop-csv")
+
+
 @query
 def expanded_frequency_csv(i):
     """How often each node is expanded, over all queries, as CSV and back."""

@@ -374,6 +374,30 @@ BODIES |= {
 }
 
 
+_SCALAR = {"u8": "list_transform({}, lambda x: least(255, greatest(0, floor((x + 1) * 127.5))))", "i8": "list_transform({}, lambda x: least(127, greatest(-128, floor(x * 127))))"}
+
+
+def scalars(kind: str) -> str:
+    d = d2(_SCALAR[kind].format("v"), _SCALAR[kind].format("qv"))
+    src = f"SELECT p.qid, p.vec_id, {d} AS dist FROM pool p JOIN emb USING (vec_id) JOIN qry USING (qid) WHERE p.rank <= 16"
+    return f"SELECT *, '{kind}' AS kind FROM ({topk(src, 10)})"
+
+
+BODIES["traversal_stop_csv"] = BODIES["stop_dataset"]
+_TWO = "(SELECT qid, rank, vec_id, expanded FROM {})"
+BODIES |= {
+    "rerank_modes": " UNION ALL ".join(f"SELECT *, '{m}' AS mode FROM ({topk('SELECT qid, vec_id, exact AS dist FROM rpool', 10)})" for m in ("host", "linear", "tiled", "page_by_page", "persistent")),
+    "rerank_replay_persistent": topk("SELECT qid, vec_id, exact AS dist FROM expool JOIN stops USING (qid) WHERE rank <= greatest(stop_prefix, 10)", 10),
+    "rerank_exact_scalars": scalars("u8") + " UNION ALL " + scalars("i8"),
+    "entry_providers": """SELECT qid, i + 1 AS pos, [300, 100][i + 1] AS vec_id, 'fixed' AS provider FROM qry, (SELECT unnest(range(2)) AS i) UNION ALL SELECT qid, rank, vec_id, 'per_query' FROM truth WHERE rank <= 3
+UNION ALL SELECT qid, coalesce(pos, 1), coalesce(vec_id, 0), 'quantizer' FROM found LEFT JOIN (SELECT * FROM lists WHERE pos <= 4) USING (cluster_id)""",
+    "snapshot_diff": f"SELECT qid, side, count(*) AS n FROM (SELECT *, 'only_before' AS side FROM ({_TWO.format('pool1')} EXCEPT ALL {_TWO.format('pool2')}) UNION ALL SELECT *, 'only_after' FROM ({_TWO.format('pool2')} EXCEPT ALL {_TWO.format('pool1')})) GROUP BY qid, side",
+    "stage_lookup": "SELECT qid, CASE WHEN rank <= 10 THEN 0 WHEN rank <= 12 THEN 1 WHEN rank <= 14 THEN 2 WHEN rank <= 16 THEN 3 END AS stage, count(*) AS n FROM pool GROUP BY ALL",
+    "rvq_model": "SELECT level, center, dim, round(x, 6) AS v FROM (SELECT 'coarse' AS level, center, unnest(pvt) AS x, unnest(range(64)) AS dim FROM coarse UNION ALL SELECT 'fine', center, unnest(pvt), unnest(range(64)) FROM fine)",
+    "cache_sizes": "SELECT gib, c AS cached_nodes, count(*) FILTER (vec_id < c) AS hits, count(*) FILTER (vec_id >= c) AS misses FROM pool, (SELECT gib, least(n, floor(gib * 1073741824 / 256))::BIGINT AS c FROM points, (SELECT unnest([0.00001, 0.00005, 1.0]::DOUBLE[]) AS gib)) GROUP BY ALL",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: sql(b) for k, b in BODIES.items()}
 

@@ -243,3 +243,83 @@ def test_stop_model_text_round_trip():
     assert StopModel.parse(m.text()) == m
     w, b = m.folded()
     assert w == [1.5, 1.0] and b == pytest.approx(0.5 - 1.5 - 2.0) and m.threshold(64) == 0.2 and m.threshold(8) == 0.1
+
+
+def test_rerank_rules_are_checked(spark):
+    from sparkvane.operators.engine import RerankParams, run
+
+    good = {"refine": True, "bound_filter": True, "mode": "persistent"}
+    assert RerankParams(16, 8, **good).tile == 8
+    decision = Decision((8,))
+    for bad in ({"mode": "other"}, {"tile": 6}, {"bound_filter": True, "mode": "tiled"}, {**good, "mode": "linear"}, {**good, "hybrid": True}, {"decision": decision, "mode": "persistent"},
+                {**good, "mode": "tiled", "decision": decision}, {"patience": 1}, {**good, "replay": True, "record": True}, {**good, "replay": True, "patience": 2}):
+        with pytest.raises(ValueError):
+            RerankParams(16, 8, **bad)
+    with pytest.raises(ValueError):
+        RerankParams(4, 8)
+    with pytest.raises(ValueError):
+        RerankParams(400, 200, **good)
+    pool = spark.createDataFrame([(0, 1, 5)], "qid long, rank long, vec_id long")
+    with pytest.raises(ValueError, match="lb"):
+        run(pool, pool, pool, RerankParams(1, 1, **good))
+    with pytest.raises(ValueError, match="replay"):
+        run(pool, pool, pool, RerankParams(1, 1, mode="persistent", replay=True))
+
+
+def test_entries_and_ladders(spark):
+    from sparkvane.operators import engine
+
+    q = spark.createDataFrame([(0,), (7,)], "qid long")
+    assert rows(engine.fixed_entries(q, [9, 4, 5], 2), "qid", "pos", "vec_id") == [(0, 1, 9), (0, 2, 4), (7, 1, 9), (7, 2, 4)]
+    table = spark.createDataFrame([(0, 1, 3), (0, 5, 8), (0, 9, 2), (1, 1, 1)], "qid long, pos long, vec_id long")
+    assert rows(engine.query_entries(q.where("qid = 0"), table, 2), "pos", "vec_id") == [(1, 3), (2, 8)]
+    with pytest.raises(Exception, match="no entries for query 7"):
+        engine.query_entries(q, table, 2).collect()
+    assert stops.traversal_ladder(16) == [] and stops.traversal_ladder(100) == [16, 32, 48, 64, 96]
+    full = stops.traversal_ladder(4096)
+    assert full[:9] == [16, 32, 48, 64, 96, 128, 192, 256, 336] and all(x % 16 == 0 for x in full) and len([x for x in full if x > 1024]) == 8
+    assert stops.rerank_ladder(10, 40) == [10, 12, 14, 16, 18, 20, 22, 24, 26, 28, 30, 32, 36, 40]
+
+
+def test_training_against_plain_loops():
+    from sparkvane.operators import train
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 9, (60, 3)).astype(float)
+
+    def plain(points, centers, rounds):
+        seen = []
+        for _ in range(rounds):
+            groups, error = {}, 0.0
+            for p in points:
+                d = [float(((p - c) ** 2).sum()) for c in centers]
+                groups.setdefault(d.index(min(d)), []).append(p)
+                error += min(d)
+            seen.append((error, [c.copy() for c in centers], [len(groups.get(i, ())) for i in range(len(centers))]))
+            centers = [np.mean(groups[i], axis=0) if i in groups else c for i, c in enumerate(centers)]
+        best = min(range(rounds), key=lambda r: seen[r][0])
+        return seen[best][1], seen[-1][2], seen[best][0]
+
+    for k, rounds in ((4, 1), (4, 3), (7, 25)):
+        c, n, e = train.kmeans(x, x[:k].copy(), rounds)
+        want, members, error = plain(list(x), [r.copy() for r in x[:k]], rounds)
+        assert np.allclose(c, want) and n.tolist() == members and e == pytest.approx(error)
+    c, n, e = train.kmeans(x, x[:5].copy(), None)
+    at, _ = train.assign(x, c)
+    assert all(np.allclose(c[j], x[at == j].mean(axis=0)) for j in range(5) if (at == j).any()) and n.sum() == 60
+    coarse, fine, error = train.alternate(x, 3, 4)
+    rest = x - coarse[train.assign(x, coarse)[0]]
+    assert coarse.shape == (3, 3) and fine.shape == (4, 3) and error <= train.kmeans(rest, rest[:4].copy(), 25)[2] + 1e3
+    assert error <= train.alternate(x, 3, 4, 1, 1)[2]
+
+
+def test_quantizer_models_are_checked(spark, tmp_path):
+    from sparkvane.operators import rvq
+
+    good = [("coarse", 0, [1.0]), ("coarse", 1, [2.0]), ("fine", 0, [0.5])]
+    d = spark.createDataFrame(good, "level string, center long, pivot array<double>")
+    assert sorted(map(tuple, rvq.load(spark, rvq.save(d, str(tmp_path / "m"))).collect())) == good
+    with pytest.raises(ValueError):
+        rvq.load(spark, rvq.save(d.where("level = 'coarse'"), str(tmp_path / "n")))
+    with pytest.raises(ValueError):
+        rvq.load(spark, rvq.save(d.where("center <> 0 or level = 'fine'"), str(tmp_path / "o")))
