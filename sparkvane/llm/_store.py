@@ -7,9 +7,10 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -18,6 +19,8 @@ from pyspark.sql.types import StructType
 #: Bytes of an Arrow batch that goes to a Python worker. A task may hold four such
 #: batches outside the heap (two workers in a chain, each with input and output).
 ARROW_BYTES = "8m"
+#: Bytes of a row group in the files of cut().
+GROUP_BYTES = 16 << 20
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
 
 
@@ -96,10 +99,73 @@ def arrow_map(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[
     return out
 
 
+@contextmanager
+def _shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query that runs inside go when it ends, not when the driver next collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _python_writes(folder: str) -> bool:
+    """Whether Python workers know the kind of store that the folder is in."""
+    try:
+        return "://" not in folder or fs.FileSystem.from_uri(folder) is not None
+    except (pa.ArrowInvalid, OSError):
+        return False
+
+
 def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     """Write a DataFrame to the shared folder and read it back: the lineage ends in
-    files that survive lost executors."""
-    return cut_native(df, what)
+    files that survive lost executors.
+
+    Python workers write the files, beside the executor's heap; the driver learns the
+    name of each file from the task that has finished it and deletes all others, so
+    files of failed attempts are never read. Columns must be of types that Arrow has.
+    In a store that only Spark can open its own writer is used."""
+    spark = df.sparkSession
+    ship(spark)
+    if not _python_writes(shared_dir(spark)):
+        return cut_native(df, what)
+    path = new_path(spark, what)
+    names, (src, run) = df.columns, getattr(df, "_mapped", (df, iter))
+
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held, file, rows = None, [], "", 0
+        with ExitStack() as closing:
+            def flush() -> None:
+                nonlocal out, file
+                t = pa.Table.from_batches(held)
+                if out is None:
+                    file = f"{uuid.uuid4().hex}.parquet"
+                    out = closing.enter_context(pq.ParquetWriter(closing.enter_context(open_path(f"{path}/{file}", True)), t.schema, compression="zstd"))
+                out.write_table(t)
+                held.clear()
+
+            for b in run(batches):
+                if len(b):
+                    held.append(pa.RecordBatch.from_arrays(b.columns, names=names))
+                    rows += len(b)
+                    if sum(x.nbytes for x in held) > GROUP_BYTES:
+                        flush()
+            if held:
+                flush()
+        yield pa.RecordBatch.from_pydict({"file": [file] if file else [], "rows": [rows] if file else []}, schema=pa.schema([("file", pa.string()), ("rows", pa.int64())]))
+
+    with _shuffles_end(spark):
+        done = {r["file"] for r in src.mapInArrow(tidy(write), "file string, rows long").collect()}
+    for f in list_files(path):
+        if f.rsplit("/", 1)[1] not in done:
+            drop_path(spark, f)
+    out = spark.read.schema(df.schema).parquet(path) if done else spark.createDataFrame([], df.schema)
+    if done and {f.rsplit("/", 1)[1] for f in out.inputFiles()} != done:
+        out = spark.read.schema(df.schema).parquet(*(f"{path}/{f}" for f in done))
+    out._cut_path = path
+    return out
 
 
 def cut_native(df: DataFrame, what: str = "cut") -> DataFrame:
