@@ -30,7 +30,9 @@ from sparkvane.llm._store import arrow_map, cut, cut_native, free, ship
 from sparkvane.llm._text import Words, list_array, pieces, signed, unique_by_row, utf8
 
 K, THRESHOLD = 5, 0.8
-BROADCAST_SHINGLES = 4_000_000
+#: Benchmarks of more words are joined, not broadcast: 4 million words are some 30 MB
+#: of text and 15 MB of sketch values in a worker. Shingles of items kept there.
+BROADCAST_SHINGLES, HELD = 4_000_000, 200_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _UPPER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 
@@ -103,6 +105,22 @@ def candidates(w: Words, index: Index, k: int = K) -> tuple[np.ndarray, np.ndarr
     return key // max(1, len(index.ids)), key % max(1, len(index.ids))
 
 
+class Sets(dict):
+    """Shingle sets of items, made when first asked for; at most HELD shingles are kept."""
+
+    def __init__(self, texts: list[str], k: int):
+        self.texts, self.k, self.held = texts, k, 0
+
+    def __missing__(self, item: int) -> set[tuple[str, ...]]:
+        out = shingles(self.texts[item], self.k)
+        if self.held > HELD:
+            self.clear()
+            self.held = 0
+        self.held += len(out)
+        self[item] = out
+        return out
+
+
 def verify(text: str, items: Iterable[int], sets: dict[int, set], k: int, threshold: float) -> list[tuple[int, int, int]]:
     """(item, shared, size) of the items contained in the text, on exact words."""
     own: dict[int, set] = {}
@@ -145,7 +163,7 @@ def search(docs: DataFrame, benchmark: DataFrame, k: int = K, threshold: float =
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts = sent.value
         index = build_index(ids, texts, k, threshold)
-        sets = {i: shingles(t, k) for i, t in enumerate(texts)}
+        sets = Sets(texts, k)
         for b in batches:
             col = b.column(at_text)
             buf, offs = utf8(col)
