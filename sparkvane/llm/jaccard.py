@@ -13,9 +13,9 @@ plus false candidates).
 
 Equal sets are one class from the start. Classes that share a signature are
 joined to the signature's smallest class; components of these candidate edges
-are cut into blocks of bounded size, and every pair of blocks of a component is
-one unit of work, in which all intersections are counted exactly (a matrix
-product over the shared shingles). Only component links and counts leave a unit:
+are cut into blocks of bounded size, large ones by size band first, and every pair of
+blocks whose sizes allow a link is one unit of work, in which all intersections are
+counted exactly (a matrix product over the shared shingles). Only component links and counts leave a unit:
 no pair rows are made. Shingles are compared as 64-bit hashes: two sets of 10^4
 shingles have a wrong common count with probability under 10^-11.
 """
@@ -239,14 +239,30 @@ def roots(link: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _units(members: DataFrame) -> DataFrame:
-    """unit, side of each member: all pairs of blocks of its component."""
-    size = members.groupBy("comp").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("long").alias("blocks"))
-    d = members.join(size, "comp").withColumn("block", F.pmod(F.xxhash64("cls", F.lit(7)), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    d = d.select("cls", "comp", "weight", "hashes", "block", other)
-    return d.select(F.xxhash64("comp", F.least("block", "other"), F.greatest("block", "other")).alias("unit"),
-                    F.when(F.col("other") == F.col("block"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"), "cls", "weight", "hashes")
+def _units(members: DataFrame, percent: int) -> DataFrame:
+    """unit, side of each member: the pairs of blocks of its component that may link.
+
+    A component of at most BLOCK classes is one block. A larger one is parted by size:
+    sizes of linked sets lie within a factor of 100 / percent, so only blocks of one
+    size band or of two neighbouring bands meet."""
+    width = max(math.log(100 / percent) * 1.001, 1e-3)  # a little more: rounding must not part a pair
+    total = members.groupBy("comp").agg(F.count("*").alias("classes"))
+    band = F.when(F.col("classes") > BLOCK, F.floor(F.log(F.size("hashes").cast("double")) / width)).otherwise(0)
+    d = members.join(total, "comp").withColumn("band", band.cast("long")).drop("classes")
+    sizes = d.groupBy("comp", "band").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("long").alias("blocks"))
+    for name, step in (("above", -1), ("below", 1)):  # blocks of the neighbouring bands
+        sizes = sizes.join(sizes.select("comp", (F.col("band") + step).alias("band"), F.col("blocks").alias(name)), ["comp", "band"], "left")
+    d = d.join(sizes, ["comp", "band"]).withColumn("block", F.pmod(F.xxhash64("cls", F.lit(7)), F.col("blocks")))
+
+    def meet(count, side, unit):
+        all_of = F.filter(F.sequence(F.lit(0).cast("long"), F.coalesce(count, F.lit(0)).cast("long")), lambda o: o < F.coalesce(count, F.lit(0)))
+        return F.transform(all_of, lambda o: F.struct(F.xxhash64("comp", *unit(o)).alias("unit"), side(o).cast("int").alias("side")))
+
+    here, at = F.col("band"), F.col("block")
+    own = meet(F.col("blocks"), lambda o: F.when(o == at, 0).when(at < o, 1).otherwise(2), lambda o: (here, F.least(at, o), here, F.greatest(at, o)))
+    up = meet(F.col("above"), lambda o: F.lit(1), lambda o: (here, at, here + 1, o))
+    down = meet(F.col("below"), lambda o: F.lit(2), lambda o: (here - 1, o, here, at))
+    return d.select("cls", "weight", "hashes", F.explode(F.concat(own, up, down)).alias("u")).select("u.unit", "u.side", "cls", "weight", "hashes")
 
 
 def _verify(units: DataFrame, percent: int) -> DataFrame:
@@ -332,7 +348,7 @@ def _join(docs: DataFrame, k: int, percent: int, root: bool = False) -> DataFram
     want = classes.join(cand, classes["cls"] == cand["node"]).select("doc_id", "h", "cls", "weight", "comp")
     found = src.join(want, ["doc_id", "h"]).select("cls", "comp", "weight", "text")
     members = cut(_hashes(found, k), "members")
-    links = cut(_verify(_units(members.dropDuplicates(["cls"])), percent), "links")
+    links = cut(_verify(_units(members.dropDuplicates(["cls"]), percent), percent), "links")
     drop(members, cand)
     comp = components(links.where("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b")))
     least = comp.join(classes.select(F.col("cls").alias("node"), "doc_id"), "node").select("comp", "doc_id")

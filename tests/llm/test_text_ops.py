@@ -182,8 +182,9 @@ def brute_links(rows, k, pct):
     return [(r[0], len(s[a]), low.get(root(a)), links[a]) for a, r in enumerate(rows)]
 
 
-@pytest.mark.parametrize("k,pct", [(4, 85), (5, 80), (2, 50)])
-def test_jaccard_join_matches_brute_force(spark, k, pct):
+@pytest.mark.parametrize("k,pct,block", [(4, 85, 1024), (5, 80, 1024), (2, 50, 3), (2, 80, 2)])
+def test_jaccard_join_matches_brute_force(spark, monkeypatch, k, pct, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rows = corpus(9)
     out = jaccard.join(docs_of(spark, rows, __n=1, cls=2, n=3), k, pct)
     key = lambda r: (r[0] is None, r)
@@ -206,6 +207,29 @@ def test_representatives_keep_unrelated_texts_of_one_id(spark):
     assert {(r["text"] or " ")[0] for r in keep if r["doc_id"] == 1} == {"a", "b"}
 
 
+def test_blocks_meet_where_sizes_allow_a_link_and_only_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    rng = random.Random(3)
+    sizes = [rng.choice((8, 9, 10, 11, 20, 24, 25, 90, 100, 112)) for _ in range(60)]
+    rows = [(i, i % 2, 1, list(range(n))) for i, n in enumerate(sizes)]
+    units = jaccard._units(spark.createDataFrame(rows, "cls long, comp long, weight long, hashes array<long>"), 85).collect()
+    by_unit = {}
+    for u in units:
+        by_unit.setdefault(u["unit"], []).append((u["side"], u["cls"]))
+    met = {}
+    for own in by_unit.values():
+        x, y = [c for s, c in own if s < 2], [c for s, c in own if s == 2]
+        assert len({c for _, c in own}) == len(own) <= 60
+        pairs = [(a, b) for a in x for b in y] if any(s for s, _ in own) else [(a, b) for a in x for b in x if a < b]
+        for a, b in pairs:
+            met[min(a, b), max(a, b)] = met.get((min(a, b), max(a, b)), 0) + 1
+    for a in range(60):
+        for b in range(a + 1, 60):
+            may = a % 2 == b % 2 and 100 * min(sizes[a], sizes[b]) >= 85 * max(sizes[a], sizes[b])
+            assert met.get((a, b), 0) == 1 or not may and met.get((a, b), 0) == 0
+    assert not any(max(sizes[a], sizes[b]) > 2 * min(sizes[a], sizes[b]) for a, b in met)
+
+
 def test_every_linked_pair_shares_a_signature():
     rng = np.random.default_rng(4)
     for pct in (50, 80, 85, 95):
