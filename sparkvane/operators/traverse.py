@@ -18,14 +18,13 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkvane.functions.expr import ranked
 from sparkvane.operators.models import TRAVERSAL, Decision, TraversalWatch
 from sparkvane.operators.pq import table_sum
-from sparkvane.session import ship
+from sparkvane.session import shared_dir, ship
 
 GRAPH_BYTES = 512 << 20
 
@@ -106,8 +105,11 @@ def rounds(entries: DataFrame, graph: DataFrame, score: Scorer, p: Params, n: in
 
 
 def _keeper(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    safe = spark.sparkContext.getCheckpointDir() is not None or spark.conf.get("spark.checkpoint.dir", None) is not None
-    return lambda df: df.checkpoint() if safe else df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Cuts lineage by a checkpoint in the shared folder."""
+    folder = shared_dir(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return lambda df: df.checkpoint()
 
 
 @dataclass(frozen=True)
@@ -127,8 +129,7 @@ class Prefix:
 def _advance(start: DataFrame, graph: DataFrame, score: Scorer, p: Params, prefix: Prefix = Prefix(), trace: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
     """(pool, visited, used, steps) after all rounds of all queries. `used` counts
     expansions and iterations of each query; a query expands no more than
-    max_expansions nodes, whatever the others do. Lineage is cut each round:
-    checkpoint() where a checkpoint folder is set, else persist."""
+    max_expansions nodes, whatever the others do. Lineage is cut by a checkpoint each round."""
     keep = _keeper(start.sparkSession)
     visited, pool = keep(start), keep(seed(start, score, p.limit))
     none = F.lit(0).cast("long")

@@ -22,6 +22,13 @@ DEEPEST = 100
 ANN_CENTERS, ANN_COARSE, ANN_FINE = 256, 16, 16
 
 _built: dict[tuple[str, str, str], tuple[str, DataFrame, str]] = {}
+_held: list[DataFrame] = []
+
+
+def held(df: DataFrame) -> DataFrame:
+    """Pools (at most DEEPEST rows a query) that one query reads several times."""
+    _held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return df
 
 
 class Index:
@@ -48,7 +55,9 @@ class Index:
 
     @staticmethod
     def release(spark: SparkSession) -> None:
-        """Delete all tables built in this session."""
+        """Delete all tables built in this session and let go of all pools held."""
+        while _held:
+            _held.pop().unpersist()
         for key in [k for k in _built if k[0] == spark.sparkContext.applicationId]:
             delete(spark, _built.pop(key)[2])
 
@@ -100,7 +109,7 @@ class Index:
     @cached_property
     def adc(self) -> DataFrame:
         """The DEEPEST nearest codes of every query."""
-        return pq.adc_topk(self.wide_codes, self.wide_lut, K, DEEPEST).persist(StorageLevel.MEMORY_AND_DISK)
+        return held(pq.adc_topk(self.wide_codes, self.wide_lut, K, DEEPEST))
 
     @cached_property
     def pool(self) -> DataFrame:
@@ -150,7 +159,7 @@ class Index:
     def refined_pool(self) -> DataFrame:
         """The pool re-ranked by refined distance, with bounds and exact distances."""
         p = rerank.bounds(ranked(self.refined, ["qid"]), self.errors, self.norms)
-        return rerank.with_vectors(p.select("qid", "vec_id", "rank", "dist", "lb"), self.base, self.queries).persist(StorageLevel.MEMORY_AND_DISK)
+        return held(rerank.with_vectors(p.select("qid", "vec_id", "rank", "dist", "lb"), self.base, self.queries))
 
     @cached_property
     def outlier_book(self) -> DataFrame:
@@ -239,7 +248,7 @@ class Index:
 
     @cached_property
     def seeded(self) -> DataFrame:
-        return traverse.seed(self.entries, self.scorer, L).persist(StorageLevel.MEMORY_AND_DISK)
+        return held(traverse.seed(self.entries, self.scorer, L))
 
     @cached_property
     def searched(self) -> DataFrame:
