@@ -40,6 +40,28 @@ def packed(df: DataFrame, rows: int, kind: type = np.float64) -> DataFrame:
     return df.mapInArrow(run, "n long, ids binary, vecs binary")
 
 
+def rough(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of y and x by one matrix product, good to some ten digits."""
+    return (y * y).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :] - 2 * (y @ x.T)
+
+
+def nearest(one: np.ndarray, qid: int, x: np.ndarray, ids: np.ndarray, far: np.ndarray, k: int, exclude_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, ids, distances) of the k nearest rows of x, exact: rough distances leave
+    out only rows beyond the kth by more than their error, differences decide the rest."""
+    if exclude_self:
+        far = np.where(ids == qid, np.inf, far)
+    if len(far) > k:
+        margin = 1e-6 + 1e-10 * (np.abs(far[np.isfinite(far)]).max(initial=0.0) + (one * one).sum())
+        few = np.flatnonzero(far <= np.partition(far, k - 1)[k - 1] + margin)
+    else:
+        few = np.arange(len(far))
+    few = few[np.isfinite(far[few])]
+    diff = x[few] - one
+    d = np.einsum("ij,ij->i", diff, diff)
+    order = np.lexsort((ids[few], np.round(d, 9)))[:k]
+    return np.full(len(order), qid), ids[few][order], d[order]
+
+
 def pair_topk(queries: DataFrame, vectors: DataFrame, k: int, exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
     """qid, rank, vec_id, dist: the k nearest vectors of each query by (squared
     distance, id), exact. Blocks of queries meet blocks of vectors; each meeting
@@ -57,16 +79,8 @@ def pair_topk(queries: DataFrame, vectors: DataFrame, k: int, exclude_self: bool
                 ids, vecs, qids, qvecs = (b.column(i)[r].as_py() for i in (1, 2, 5, 6))
                 ids, qids = np.frombuffer(ids, np.int64), np.frombuffer(qids, np.int64)
                 x, y = np.frombuffer(vecs).reshape(len(ids), -1), np.frombuffer(qvecs).reshape(len(qids), -1)
-                qo, vo, do = [], [], []
-                for i, one in enumerate(y):
-                    diff = x - one
-                    d = np.einsum("ij,ij->i", diff, diff)
-                    use = np.flatnonzero(ids != qids[i]) if exclude_self else np.arange(len(ids))
-                    order = use[np.lexsort((ids[use], np.round(d[use], 9)))[:k]]
-                    qo.append(np.full(len(order), qids[i]))
-                    vo.append(ids[order])
-                    do.append(d[order])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (qo, vo, do)], schema=schema)
+                out = [nearest(one, q, x, ids, far, k, exclude_self) for one, q, far in zip(y, qids, rough(y, x), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=schema)
 
     near = pairs.select("n", "ids", "vecs", "qb", "qn", "qids", "qvecs").mapInArrow(run, "qid long, vec_id long, dist double")
     return top(near, ["qid"], k).select("qid", "rank", "vec_id", "dist")

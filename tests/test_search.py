@@ -307,10 +307,18 @@ def test_training_against_plain_loops():
     c, n, e = train.kmeans(x, x[:5].copy(), None)
     at, _ = train.assign(x, c)
     assert all(np.allclose(c[j], x[at == j].mean(axis=0)) for j in range(5) if (at == j).any()) and n.sum() == 60
-    coarse, fine, error = train.alternate(x, 3, 4)
-    rest = x - coarse[train.assign(x, coarse)[0]]
-    assert coarse.shape == (3, 3) and fine.shape == (4, 3) and error <= train.kmeans(rest, rest[:4].copy(), 25)[2] + 1e3
-    assert error <= train.alternate(x, 3, 4, 1, 1)[2]
+    near = lambda p, cs: min(range(len(cs)), key=lambda j: (round(float(((p - cs[j]) ** 2).sum()), 9), j))
+    for alternations, rounds in ((1, 2), (3, 4), (10, 25)):
+        coarse, fine, part, best = [r.copy() for r in x[:3]], None, [np.zeros(3)] * 60, None
+        for _ in range(alternations):
+            coarse = plain([p - q for p, q in zip(x, part, strict=True)], coarse, rounds)[0]
+            rest = [p - coarse[near(p - q, coarse)] for p, q in zip(x, part, strict=True)]
+            fine, _, error = plain(rest, [r.copy() for r in rest[:4]] if fine is None else fine, rounds)
+            part = [fine[near(r, fine)] for r in rest]
+            if best is None or best[2] - error >= train.LEAST_GAIN:
+                best = coarse, fine, error
+        got = train.alternate(x, 3, 4, alternations, rounds)
+        assert np.allclose(got[0], best[0]) and np.allclose(got[1], best[1]) and got[2] == pytest.approx(best[2])
 
 
 def test_quantizer_models_are_checked(spark, tmp_path):
