@@ -30,7 +30,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sparkvane.llm._store import arrow_map, cut, drop, free, ship
 from sparkvane.llm._text import U64, Words, list_array, mix, pieces, signed, unique_by_row, utf8
@@ -240,14 +239,15 @@ def roots(link: np.ndarray) -> np.ndarray:
 
 
 def _units(members: DataFrame, percent: int) -> DataFrame:
-    """unit, side of each member: the pairs of blocks of its component that may link.
+    """cls, units: the pairs of blocks of its component that may link, as (unit, side).
+    members: cls, comp, n (narrow rows; sets follow later).
 
     A component of at most BLOCK classes is one block. A larger one is parted by size:
     sizes of linked sets lie within a factor of 100 / percent, so only blocks of one
     size band or of two neighbouring bands meet."""
     width = max(math.log(100 / percent) * 1.001, 1e-3)  # a little more: rounding must not part a pair
     total = members.groupBy("comp").agg(F.count("*").alias("classes"))
-    band = F.when(F.col("classes") > BLOCK, F.floor(F.log(F.size("hashes").cast("double")) / width)).otherwise(0)
+    band = F.when(F.col("classes") > BLOCK, F.floor(F.log(F.col("n").cast("double")) / width)).otherwise(0)
     d = members.join(total, "comp").withColumn("band", band.cast("long")).drop("classes")
     sizes = d.groupBy("comp", "band").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("long").alias("blocks"))
     for name, step in (("above", -1), ("below", 1)):  # blocks of the neighbouring bands
@@ -262,11 +262,12 @@ def _units(members: DataFrame, percent: int) -> DataFrame:
     own = meet(F.col("blocks"), lambda o: F.when(o == at, 0).when(at < o, 1).otherwise(2), lambda o: (here, F.least(at, o), here, F.greatest(at, o)))
     up = meet(F.col("above"), lambda o: F.lit(1), lambda o: (here, at, here + 1, o))
     down = meet(F.col("below"), lambda o: F.lit(2), lambda o: (here - 1, o, here, at))
-    return d.select("cls", "weight", "hashes", F.explode(F.concat(own, up, down)).alias("u")).select("u.unit", "u.side", "cls", "weight", "hashes")
+    return d.select("cls", F.concat(own, up, down).alias("units"))
 
 
-def _verify(units: DataFrame, percent: int) -> DataFrame:
-    """(cls, root, links) per unit: root is a class that cls reaches by links (or cls), links counts linked documents."""
+def _verify(members: DataFrame, percent: int) -> DataFrame:
+    """members: cls, weight, hashes, units; a class that comes more than once counts once.
+    (cls, root, links) per unit: root is a class that cls reaches by links (or cls), links counts linked documents."""
 
     def work(rows: list[tuple]) -> list[tuple]:
         x = [r for r in rows if r[0] < 2]
@@ -289,7 +290,7 @@ def _verify(units: DataFrame, percent: int) -> DataFrame:
     schema = pa.schema([("cls", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows, out = None, [], []
+        now, rows, out, seen = None, [], [], set()
         for b in batches:
             unit, side, cls, weight = (b.column(i).to_pylist() for i in range(4))
             col = b.column(4)
@@ -298,14 +299,17 @@ def _verify(units: DataFrame, percent: int) -> DataFrame:
                 if u != now:
                     if rows:
                         out += work(rows)
-                    now, rows = u, []
-                rows.append((side[i], cls[i], weight[i], flat[at[i] : at[i + 1]].copy()))
+                    now, rows, seen = u, [], set()
+                if cls[i] not in seen:
+                    seen.add(cls[i])
+                    rows.append((side[i], cls[i], weight[i], flat[at[i] : at[i + 1]].copy()))
             yield _rows(out, schema)
             out = []
         if rows:
             out += work(rows)
         yield _rows(out, schema)
 
+    units = members.select(F.explode("units").alias("u"), "cls", "weight", "hashes").select("u.unit", "u.side", "cls", "weight", "hashes")
     return arrow_map(units.repartition("unit").sortWithinPartitions("unit"), run, "cls long, root long, links long")
 
 
@@ -345,11 +349,11 @@ def _join(docs: DataFrame, k: int, percent: int, root: bool = False) -> DataFram
     shared = rows.withColumn("lo", F.min("cls").over(w)).withColumn("hi", F.max("cls").over(w)).where("lo < hi and cls <> lo").select(F.col("cls").alias("a"), F.col("lo").alias("b")).distinct()
     cand = components(shared)
     cand = cut(cand.unionByName(cand.select(F.col("comp").alias("node"), "comp").distinct()), "candidates")
-    want = classes.join(cand, classes["cls"] == cand["node"]).select("doc_id", "h", "cls", "weight", "comp")
-    found = src.join(want, ["doc_id", "h"]).select("cls", "comp", "weight", "text")
-    members = cut(_hashes(found, k), "members")
-    links = cut(_verify(_units(members.dropDuplicates(["cls"]), percent), percent), "links")
-    drop(members, cand)
+    placed = cut(classes.join(cand, classes["cls"] == cand["node"]).select("doc_id", "h", "cls", "weight", "n", "comp"), "placed")
+    want = placed.join(_units(placed.select("cls", "comp", "n"), percent), "cls").select("doc_id", "h", "cls", "weight", "units")
+    members = cut(_hashes(src.join(want, ["doc_id", "h"]).select("cls", "weight", "units", "text"), k), "members")
+    links = cut(_verify(members, percent), "links")
+    drop(members, cand, placed)
     comp = components(links.where("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b")))
     least = comp.join(classes.select(F.col("cls").alias("node"), "doc_id"), "node").select("comp", "doc_id")
     least = least.unionByName(classes.join(comp.select("comp").distinct(), classes["cls"] == F.col("comp")).select("comp", "doc_id")).groupBy("comp").agg(F.min("doc_id").alias("low"))
@@ -372,9 +376,9 @@ def _hashes(found: DataFrame, k: int) -> DataFrame:
             buf, offs = utf8(b.column(3))
             for i, j in pieces(offs):
                 h, at = unique_by_row(*Words(buf, offs[i : j + 1], lower=True).grams(k))
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(3)), list_array(signed(h), at, pa.int64())], names=["cls", "comp", "weight", "hashes"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(3)), list_array(signed(h), at, pa.int64())], names=["cls", "weight", "units", "hashes"])
 
-    return arrow_map(found, run, T.StructType().add("cls", T.LongType()).add("comp", T.LongType()).add("weight", T.LongType()).add("hashes", T.ArrayType(T.LongType())))
+    return arrow_map(found, run, "cls long, weight long, units array<struct<unit:long,side:int>>, hashes array<long>")
 
 
 def representatives(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:

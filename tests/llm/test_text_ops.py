@@ -211,11 +211,11 @@ def test_blocks_meet_where_sizes_allow_a_link_and_only_once(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 4)
     rng = random.Random(3)
     sizes = [rng.choice((8, 9, 10, 11, 20, 24, 25, 90, 100, 112)) for _ in range(60)]
-    rows = [(i, i % 2, 1, list(range(n))) for i, n in enumerate(sizes)]
-    units = jaccard._units(spark.createDataFrame(rows, "cls long, comp long, weight long, hashes array<long>"), 85).collect()
+    rows = [(i, i % 2, n) for i, n in enumerate(sizes)]
     by_unit = {}
-    for u in units:
-        by_unit.setdefault(u["unit"], []).append((u["side"], u["cls"]))
+    for r in jaccard._units(spark.createDataFrame(rows, "cls long, comp long, n long"), 85).collect():
+        for u in r["units"]:
+            by_unit.setdefault(u["unit"], []).append((u["side"], r["cls"]))
     met = {}
     for own in by_unit.values():
         x, y = [c for s, c in own if s < 2], [c for s, c in own if s == 2]
