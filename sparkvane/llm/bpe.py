@@ -33,7 +33,8 @@ from sparkvane.llm._store import arrow_map, ship
 LEAF_BYTES = 4
 #: Windows up to so many bytes are merged by scanning, longer ones by a heap.
 SCAN_BYTES = 64
-CACHE = 60_000
+#: Entries of a memo's generation: token pairs and leaves, and whole pieces.
+CACHE, PIECES = 60_000, 150_000
 DECODE_LEAF = 4096
 #: Texts of these characters only (no exotic space, numeral or mark) split alike
 #: under the faster engine of the standard library.
@@ -87,7 +88,7 @@ class Bpe:
         self.quick = None if r"\p" in quick else re.compile(quick)
         self.leaves = _Memo(self._short)
         self.pairs = _Memo(self._pair)
-        self.words = _Memo(self._piece)
+        self.words = _Memo(self._piece, PIECES)
 
     # -- leaves -----------------------------------------------------------
     def _short(self, data: bytes) -> list[int]:
