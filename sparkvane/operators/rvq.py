@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkvane.functions.expr import l2, near
 from sparkvane.operators.pq import best_center
+from sparkvane.session import ship
 
 POSTINGS = 256
+ROWS = 256
 COARSE_PROBES = 32
 
 
@@ -30,18 +35,44 @@ def coarse_assign(points: DataFrame, coarse: DataFrame) -> DataFrame:
     return d.select("vec_id", F.col("b.center").alias("coarse_id"), F.col("b.d").alias("dist"))
 
 
-def build(points: DataFrame, coarse: DataFrame, fine: DataFrame, probes: int = COARSE_PROBES) -> DataFrame:
-    """vec_id, cluster_id, score: over the nearest coarse centers, least sum of
-    unsquared norms |x - c| + |(x - c) - f|; cluster_id = coarse * fine count + fine."""
-    d = points.join(F.broadcast(packed(coarse, "cb")), how="cross").join(F.broadcast(packed(fine, "fb")), how="cross")
-    near_c = F.slice(F.array_sort(F.transform("cb", lambda c: F.struct(near(l2(F.col("v"), c["pivot"])).alias("d"), c["center"].alias("center"), c["pivot"].alias("pivot")))), 1, probes)
-    n_fine = F.size("fb")
+def _arrays(centers: DataFrame, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """Ids ascending and pivots of a level (bounded)."""
+    t = centers.select("center", "pivot").limit(most + 1).toArrow().sort_by("center")
+    if not 0 < len(t) <= most:
+        raise ValueError(f"a level has 1 to {most} centers")
+    return t.column("center").to_numpy(), np.array(t.column("pivot").to_pylist(), np.float64)
+
 
-    def both(c):
-        return F.transform("fb", lambda f: F.struct(near(F.sqrt(l2(F.col("v"), c["pivot"])) + F.sqrt(l2(minus("v", c["pivot"]), f["pivot"]))).alias("score"), (c["center"] * n_fine + f["center"]).alias("cluster_id")))
+def _far(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    return ((x[:, None, :] - centers[None]) ** 2).sum(axis=2)
 
-    best = F.array_min(F.flatten(F.transform(near_c, both)))
-    return d.withColumn("b", best).select("vec_id", F.col("b.cluster_id").alias("cluster_id"), F.col("b.score").alias("score"))
+
+def build(points: DataFrame, coarse: DataFrame, fine: DataFrame, probes: int = COARSE_PROBES) -> DataFrame:
+    """vec_id, cluster_id, score: over the nearest coarse centers, least sum of
+    unsquared norms |x - c| + |(x - c) - f|; cluster_id = coarse * fine count + fine.
+    Both levels are arrays that go to every task; no shuffle."""
+    ship(points.sparkSession)
+    (c_ids, c), (f_ids, f) = _arrays(coarse), _arrays(fine)
+    schema = pa.schema([("vec_id", pa.int64()), ("cluster_id", pa.int64()), ("score", pa.float64())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, len(b), ROWS):
+                part = b.slice(lo, ROWS)
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
+                dc = _far(x, c)
+                order = np.argsort(np.round(dc, 9), axis=1, kind="stable")[:, :probes]
+                row = np.arange(len(x))
+                best, cluster = np.full(len(x), np.inf), np.full(len(x), np.iinfo(np.int64).max)
+                for near_c in order.T:
+                    score = np.round(np.sqrt(dc[row, near_c])[:, None] + np.sqrt(_far(x - c[near_c], f)), 9)
+                    at = score.argmin(axis=1)
+                    s, k = score[row, at], c_ids[near_c] * len(f_ids) + f_ids[at]
+                    less = (s < best) | (s == best) & (k < cluster)
+                    best[less], cluster[less] = s[less], k[less]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(cluster), pa.array(best)], schema=schema)
+
+    return points.select("vec_id", "v").mapInArrow(run, "vec_id long, cluster_id long, score double")
 
 
 def cluster_sizes(assigned: DataFrame, clusters: int) -> DataFrame:
