@@ -6,10 +6,13 @@ link differ in at most H shingles, so with allocations a_i per segment (1: equal
 segments match; 2: segments that differ in one shingle match too, by indexing
 one-deletion neighbourhoods) and sum(a_i) = H + 1 + E, matching segments weigh
 E + 1 or more together. Each set may therefore leave out its E weakest segments
-of allocation 1 - those of fewest shingles, in an order that content alone
-decides - and the strongest common one is still indexed by both. Band by band,
-the split between allocations is the one of least estimated cost (signatures
-plus false candidates).
+of allocation 1, in any order that is the same for all sets, and the strongest
+common one is still indexed by both. Of these E, the segments of fewest shingles
+go at once, and then, in each set, those whose signature most classes share: texts
+of a small vocabulary meet by chance in a few segments, and a set that shares no
+more than those has no partner. So chance meetings do not tie unrelated texts to one
+candidate component, whatever the size of the table. Band by band, the split between
+allocations is the one of least estimated cost (signatures plus false candidates).
 
 Equal sets are one class from the start. Classes that share a signature are
 joined to the signature's smallest class; components of these candidate edges
@@ -37,7 +40,8 @@ from sparkvane.llm.components import components
 
 K, PERCENT = 5, 80
 BAND = 1.3
-SLACK = 0.25
+#: Segments that may be left out, as shares of those that two linked sets may differ in: of fewest shingles, and of the most shared signatures.
+SLACK, SPARE = 0.25, 0.1
 BLOCK = 1024
 COLUMNS = 4096
 SEEN = 200_000
@@ -61,11 +65,13 @@ def most_apart(hi: int, percent: int) -> int:
 
 @dataclass(frozen=True)
 class Scheme:
-    """Segments of a band: m1 of allocation 1 (up to `drop` of them left out), then m2 of allocation 2."""
+    """Segments of a band: m1 of allocation 1 (`drop` of them left out for few shingles
+    and up to `spare` for shared signatures), then m2 of allocation 2."""
 
     m1: int
     m2: int
     drop: int
+    spare: int
 
 
 def allocate(hi: int, percent: int) -> Scheme | None:
@@ -73,8 +79,8 @@ def allocate(hi: int, percent: int) -> Scheme | None:
     h = most_apart(hi, percent)
     if h == 0:
         return None
-    drop = math.ceil(SLACK * (h + 1))
-    need, best = h + 1 + drop, None
+    drop, spare = math.ceil(SLACK * (h + 1)), math.ceil(SPARE * (h + 1))
+    need, best = h + 1 + drop + spare, None
     for share in (0.0, 0.25, 0.5, 1.0):
         m2 = int(share * need / 2)
         m1 = need - 2 * m2
@@ -84,7 +90,7 @@ def allocate(hi: int, percent: int) -> Scheme | None:
         cost = (m1 - e) + m2 * (1 + q) + PARTNERS * ((m1 - e) * miss + m2 * miss * (1 + q))
         if best is None or cost < best[0]:
             # Without enough segments of allocation 1 less can be left out; the rest of the slack does no harm.
-            best = cost, Scheme(m1, m2, e)
+            best = cost, Scheme(m1, m2, e, min(spare, m1 - e))
     return best[1]
 
 
@@ -96,12 +102,19 @@ def set_hashes(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def signatures(h: np.ndarray, at: np.ndarray, low: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of the rows' sets and the row of each. A row takes part in the
-    schemes of all bands in which the smaller set of a linked pair may lie."""
+    """Signatures of the rows' sets and the row of each."""
+    return banded(h, at, low, percent)[:2]
+
+
+def banded(h: np.ndarray, at: np.ndarray, low: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of the rows' sets, the row of each and its group: the band, times
+    2**32, plus the number that the row may yet leave out there (0: this one must
+    stay). A row takes part in the schemes of all bands in which the smaller set of a
+    linked pair may lie."""
     n = np.diff(at)
     top = np.searchsorted(low, n, "right") - 1
     bottom = np.searchsorted(low, -(-n * percent // 100), "right") - 1
-    sigs, rows = [], []
+    sigs, rows, groups = [], [], []
     for band in np.unique(np.concatenate([top, bottom])):
         if band < 0 or (plan := allocate(int(low[band + 1]), percent)) is None:
             continue
@@ -128,6 +141,7 @@ def signatures(h: np.ndarray, at: np.ndarray, low: np.ndarray, percent: int) ->
             order = np.lexsort((s1, c1), axis=1)[:, plan.drop :]
             sigs.append(np.take_along_axis(s1, order, 1).ravel())
             rows.append(np.repeat(who, order.shape[1]))
+            groups.append(np.full(order.size, (int(band) << 32) + plan.spare))
         if plan.m2:
             s2 = sig[:, plan.m1 :]
             sigs.append(s2.ravel())
@@ -136,9 +150,10 @@ def signatures(h: np.ndarray, at: np.ndarray, low: np.ndarray, percent: int) ->
             c = cell[own]
             sigs.append(mix(total[c] - val[own] + name[c % m]))
             rows.append(who[c // m])
+            groups.append(np.full(s2.size + len(c), int(band) << 32))
     if not sigs:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
-    return np.concatenate(sigs), np.concatenate(rows)
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(sigs), np.concatenate(rows), np.concatenate(groups)
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -154,46 +169,36 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return arrow_map(docs, run, "doc_id long, h long, n long, cls long")
 
 
-def gather(sig: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pre-aggregation of a batch: each signature keeps its smallest class; every
-    other class of it is tied to that one by a signature of the pair's own. A
-    signature that a third of all classes share leaves one row a batch."""
-    order = np.lexsort((cls, sig))
-    sig, cls = sig[order], cls[order]
-    new = np.ones(len(sig), bool)
-    new[1:] = sig[1:] != sig[:-1]
-    low = cls[np.flatnonzero(new)][np.cumsum(new) - 1]
-    more = np.flatnonzero(cls != low)
-    if len(more):
-        pair = np.unique(np.stack([cls[more], low[more]]), axis=1)
-        tie = mix(mix(pair[0].view(U64) + U64(0x632BE59BD9B4E019)) ^ pair[1].view(U64))
-        return np.concatenate([sig[new], tie, tie]), np.concatenate([cls[new], pair[0], pair[1]])
-    return sig[new], cls[new]
-
-
 def _signature_rows(docs: DataFrame, k: int, percent: int, largest: int) -> DataFrame:
-    """(sig, cls): signatures of every class, gathered batch by batch; copies met again in the same task are left out."""
+    """(sig, cls, grp): signatures of every class with their groups; copies met again in the same task are left out."""
     low = bounds(largest)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
             buf, offs = utf8(b.column(2))
-            sigs, owners = [], []
             for i, j in pieces(offs):
                 h, at = unique_by_row(*Words(buf, offs[i : j + 1], lower=True).grams(k))
                 cls = signed(set_hashes(h, at))
-                sig, row = signatures(h, at, low, percent)
+                sig, row, grp = banded(h, at, low, percent)
                 if len(seen) > SEEN:
                     seen.clear()
                 new = np.array([not (c in seen or seen.add(c)) for c in cls.tolist()], bool)
                 keep = new[row]
-                sigs.append(sig[keep])
-                owners.append(cls[row[keep]])
-            sig, cls = gather(np.concatenate(sigs), np.concatenate(owners)) if sigs else (np.zeros(0, U64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(sig), pa.int64()), pa.array(cls, pa.int64())], names=["sig", "cls"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (signed(sig[keep]), cls[row[keep]], grp[keep])], names=["sig", "cls", "grp"])
+
+    return arrow_map(docs, run, "sig long, cls long, grp long")
+
 
-    return arrow_map(docs, run, "sig long, cls long")
+def _candidates(rows: DataFrame) -> DataFrame:
+    """(a, b): classes a that share a signature with a smaller class b, the smallest of
+    the signature's, when every set has left out the most shared of its signatures.
+    min and max tell distinct classes apart without listing them."""
+    w, own = Window.partitionBy("sig"), Window.partitionBy("cls", "grp").orderBy(F.desc("seen"), "sig")
+    shared = rows.withColumn("lo", F.min("cls").over(w)).withColumn("hi", F.max("cls").over(w)).withColumn("seen", F.count("*").over(w)).where("lo < hi").select("sig", "cls", "grp", "seen")
+    # A class that comes twice takes two turns for one signature: it keeps more, never less.
+    rest = shared.withColumn("turn", F.row_number().over(own)).where(F.col("turn") > F.col("grp") % (1 << 32)).select("sig", "cls")
+    return rest.withColumn("lo", F.min("cls").over(w)).where("cls <> lo").select(F.col("cls").alias("a"), F.col("lo").alias("b")).distinct()
 
 
 def link_blocks(x: list[np.ndarray], y: list[np.ndarray] | None, percent: int) -> np.ndarray:
@@ -343,11 +348,7 @@ def _join(docs: DataFrame, k: int, percent: int, root: bool = False) -> DataFram
     classes = part.groupBy("cls").agg(F.count("*").alias("weight"), F.min(F.struct("doc_id", "h")).alias("first"), F.max("n").alias("n"))
     classes = cut(classes.select("cls", "weight", "n", "first.*"), "classes")
     largest = classes.agg(F.max("n")).first()[0] or 0
-    # Signatures that two classes share. min and max tell distinct classes apart without listing them.
-    rows = _signature_rows(src.where("doc_id is not null"), k, percent, largest)
-    w = Window.partitionBy("sig")
-    shared = rows.withColumn("lo", F.min("cls").over(w)).withColumn("hi", F.max("cls").over(w)).where("lo < hi and cls <> lo").select(F.col("cls").alias("a"), F.col("lo").alias("b")).distinct()
-    cand = components(shared)
+    cand = components(_candidates(_signature_rows(src.where("doc_id is not null"), k, percent, largest)))
     cand = cut(cand.unionByName(cand.select(F.col("comp").alias("node"), "comp").distinct()), "candidates")
     placed = cut(classes.join(cand, classes["cls"] == cand["node"]).select("doc_id", "h", "cls", "weight", "n", "comp"), "placed")
     want = placed.join(_units(placed.select("cls", "comp", "n"), percent), "cls").select("doc_id", "h", "cls", "weight", "units")

@@ -248,6 +248,19 @@ def test_every_linked_pair_shares_a_signature():
                 assert set(s[r == 0].tolist()) & set(s[r == 1].tolist())
 
 
+def test_chance_meetings_make_no_candidates(spark, monkeypatch):
+    """Texts that share a few short passages are not candidates; near copies still are."""
+    rng = random.Random(1)
+    passages_ = [[f"p{i}q{j}" for j in range(10)] for i in range(30)]
+    texts = [" ".join(sum(rng.sample(passages_, 4), []) + [f"w{i}x{j}" for j in range(200)]) for i in range(300)]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate([*texts, texts[7] + " more"])]
+    made = []
+    monkeypatch.setattr(jaccard, "components", lambda e: made.append(e.collect()) or components(e))
+    got = {r["doc_id"]: r["__component"] for r in jaccard.join(docs_of(spark, rows), 5, 80).collect()}
+    assert got == {**{i: i for i in range(300)}, 300: 7}
+    assert 1 <= len(made[0]) <= 10
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(0, 30)] + [(100, 101), (102, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["comp"] for r in components(e).collect()}
