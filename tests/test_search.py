@@ -352,6 +352,15 @@ def test_a_round_is_few_jobs_and_one_table(spark):
     assert jobs <= 10 * 12 and len(set(folder.iterdir()) - before) == 1
 
 
+def test_many_chosen_nodes_meet_the_graph_in_a_shuffle(spark, monkeypatch):
+    graph, codes, luts, entries = tables(spark, {0: 0.0, 1: 8.0})
+    p, cols = traverse.Params(2, 4, 2, 16), ("qid", "rank", "vec_id", "dist", "expanded")
+    want = rows(traverse.search_kernel(luts, entries, graph, codes, 256, p), *cols)
+    monkeypatch.setattr(traverse, "ASKED", 0)
+    pool, _ = traverse.traverse(entries, graph, traverse.Scorer(codes, luts, 256), p)
+    assert rows(pool, *cols) == want != []
+
+
 def test_kmeans_reads_rows_beyond_the_sample(spark):
     from pyspark.sql import functions as F
 
